@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate
+from . import chat, decontaminate, fingerprint, tokens
 
 QUERIES = {
+    "op2_token_files": tokens.op2_token_files,
+    "op4_fingerprints": fingerprint.op4_fingerprints,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat_format": chat.op10_chat_format,
 }
