@@ -34,13 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        steps = np.full(2 * n, _STEP, np.uint64)
+        steps = np.full(2 * n + 64, _STEP, np.uint64)
         steps[0] = 1
         _POWERS = np.multiply.accumulate(steps)
     return _POWERS
