@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, dedup, fingerprint, tokens
+from . import chat, decontaminate, dedup, fingerprint, langid, tokens
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op8_near_duplicates": dedup.op8_near_duplicates,
     "op2_token_files": tokens.op2_token_files,
     "op4_fingerprints": fingerprint.op4_fingerprints,
