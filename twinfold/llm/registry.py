@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, dedup, fingerprint, langid, tokens
+from . import chat, decontaminate, dedup, fingerprint, langid, mixing, tokens
 
 QUERIES = {
+    "op6_mix_sources": mixing.op6_mix_sources,
     "op1_language_id": langid.op1_language_id,
     "op8_near_duplicates": dedup.op8_near_duplicates,
     "op2_token_files": tokens.op2_token_files,
