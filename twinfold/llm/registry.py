@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, dedup, fingerprint, langid, mixing, tokens
+from . import chat, decontaminate, dedup, fingerprint, langid, mixing, pii, tokens
 
 QUERIES = {
+    "op5_personal_data": pii.op5_personal_data,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op1_language_id": langid.op1_language_id,
     "op8_near_duplicates": dedup.op8_near_duplicates,
