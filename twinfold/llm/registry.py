@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, tokens
+from . import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, secrets, tokens
 
 QUERIES = {
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op3_lm_scores": lm.op3_lm_scores,
     "op5_personal_data": pii.op5_personal_data,
     "op6_mix_sources": mixing.op6_mix_sources,
