@@ -6,10 +6,11 @@ A pair that agrees in at least MATCH coordinates meets in the first COORDS - MAT
 Agreements of the pairs that meet are counted over whole signatures, and those with MATCH or more are confirmed
 on full sets. With 24 coordinates of 3 minima and MATCH 2 a pair of similarity 0.8 is missed once in a million.
 
-Equal sets are one node. In a first round each posting list is joined with its smallest node only. What this links
-becomes components; in the second round only pairs of a list that lie in different components still meet,
-and of these only those with a member outside the list's largest component. So a group of copies costs rows in
-proportion to its size, and no link between components is left out.
+Equal sets are one node. In a first round each posting list is joined with its most central node only, the one whose
+lists are longest in all; what this links becomes components. Nodes of lists that still hold several components are
+then joined by an exact prefix filter on their shingles, rarest first, with bounds from the place of the common shingle
+and from the shingles that no other such node has. So a group of copies costs rows in proportion to its size,
+and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .text import mix, space_words
 
 WIDTH, PERCENT = 5, 80
 COORDS, ROWS, MATCH = 24, 3, 2
+#: Most ids that are broadcast, 8 bytes each, to pick documents; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 2**63, COORDS * ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _SHIFTS = _RNG.integers(1, 2**63, COORDS * ROWS, dtype=np.int64).astype(np.uint64)
@@ -97,6 +100,13 @@ def alike(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def picked(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
+    """id, text of the documents with these ids."""
+    rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
+    ids = settle(ids, "picked")
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "id", "left_semi")
+
+
 def counted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree in MATCH coordinates or more."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"))
@@ -107,7 +117,7 @@ def counted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, *, doc="doc_id", text="text") -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets of the documents they name."""
-    rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = picked(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), doc, text)
     with_b = pairs.join(rows.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     with_both = with_b.join(rows.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
 
@@ -127,6 +137,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, *, do
     return with_both.mapInPandas(run, "a long, b long")
 
 
+def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, *, doc="doc_id", text="text") -> DataFrame:
+    """Pairs (a, b) of nodes (node, component) in different components that may be similar; none that is similar is missing.
+
+    With shingles ordered from rare to frequent, a similar pair has a common one in the first n - ceil(2p/(100+p) n) + 1
+    of the smaller set and the first m - ceil(p/100 m) + 1 of the larger. If the first common one stands at i and j,
+    the sets share 1 + min(n - i - 1, m - j - 1) at most; and never more than what other nodes share with each.
+    """
+    nodes = settle(nodes, "rest")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 64):
+                part = pdf.iloc[i : i + 64]
+                sets = shingle_sets(list(part["text"]), width)
+                yield pd.DataFrame({"node": part["id"], "h": [x.view(np.int64) for x in sets]})
+
+    sets = picked(docs, nodes.select(F.col("node").alias("id")), doc, text).mapInPandas(run, "node long, h array<long>")
+    sets = settle(sets.select("node", F.array_distinct("h").alias("h"), F.size("h").alias("n")).dropDuplicates(["node"]), "rest-sets")
+    each = sets.select("node", F.explode("h").alias("h"))
+    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    core = nodes.join(sets.select("node", "n"), "node").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * percent)
+    core = settle(core.select("node", "component", "most"), "core")
+    few = F.broadcast(core) if core.count() <= MAX_BROADCAST else core
+    held = sets.join(few, "node").select("node", "component", "n", "most", F.explode("h").alias("h"))
+    ranked = held.join(held.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "h")
+    # Shingles of one node only come first in its order and meet nobody; places are counted from behind them.
+    ordered = ranked.groupBy("node", "component", "n", "most").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("order"))
+    own = F.col("n") - F.size("order")
+    wide = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    narrow = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    rows = settle(ordered.select("node", "component", "n", "most", narrow.alias("narrow"), own.alias("own"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), (wide - own).cast("int")))).alias("p", "s")), "prefixes")
+    rows = rows.select("node", "component", "n", "most", "narrow", (F.col("own") + F.col("p")).alias("at"), F.col("s.h").alias("h"))
+    small = rows.where(F.col("at") < F.col("narrow")).withColumnsRenamed({c: f"{c}_" for c in rows.columns if c != "h"})
+    after = (F.col("n") > F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("node") > F.col("node_")))
+    common = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"), F.col("most"), F.col("most_"))
+    enough = common * (100 + percent) >= (F.col("n") + F.col("n_")) * percent
+    met = small.join(rows, "h").where((F.col("component") != F.col("component_")) & after & alike("n", "n_", percent) & enough)
+    return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """node, component (smallest node reachable) of every node with an edge. Labels take the least of their neighbours', then of the node they point to, until nothing changes."""
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -153,20 +203,19 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     nodes = settle(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
     posted = nodes.select("node", "n", F.posexplode(F.slice("signature", 1, COORDS - MATCH + 1)).alias("c", "value")).select(F.xxhash64("c", "value").alias("list"), "node", "n")
-    heads = posted.groupBy("list").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = settle(posted.join(heads.select("list", "head"), "list"), "lists")
+    sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = settle(posted.join(sizes, "list"), "shared")
+    central = shared.join(shared.groupBy("node").agg(F.sum("size").alias("score")), "node")
+    heads = central.groupBy("list").agg(F.max(F.struct("score", (-F.col("node")).alias("first"), "node", "n")).alias("head"))
+    lists = settle(shared.select("list", "node", "n").join(heads, "list"), "lists")
     first = lists.where((F.col("node") != F.col("head.node")) & alike("n", "head.n", percent)).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
     edges = settle(confirmed(counted(first, nodes, percent), docs, width, percent, doc=doc, text=text), "edges")
     known = components(edges)
 
-    placed = lists.join(known, "node", "left").select("list", "node", "n", F.col("head.node").alias("head"), F.coalesce("component", "node").alias("component"))
-    shares = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("share"))
-    open_lists = shares.groupBy("list").agg(F.max(F.struct("share", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", F.col("top.component").alias("top"))
-    rest = settle(placed.where("node != head").join(open_lists, "list"), "rest")
-    outside = rest.where("component != top").select("list", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    meet = outside.join(rest, "list").where((F.col("cx") != F.col("component")) & alike("n", "nx", percent))
-    second = meet.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    more = settle(confirmed(counted(second, nodes, percent), docs, width, percent, doc=doc, text=text), "edges")
+    placed = lists.join(known, "node", "left").select("list", "node", F.col("head.node").alias("head"), F.coalesce("component", "node").alias("component"))
+    open_lists = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
+    rest = placed.where("node != head").join(open_lists, "list", "left_semi").groupBy("node").agg(F.first("component").alias("component"))
+    more = settle(confirmed(prefix_pairs(rest, docs, width, percent, doc=doc, text=text), docs, width, percent, doc=doc, text=text), "edges")
     if not more.isEmpty():
         known = components(edges.unionByName(more))
 
