@@ -44,15 +44,15 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, *, doc="doc
     spread = base.select("doc_id", "text_key", "words", F.explode(F.concat(own, *[F.coalesce(spots(n), empty) for n in sizes])).alias("at"))
     spread = spread.select("doc_id", "text_key", "words", "at.pos", "at.n", "at.key")
     build = windows.select(F.col("key"), F.col("n").alias("size"), "found")
-    build = F.broadcast(build) if total <= max_broadcast else build
-    met = spread.join(build, (spread.key == build.key) & (spread.n == build.size), "left").where((F.col("pos") < 0) | F.col("found").isNotNull())
-    same = F.transform(F.filter("found", lambda x: x["window"] == F.slice("words", F.col("pos") + 1, F.col("n"))), lambda x: x["item_id"])
-    seen = met.select(
-        "doc_id",
-        "text_key",
-        F.when(F.col("pos") < 0, F.size("words")).alias("n_words"),
-        F.when(F.col("pos") >= 0, F.struct("pos", "n", F.array_sort(same).alias("items"))).alias("hit"),
-    )
+    own_row, window = F.when(F.col("pos") < 0, F.size("words")).alias("n_words"), F.when(F.col("pos") >= 0, F.slice("words", F.col("pos") + 1, F.col("n"))).alias("window")
+    small = total <= max_broadcast
+    if not small:  # what is shuffled has its own words only, not the document's
+        spread = spread.select("doc_id", "text_key", "pos", "n", "key", own_row, window)
+    met = spread.join(F.broadcast(build) if small else build, (spread.key == build.key) & (spread.n == build.size), "left").where((F.col("pos") < 0) | F.col("found").isNotNull())
+    if small:
+        met = met.select("doc_id", "text_key", "pos", "n", "found", own_row, window)
+    same = F.transform(F.filter("found", lambda x: x["window"] == F.col("window")), lambda x: x["item_id"])
+    seen = met.select("doc_id", "text_key", "n_words", F.when(F.col("pos") >= 0, F.struct("pos", "n", F.array_sort(same).alias("items"))).alias("hit"))
     grouped = seen.groupBy("doc_id", "text_key").agg(F.max("n_words").cast("long").alias("n_words"), F.count("n_words").cast("int").alias("copies"), F.collect_set("hit").alias("hits"))
     whole = grouped.withColumn("hits", F.filter("hits", lambda h: F.size(h["items"]) > 0))
     return whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
