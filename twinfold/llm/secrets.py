@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .pii import places
 
-#: Characters looked at before a candidate; words of the dictionary; labelled findings that the forest is fitted on, about.
-CONTEXT, DICTIONARY, SAMPLE = 60, 5000, 20_000
+#: Characters looked at before a candidate; words of the dictionary and their least count; labelled findings that the forest is fitted on, about.
+CONTEXT, DICTIONARY, COMMON, SAMPLE = 60, 5000, 5, 20_000
 TREES, DEPTH, THRESHOLD = 20, 5, 0.5
 
 # What candidates consist of, the words that announce a secret and paths of examples.
@@ -28,7 +28,7 @@ FEATURES = ["length", "changes", "variety", "digits", "capitals", "coverage", "d
 def dictionary(docs: DataFrame, *, text="text", size: int = DICTIONARY) -> DataFrame:
     """The most frequent words of four letters or more, lower-cased."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = words.where(F.length("word") >= 4).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    words = words.where(F.length("word") >= 4).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     return words.orderBy(F.desc("n"), "word").limit(size).select("word")
 
 
