@@ -1,0 +1,361 @@
+"""The training-data operators on small tables: hard cases, and against brute force."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from twinfold.llm import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, registry, secrets, text, tokens
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and a column whose name an operator might use."""
+    long = " ".join(f"word{i % 997}" for i in range(60_000))
+    rows = [(1, "Hello there, General.", "en", "a"), (2, None, "en", None), (3, "", None, "a"), (None, "no id here at all", "de", "b"), (1, "Hello there, General.", "en", "a"), (1, "another text of that id", "en", "a"), (7, long, "en", "c"), (8, long + " x", None, "c"), (9, " \n\t ", "en", "c"), (10, "12345 !!", "fr", ""), (11, "É é ñ   日本", "es", "a")]
+    return spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], DOCS).withColumns({"_block": F.lit(1), "node": F.lit(2)})
+
+
+def test_sql_queries(same):
+    for name, sql in registry.SQL.items():
+        same(registry.QUERIES[name], sql)
+
+
+def test_word_hashes():
+    texts = ["A b  c", "", "b a", " c\t\nB ", "ab ba"]
+    h, n = text.space_words([t.encode() for t in texts])
+    assert n.tolist() == [3, 0, 2, 2, 2]
+    w = [x for t in texts for x in words(t)]
+    assert len(h) == len(w) and all((h[i] == h[j]) == (w[i] == w[j]) for i in range(len(w)) for j in range(len(w)))
+
+
+# Language ID
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    out = langid.op1_language_id(spark, sf_dir)
+    assert out.count() == docs.count()
+    held = out.where("held_out").join(docs, "doc_id")
+    right, total = held.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert right / total > 0.95
+    assert out.where("score < 0 or score > 1").count() == 0
+
+
+def test_language_odd(spark, odd):
+    model = langid.fit(["the cat and the dog of the house"] * 8 + ["der hund und die katze aus dem haus"] * 8, ["en"] * 8 + ["de"] * 8)
+    out = langid.identify(odd, model).collect()
+    assert {r["lang_pred"] for r in out if not r["text"] or r["doc_id"] in (9, 10)} == {"und"}
+    assert [c for c in langid.drop_unidentified(odd).columns] == odd.columns
+    assert langid.identify(odd.limit(0), model).count() == 0
+    assert langid.drop_unidentified(odd.where("lang is null")).count() >= 1  # nothing to learn from: texts with letters stay
+
+
+# Token files
+def test_token_round_trip(spark, odd, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens.write_tokens(odd, str(tmp_path / "t"), path, block=5000)
+    got = tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    plain = Tokenizer.from_file(path)
+    assert len(got) == odd.count()
+    want = sorted((r["doc_id"] or -1, np.array(plain.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in odd.collect())
+    assert sorted((r["doc_id"] or -1, bytes(r["ids"])) for r in got) == want
+    assert [r["doc_id"] or -1 for r in got] == sorted(r["doc_id"] or -1 for r in got)
+    at = 0
+    for r in got:
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(r["ids"]) // 4, zlib.crc32(bytes(r["ids"])))
+        at += r["n_tokens"]
+    tokens.write_tokens(odd.limit(0), str(tmp_path / "e"), path)
+    assert tokens.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_encoder_pieces():
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a_b  c", "it's John's. foo.\nBar\n\nx", "x² ok Ⅷ.", "<|endoftext|> a", "a\n b \nc", "", "  ", " lead", "trail ", "t\tx　q", "日本語 テスト", "3.5kg A1 ٣", "a\r\nb c\x1cd", "é 'll we'll"]
+    assert e(texts) == e.plain(texts)
+
+
+def test_variable_length_codes():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 4, 5, 1000):
+        ranks = (rng.integers(0, 1 << 32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
+        control, data = tokens.pack(ranks)
+        assert len(control) == -(-n // 4) and (tokens.unpack(control, data, n) == ranks).all()
+
+
+# Language model
+def test_lm_base_and_gain(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: words(r["text"]) + [None] for r in docs.collect()}
+    counts = {}
+    for i, w in rows.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for x in w:
+                counts[x] = counts.get(x, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    out = lm.op3_lm_scores(spark, sf_dir).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        w = rows[r["doc_id"]]
+        base = sum(math.log10((counts.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        assert r["n_tokens"] == len(w) and r["train_tokens"] == n and r["n_known"] == sum(x in counts for x in w)
+        assert abs(r["base_score"] - base) < 1e-6 * abs(base)
+    held = [r for r in out if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over the training words and the unknown word, in every context that a one-word text can end in."""
+    train = spark.createDataFrame([(i, " ".join(random.Random(i).choices("aa bb cc dd ee ff".split(), [9, 5, 3, 2, 1, 1], k=30))) for i in range(20)], "doc_id long, text string")
+    vocabulary = ["aa", "bb", "cc", "dd", "ee", "ff", "unheard"]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(vocabulary)] + [(99, None)], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, train).collect()}
+    # p(w, end) = p(w) p(end | w): with w unknown the context is that of no known word.
+    assert all(s < 0 for s in score.values()) and score[0] > score[5] > score[6]
+    assert sum(10 ** score[i] for i in range(len(vocabulary))) + 10 ** score[99] < 1
+
+
+def test_lm_odd(spark, odd):
+    out = lm.score_documents(odd, odd.where("doc_id = 7")).collect()
+    assert len(out) == odd.count() and all(r["n_tokens"] >= 1 and r["score"] <= 0 for r in out)
+    nothing = lm.score_documents(odd, odd.limit(0)).collect()
+    assert len(nothing) == odd.count() and all(r["train_tokens"] == 0 and abs(r["score"]) < 1e-9 for r in nothing)
+    assert lm.score_documents(odd.limit(0), odd).count() == 0
+
+
+# Fingerprints
+def test_fingerprints_of_next(spark, odd):
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in fingerprint.with_next(docs, fingerprint._edited, fingerprint.FINGERPRINTED).collect()}
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        assert got[i]["fingerprint"] == fingerprint.to_text(fingerprint.sketch(t)) and got[i]["edited_fingerprint"] == fingerprint.to_text(fingerprint.sketch(edited))
+    assert fingerprint.with_next(odd, fingerprint._edited, fingerprint.FINGERPRINTED).count() == odd.count()
+    assert fingerprint.with_next(odd.limit(0), fingerprint._edited, fingerprint.FINGERPRINTED).count() == 0
+
+
+def test_sketch_estimates(spark):
+    rng = random.Random(3)
+    a = "".join(rng.choices("abcdefgh ", k=20_000))
+    b = a[:15_000] + "".join(rng.choices("abcdefgh ", k=5_000))
+    sets = [{x.encode() for x in (t[i : i + fingerprint.WIDTH] for i in range(len(t) - fingerprint.WIDTH + 1))} for t in (a, b)]
+    sa, sb = fingerprint.sketch(a), fingerprint.sketch(b)
+    true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert abs(fingerprint.resemblance(sa, sb) - true) < 0.15
+    assert abs(fingerprint.containment(sa, sb) - len(sets[0] & sets[1]) / len(sets[0])) < 0.2
+    assert abs(fingerprint.distinct(sa) / len(sets[0]) - 1) < 0.3
+    whole = fingerprint.bottom(np.concatenate([fingerprint.shingle_hashes(t.encode()) for t in (a, b)]))
+    assert (fingerprint.merge(sa, sb) == whole).all() and (fingerprint.from_text(fingerprint.to_text(sa)) == sa).all()
+    parts = spark.createDataFrame([("k", fingerprint.to_text(sa)), ("k", fingerprint.to_text(sb)), (None, fingerprint.to_text(sb))], "k string, fingerprint string")
+    merged = {r["k"]: r["fingerprint"] for r in fingerprint.merge_fingerprints(parts, "k").collect()}
+    assert merged == {"k": fingerprint.to_text(whole), None: fingerprint.to_text(sb)}
+
+
+# Personal data
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+
+
+def plain_spans(t):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            out += [(kind, m.start(), m.end())] * ok
+    return out
+
+
+def test_personal_data_spans(spark):
+    rng = random.Random(5)
+    bits = ["a.b@c.de", "x_@y-z.co.uk", "@", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (301) 555-0346", "+49 30 1234", "+1+23456789012", "é", "日本", "𝒳", " ", ".", "-", "12", "a@b.c_d@e.f"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(300)] + [None, "", "a" * 50_000 + "@" + "b." * 20_000 + "c", "1 " * 30_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in pii.find_spans(rows).collect()}
+    assert all(got[i] == plain_spans(t or "") for i, t in enumerate(texts))
+
+
+def test_disclosing_terms(spark):
+    """A word that stands beside one person's address only is taken out there; words that stand elsewhere too stay."""
+    rows = [(i, f"t{i} the Zorbulon asked zed.kay@mail.org about it") for i in range(5)] + [(10 + i, "the asked about it and so on") for i in range(50)] + [(100 + i, f"p{i}q@mail.org") for i in range(60)] + [(999, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("terms", F.lit(0))
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert out[0] == "t0 the  asked [EMAIL] about it" and out[10] == rows[5][1] and out[999] is None
+    assert pii.sanitised(docs).columns == docs.columns and pii.find_spans(docs.limit(0)).count() == 0
+
+
+# Mixing
+def test_mixing_meets_target(spark):
+    rows = [(i, "w " * (1 + i % 7), "big" if i % 10 else f"small{i % 30}") for i in range(3000)] + [(9000, None, None), (9001, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_cell", F.lit(0))
+    out = mixing.mix(docs, mixing.Target(limit=3.0), block=500).cache()
+    assert out.select("doc_id").distinct().count() == len(rows)
+    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    tokens_of = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+    weight = {r["source"]: r["w"] for r in out.groupBy("source").agg(F.first("_source_weight").alias("w")).collect()}
+    total = sum(tokens_of.values())
+    assert all(abs(tokens_of[s] / total - weight[s]) < 0.01 for s in weight)
+    assert mixing.mix(docs.limit(0)).count() == 0
+    cut = mixing.mix(docs, mixing.Target(budget=2000))
+    used = cut.agg(F.sum(mixing.words(F.col("text")))).first()[0]
+    assert 1900 <= used <= 2000
+
+
+def test_exponent():
+    assert mixing.exponent([10, 10], mixing.Target()) == 0.0
+    x = mixing.exponent([900, 100], mixing.Target(limit=3.0))
+    assert abs(9 ** (1 - x) - 3) < 1e-6
+    x = mixing.exponent([900, 100], mixing.Target(entropy=0.5))
+    assert abs(mixing.entropy([0.9, 0.1], x) - 0.5) < 1e-6
+
+
+# Secrets
+def test_secret_scan(spark):
+    rng = random.Random(2)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(60)]
+    rows = [(i, f'and the token = "{h}" was set', "src/app") for i, h in enumerate(hexes)] + [(100 + i, f"call {i:016d} or mail me{i}again-and-again-1@mail.org now", "doc") for i in range(60)] + [(900, None, None), (901, "", "x"), (902, "plain words", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secrets.scan(docs).select("doc_id", "start", "end", "secret").collect()
+    assert {r["doc_id"] for r in out if r["secret"]} == set(range(60)) and {r["doc_id"] for r in out if not r["secret"]} == set(range(100, 160))
+    assert secrets.scan(docs.limit(0)).count() == 0
+    assert secrets.scan(docs.where("doc_id < 60")).where("secret").count() == 60
+
+
+# Near duplicates
+def brute(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        c = len(sets[a] & sets[b])
+        if c and 100 * c >= percent * len(sets[a] | sets[b]):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Copies, chains of small edits, groups of edited copies around one text, and texts with a common passage."""
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    rows, passage = [], some(50)
+    for g in range(12):
+        base = some(rng.randint(4, 150))
+        for _ in range(rng.randint(1, 12)):
+            t = list(base)
+            for _ in range(rng.randint(0, len(t) // 20)):
+                t[rng.randrange(len(t))] = f"e{rng.randint(0, 50)}"
+            if g % 3 == 0:
+                base = t
+            rows.append(" ".join(t))
+    rows += [" ".join(some(100) + passage + some(100)) for _ in range(15)] + ["one two", "one two", "One  TWO", "", None, " \n"]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.near_duplicates(docs, width=4).collect()}
+    assert got == brute(rows, 4, 80)
+
+
+def test_near_duplicates_odd(spark, odd):
+    out = dedup.near_duplicates(odd, width=4).collect()
+    assert len(out) == odd.count()
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert by[8][0]["component_id"] == 7 and not by[8][0]["kept"] and by[None][0]["component_id"] is None and by[None][0]["kept"]
+    kept = dedup.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 0 and kept.where("doc_id is null").count() == 1
+    assert kept.where("doc_id = 1 and text like 'Hello%'").count() == 1
+    assert dedup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_prefix_join_misses_nothing(spark):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(60)] = f"e{rng.randint(0, 9)}"
+        rows.append((i, " ".join(t[: rng.randint(50, 60)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = spark.createDataFrame([(i, i) for i, _ in rows], "node long, component long")
+    sets = dedup.shingle_sets([t for _, t in rows], 4)
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    found = {tuple(r) for r in dedup.confirmed(dedup.prefix_pairs(alone, docs, 4, 80), docs, 4, 80).collect()}
+    assert want and found == want
+
+
+# Decontamination
+def test_contamination_odd(spark, odd):
+    items = spark.createDataFrame([(1, "Hello THERE general"), (2, None), (3, "!!"), (4, " ".join(f"word{i}" for i in range(5, 40))), (5, "hello, there: GENERAL")], "item_id long, text string")
+    for broadcast in (decontaminate.MAX_BROADCAST, 0):
+        found = decontaminate.find_hits(odd, items, max_broadcast=broadcast).collect()
+        assert len(found) == odd.count()
+        hit = {(r["doc_id"], r["n_words"]) for r in found if r["hits"]}
+        assert hit == {(1, 3), (7, 60_000), (8, 60_001)}
+    kept = decontaminate.drop_contaminated(odd, items)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 4
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(odd.where("doc_id = 1"), items).collect()}
+    assert set(cut) == {1}
+    assert decontaminate.find_hits(odd, items.limit(0)).where(F.size("hits") > 0).count() == 0
+    assert decontaminate.find_hits(odd.limit(0), items).count() == 0
+
+
+# Chat
+def test_chat_round_trip(spark):
+    texts = ["<|im_end|>", "<||x<|", "a<", "|b", "", None, "%0A\n", "<|||||"]
+    roles = ["user", "assistant", "odd\nrole<|", None, "%", "system"]
+    rng = random.Random(1)
+    rows = [(c, t, rng.choice(roles), rng.choice(texts)) for c in range(40) for t in range(rng.randint(1, 6))] + [(None, None, "user", "x"), (50, 0, "system", "s"), (50, 1, "user", "u"), (50, 2, "assistant", "a")]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rows", F.lit(1))
+    out = chat.format_conversations(data).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("said", chat.read_loss(F.col("segments"))).collect()
+    for r in out:
+        own = sorted(((t if t is not None else -1), ro or "", x or "") for c, t, ro, x in rows if c == r["conv_id"])
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(ro, x) for _, ro, x in own]
+        assert r["said"] == "".join(x for _, ro, x in own if ro == "assistant")
+    assert {r["conv_id"] for r in out if r["valid"]} >= {50}
+    assert [r["bad_turn"] for r in out if r["conv_id"] == 50] == [None]
+    assert chat.format_conversations(data.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf_dir)
+    ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+    kept = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    assert ids <= {i for i, (_, c) in kept.items() if c == i}
+    assert len(ids) > 0.7 * docs.count()
