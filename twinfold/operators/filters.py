@@ -104,5 +104,5 @@ def export_filter(files: DataFrame, groups: DataFrame, *, include_undecided=Fals
 def search_paths(files: DataFrame, pattern: str, limit: int) -> DataFrame:
     """The first matches by id, each with the number of all matches."""
     found = path_like(files, pattern)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return found.orderBy("file_id").limit(limit).join(F.broadcast(total), how="cross")
+    total = found.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
+    return found.orderBy("file_id").limit(limit).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
