@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,36 +27,45 @@ from ..session import new_path, partitions
 BLOCK = 1 << 19
 #: Tokens a shard is planned for.
 SHARD = 1 << 24
-#: Spaces beside other white space: there the words between single spaces aren't encoded one by one.
-_ODD = re.compile(r" \s|\s ")
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 SIZES = (_CODES + 1).astype(np.uint8)  # bytes of the four ranks of each control byte
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 BLOCKS = "shard int, before long, docs array<long>, counts array<long>, control binary, data binary"
 
 
+# The expression of the byte-level pre-tokeniser, in Python's terms. Its \s also has 1C-1F, and its
+# letters and digits leave out other numbers; texts with these, or with a special token, are encoded whole.
+_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_CONTROLS = re.compile("[\x1c-\x1f]")
+
+
 class Encoder:
-    """Encodes texts; words between single spaces, which the pre-tokeniser never joins, are encoded once and kept."""
+    """Encodes texts; the pieces that the pre-tokeniser cuts them into are encoded by the tokenizers library once and kept."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer, self.keep, self.known, self.other = Tokenizer.from_file(path), keep, {}, set()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(self, text: str) -> bool:
+        return _CONTROLS.search(text) is not None or any(s in text for s in self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split(" ") for t in texts]
-        whole = iter(self.plain([t for t, s in zip(texts, split) if s is None]))
-        heads = iter(self.plain([s[0] for s in split if s]))
+        cut = [[] if self.whole(t) else _PIECES.findall(t) for t in texts]
         if len(self.known) > self.keep:
-            self.known = {}
-        missing = list(set().union(*[s[1:] for s in split if s]) - self.known.keys())
-        self.known.update(zip(missing, self.plain([f" {w}" for w in missing])))
-        return [next(whole) if s is None else next(heads) + b"".join(map(self.known.__getitem__, s[1:])) for s in split]
+            self.known, self.other = {}, set()
+        new = list(set().union(*cut) - self.known.keys())
+        self.known.update(zip(new, self.plain(new)))
+        self.other.update(p for p in new if p[-1].isalnum() and not (p.lstrip().isalpha() or p.lstrip().isdecimal() or p[0] == "'"))
+        held = [b"".join(map(self.known.__getitem__, c)) if c and self.other.isdisjoint(c) else None for c in cut]
+        rest = iter(self.plain([t for t, h in zip(texts, held) if h is None]))
+        return [next(rest) if h is None else h for h in held]
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -85,7 +95,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, end: int | None = 0, doc="d
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(tokenizer)
-        tail = b"" if end is None else np.array([end], encode.type).tobytes()
+        tail = b"" if end is None else array(encode.kind, [end]).tobytes()
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 part = pdf.iloc[i : i + 500]
