@@ -207,6 +207,20 @@ def test_disclosing_terms(spark):
     assert pii.sanitised(docs).columns == docs.columns and pii.find_spans(docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_everywhere(spark):
+    """Far from the address in its text, and in texts without it; look-alikes and words cut by other signs are told apart."""
+    far = "one two three four five six seven eight"
+    more = "Zorb.\\Eulon zorb.\\eulon, é Zorb.\\Eulon Zorbx\\Eulon"
+    rows = [(i, f"t{i} the Zorb.\\Eulon asked zed.kay@mail.org {far} {'' if i else more}") for i in range(30)] + [(50, "so (Zorb.\\Eulon) left"), (51, None)]
+    rows += [(100 + i, f"p{i}q@mail.org {far} the asked") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert "Eulon" not in out[0].replace("Zorbx\\Eulon", "") and "eulon" not in out[0] and "the asked" not in out[50]
+    assert out[50].split() in (["so", "left"], ["so", "zor*", "left"]) and out[51] is None and out[100] == f"[EMAIL] {far} the asked"
+    value = {r["doc_id"]: [(t["start"], t["end"], t["value"]) for t in r["terms"]] for r in pii.find_spans(docs).collect()}
+    assert all(rows[i][1][a:b] == v for i in range(30) for a, b, v in value[i]) and [len([v for v in value[i] if "ulon" in v[2].lower()]) for i in (0, 3, 50)] == [4, 1, 1]
+
+
 # Mixing
 def test_mixing_meets_target(spark):
     rows = [(i, "w " * (1 + i % 7), "big" if i % 10 else f"small{i % 30}") for i in range(3000)] + [(9000, None, None), (9001, "", None)]

@@ -4,14 +4,15 @@ Four patterns find protected entities: e-mail and IP addresses, card and phone n
 words around them give away. An entity's information is -log2 p(e), with p(e) the entity's share of the mentions
 of all entities. A word t discloses log2 p(e|t) / p(e) of it, with p(e|t) = n(e,t) / n(t): the occurrences of t within
 WINDOW words of e over the occurrences of t in the corpus. Where that is ALPHA of the entity's information or more,
-p(e|t) is SURE or more, and the two have met in SUPPORT different texts or more, t beside e is sanitised: it is
-generalised to its first STEM letters if the words that share these don't disclose e themselves, else removed.
+p(e|t) is SURE or more, and the two have met in SUPPORT different texts or more, t is sanitised wherever it occurs, in texts
+without e too (WINDOW is for the estimate only): it is generalised to its first STEM letters if the words that share these don't disclose e themselves, else removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..session import settle
 
@@ -124,6 +125,22 @@ def disclosures(texts: DataFrame, found: DataFrame, near: DataFrame, *, alpha: f
     return revealing.select("entity", "term", F.when(general, F.concat("stem", F.lit("*"))).otherwise(F.lit("")).alias("put"))
 
 
+def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """text_key, start, end, value, put: every place of the disclosing terms (term, put) in all texts; equal texts count once."""
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    # The texts stay behind while their words are looked up; only those with a hit are read again.
+    each = keyed.select("text_key", F.explode(F.array_distinct(F.split("text", r"[\x09-\x0D ]+"))).alias("value"))
+    hits = settle(each.withColumn("term", term(F.col("value"))).join(told, "term").select("text_key", "value", "put").distinct(), "hits")
+    rows = keyed.join(hits, "text_key").dropDuplicates(["text_key", "value"])
+    quoted = F.concat(F.lit(r"(?<![^\x09-\x0D ])\Q"), F.replace("value", F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![^\x09-\x0D ])"))
+    gaps = rows.select("text_key", "value", "put", F.transform(F.split("text", quoted, -1), lambda g: F.length(g)).alias("gaps"))
+    gaps = gaps.select("text_key", "value", "put", F.size("gaps").alias("n"), F.posexplode("gaps").alias("i", "gap"))
+    before = F.sum("gap").over(Window.partitionBy("text_key", "value").orderBy("i"))
+    start = (before + F.col("i") * F.length("value")).cast("int")
+    found = gaps.withColumn("start", start).where(F.col("i") < F.col("n") - 1)
+    return found.select("text_key", "start", (F.col("start") + F.length("value")).alias("end"), "value", "put")
+
+
 def find_spans(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
     """doc_id, text_key (a hash of the text), base (spans of the four kinds), terms (start, end, value, put) of each row; null counts as empty.
 
@@ -132,13 +149,14 @@ def find_spans(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
     texts = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = texts.withColumn("text_key", F.xxhash64("text")).withColumn("spans", base_spans(F.col("text")))
     found = settle(spans.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
-    near = context(found)
-    told = near.join(disclosures(texts, found, near), ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end", "value").agg(F.min("put").alias("put"))
-    each = told.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "put"))).alias("terms"))
-    kind = each.schema["terms"].dataType.simpleString()
-    each = each.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    joined = found.join(each, found.doc_id.eqNullSafe(F.col("_doc")) & (found.text_key == F.col("_key")), "left")
-    return joined.select("doc_id", "text_key", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast(kind)).alias("terms"))
+    told = settle(disclosures(texts, found, context(found)), "disclosures").groupBy("term").agg(F.min("put").alias("put"))
+    kind = "array<struct<start:int,end:int,value:string,put:string>>"
+    none = F.array().cast(kind)
+    if told.isEmpty():
+        return found.select("doc_id", "text_key", F.col("spans").alias("base"), none.alias("terms"))
+    each = occurrences(texts, told).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "put"))).cast(kind).alias("terms"))
+    joined = found.join(each, "text_key", "left").withColumn("terms", F.filter(F.coalesce("terms", none), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))))
+    return joined.select("doc_id", "text_key", F.col("spans").alias("base"), "terms")
 
 
 def sanitised(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
