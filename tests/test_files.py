@@ -74,6 +74,13 @@ def test_images(spark, tree):
     assert features.phash64(images, most=100_000).where("phash is not null").count() == 4
 
 
+def test_evaluate_pairs_of_both_classes(spark):
+    """Two names that say `fail` are expected to differ: a true negative, a false positive, a true and a false match; mixed pairs are left out."""
+    rows = [("a_fail1", "0" * 16), ("a_fail2", "f" * 16), ("b_fail1", "0" * 16), ("b_fail2", "0" * 15 + "1"), ("c_1", "0" * 16), ("c_2", "0" * 16), ("c_fail", "0" * 16), ("d_1", "0" * 16), ("d_2", "f" * 16)]
+    out = evaluate_pairs(spark.createDataFrame(rows, "name string, phash string")).collect()
+    assert {(r["expected"], r["predicted"], r["n"]) for r in out} == {(False, False, 1), (False, True, 1), (True, True, 1), (True, False, 1)}
+
+
 def test_snapshots_and_catalogue(spark, tmp_path):
     table = ingest.Snapshots(spark, f"{tmp_path}/t", "a long")
     assert table.read().count() == 0

@@ -129,8 +129,9 @@ def dedup_summary(clusters: DataFrame) -> DataFrame:
 def evaluate_pairs(images: DataFrame, k: int = 5) -> DataFrame:
     """expected, predicted, n over pairs of (name, phash) that share the text before the first `_`; pairs of which one name says `fail` are left out.
 
+    Pairs of which both names say `fail` are expected to differ, all others to match.
     Pairs of different prefixes aren't formed; those within k bits would be wrong, and hamming_join finds them.
     """
     side = lambda x: images.select(name_prefix(F.col("name")).alias("prefix"), F.col("name").alias(f"name{x}"), parse_phash(F.col("phash")).alias(f"h{x}"))
     met = side("a").join(side("b"), "prefix").where((F.col("namea") < F.col("nameb")) & (F.col("namea").contains("fail") == F.col("nameb").contains("fail")))
-    return met.groupBy(F.lit(True).alias("expected"), (distance(F.col("ha"), F.col("hb")) <= k).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy((~F.col("namea").contains("fail")).alias("expected"), (distance(F.col("ha"), F.col("hb")) <= k).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
