@@ -18,11 +18,18 @@ TREES, DEPTH, THRESHOLD = 20, 5, 0.5
 
 # What candidates consist of, the words that announce a secret and paths of examples.
 SIGNS = "A-Za-z0-9_+/=-"
-LONG = rf"(?<![{SIGNS}])(?=[A-Za-z_+/=-]*+[0-9])[{SIGNS}]{{16,}}+"
-ANNOUNCED = rf"(?<=(?:token|secret|key|passwd|password|pwd) {{0,2}}[=:] {{0,2}}[\"'])[^\"'\s]{{8,}}+"
 WORDS = "token|secret|key|passwd|password|pwd|auth|bearer|credential"
+NAME = rf"(?:{WORDS})(?:s|[_-][A-Za-z0-9_-]{{0,20}})?"
+# A long run starts at its first sign, but behind the `=` where a name of a secret and `=` lead it.
+LONG = rf"(?:(?<![{SIGNS}])(?=[A-Za-z_+/=-]*+[0-9])(?=[{SIGNS}]{{16}})(?![A-Za-z0-9_-]{{0,40}}?(?i:{NAME})=[A-Za-z0-9_+/-]{{8}})|(?<==)(?<=(?i:{NAME})=)(?=[A-Za-z_+/=-]*+[0-9]))[{SIGNS}]{{16,}}+"
+# The name may have a closing quote of its own (JSON, YAML); a value without quotes ends at white space, without the signs that close a clause.
+ANNOUNCED = rf"(?:(?<=[\"'])(?<={NAME}[\"']? {{0,2}}[=:] {{0,2}}[\"'])[^\"'\s]{{8,}}+|(?<=[=:] {{0,2}})(?<={NAME}[\"']? {{0,2}}[=:] {{0,2}})(?![=:])[^\"'\s]{{8,}}?(?=[,;.)]*+(?:[\"'\s]|$)))"
+# Shapes that only secrets have: JSON web tokens and the prefixes of well-known keys.
+SHAPE = r"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-])"
 EXAMPLES = "test|example|sample|fixture|mock|doc"
-FEATURES = ["length", "changes", "variety", "digits", "capitals", "coverage", "depth", "example", "announced", "near", "assigned", "quoted"]
+FEATURES = ["length", "changes", "variety", "digits", "capitals", "coverage", "depth", "example", "announced", "near", "assigned", "quoted", "shape"]
+#: Scores without a forest, where labels of one class are missing: known shapes and announced values that are assigned, varied bare runs, all others.
+PRIOR = (0.9, 0.6, 0.1)
 
 
 def dictionary(docs: DataFrame, *, text="text", size: int = DICTIONARY) -> DataFrame:
@@ -37,8 +44,9 @@ def candidates(docs: DataFrame, *, doc="doc_id", text="text", path="source") ->
     rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     long = F.when(F.col("text").rlike("[0-9]"), places(F.col("text"), LONG, F.lit("secret"))).otherwise(none)
-    told = F.when(F.col("text").rlike(f"(?i){WORDS}"), places(F.col("text"), f"(?i){ANNOUNCED}", F.lit("secret"))).otherwise(none)
-    each = rows.select("doc_id", "text_key", "path", "text", F.explode(F.array_union(long, told)).alias("span"))
+    announced = F.when(F.col("text").rlike(f"(?i){WORDS}"), places(F.col("text"), f"(?i){ANNOUNCED}", F.lit("secret"))).otherwise(none)
+    shaped = F.when(F.col("text").rlike(SHAPE), places(F.col("text"), SHAPE, F.lit("secret"))).otherwise(none)
+    each = rows.select("doc_id", "text_key", "path", "text", F.explode(F.array_union(F.array_union(long, announced), shaped)).alias("span"))
     start, end = F.col("span.start"), F.col("span.end")
     taken = F.least(F.lit(CONTEXT), start)
     out = each.select("doc_id", "text_key", "path", start.alias("start"), end.alias("end"), F.col("span.value").alias("value"), F.lower(F.substring("text", start - taken + 1, taken)).alias("before"), F.substring("text", end + 1, F.lit(CONTEXT)).alias("after"))
@@ -69,26 +77,38 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
             "coverage": F.coalesce("covered", F.lit(0)) / letters,
             "depth": F.size(F.split("path", "/")).cast("double"),
             "example": flag(F.lower("path").rlike(EXAMPLES)),
-            "announced": flag(before.rlike(rf"(?:{WORDS})[^\p{{L}}]{{1,6}}$")),
+            "announced": flag(before.rlike(rf"{NAME.lower()}[^\p{{L}}]{{1,6}}$")),
             "near": flag(before.rlike(WORDS)),
             "assigned": flag(before.rlike(r"[=:]\s{0,2}[\"']?$")),
             "quoted": flag(before.rlike("[\"']$") & F.col("after").rlike("^[\"']")),
+            "shape": flag(value.rlike(f"^{SHAPE}$")),
         }
     ).drop("covered")
 
 
+def told() -> Column:
+    """Announced and assigned."""
+    return (F.col("announced") > 0) & (F.col("assigned") > 0)
+
+
+def varied() -> Column:
+    """Runs of 24 signs or more, capitals, small letters and digits among them, that no words cover."""
+    return (F.col("length") > 3.17) & (F.col("variety") > 2.8) & (F.col("coverage") < 0.3) & (F.col("digits") > 0) & (F.col("capitals") > 0) & F.col("value").rlike("[a-z]") & ~F.col("value").contains("/")
+
+
 def by_rule(features: DataFrame) -> DataFrame:
     """Findings with a label where a rule is sure: the tables hold no labelled findings, so these stand for them.
 
-    1: announced, assigned and varied values that no words cover. 0: numbers, parts of addresses, words, repetitions.
+    1: known shapes, varied bare runs, and announced, assigned and varied values that no words cover. 0: numbers, parts
+    of addresses, repetitions, and words unless they are announced and assigned.
     """
-    real = (F.col("announced") > 0) & (F.col("assigned") > 0) & (F.col("coverage") < 0.3) & (F.col("variety") > 2.0) & (F.col("length") > 2.7)
-    false = (F.col("digits") == 1) | (F.col("coverage") >= 0.5) | (F.col("variety") < 1.4) | F.col("after").startswith("@") | F.col("before").endswith("@") | F.col("before").rlike(r"https?://\S*$")
+    real = (F.col("shape") > 0) | varied() | (told() & (F.col("coverage") < 0.3) & (F.col("variety") > 2.0) & (F.col("length") > 2.7))
+    false = (F.col("digits") == 1) | ((F.col("coverage") >= 0.5) & ~told() & (F.col("shape") == 0)) | (F.col("variety") < 1.4) | F.col("after").startswith("@") | F.col("before").endswith("@") | F.col("before").rlike(r"https?://\S*$")
     return features.withColumn("label", F.when(false, 0.0).when(real, 1.0)).where("label is not null")
 
 
 def judge(features: DataFrame, labelled: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """features with score (the forest's probability of a secret) and secret. Where labels have one class only, or none, score is its share (0 with none)."""
+    """features with score (the forest's probability of a secret) and secret. Where labels have one class only, or none, score is by PRIOR."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -96,7 +116,7 @@ def judge(features: DataFrame, labelled: DataFrame, *, sample: int = SAMPLE, thr
     labelled = settle(labelled.select("label", *FEATURES, F.xxhash64("doc_id", "start", "value").alias("_draw")), "labelled")
     n, positive = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if positive in (0, n):
-        score = F.lit(positive / n if n else 0.0)
+        score = F.when((F.col("shape") > 0) | told(), F.lit(PRIOR[0])).when(varied(), F.lit(PRIOR[1])).otherwise(F.lit(PRIOR[2]))
         return features.withColumn("score", score).withColumn("secret", score >= threshold)
     # Half of the sample for each class at most, drawn by hash.
     half = F.when(F.col("label") > 0, F.lit(min(1.0, sample / 2 / positive))).otherwise(F.lit(min(1.0, sample / 2 / (n - positive))))
