@@ -1,4 +1,4 @@
-"""Settings that jobs read from the session."""
+"""Settings that jobs read from the session, and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is made only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a local one is made on a local master only, as in tests."""
     here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not here:
         here = spark.conf.get("twinfold.scratch", None)
         if not here:
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
             here = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("twinfold.scratch", here)
     return here.rstrip("/")
@@ -26,9 +28,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage with a copy that outlives any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).settle(df, name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The settled tables of one job, deleted together once its result is settled elsewhere or written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self, *, but: int = 0) -> None:
+        """Delete all tables but the last few; what still reads the others fails."""
+        gone, self.paths = (self.paths[:-but], self.paths[-but:]) if but else (self.paths, [])
+        for path in gone:
+            remove(self.spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
