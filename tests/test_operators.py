@@ -186,3 +186,36 @@ def test_copy_plan(spark):
     rows = spark.createDataFrame([("a.jpg", 5), ("b.jpg", 7)], "relative_path string, size_bytes long")
     plan = copyplan.copy_plan(rows, rows.limit(1), overwrite=True)
     assert {r["action"]: r["bytes"] for r in copyplan.copy_summary(plan).collect()} == {"overwrite": 5, "copied": 7}
+
+
+def test_mutations_without_values(spark, files):
+    """Rows without ids or times are kept whole, and repeated marks and moves leave one row for each file."""
+    new = spark.createDataFrame([(None, 1, "/n/a.jpg", 5), (None, 1, "/n/a.jpg", 7), (900, 1, "/n/b.jpg", 1), (None, 1, "/n/b.jpg", 2), (None, None, "/n/c.jpg", 3)], "file_id long, drive_id long, path_on_drive string, size_bytes long").withColumn("type", F.lit("image"))
+    out = mutations.insert_or_ignore(files, new)
+    fresh = sorted((r["path_on_drive"], r["size_bytes"], r["file_id"]) for r in out.where("path_on_drive like '/n/%'").collect())
+    assert [(p, s) for p, s, _ in fresh] == [("/n/a.jpg", 5), ("/n/b.jpg", 1), ("/n/c.jpg", 3)] and fresh[1][2] == 900 and out.count() == 15
+    runs = spark.createDataFrame([("a", None, 1), ("b", 5, 2), (None, 1, 3)], "scan_id string, t long, n long").withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    again = spark.createDataFrame([("a", None, 7), ("a", None, 8), ("b", None, 9), ("b", 6, 4)], "scan_id string, t long, n long").withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    assert sorted((str(r["scan_id"]), r["n"]) for r in mutations.upsert_runs(runs, again).collect()) == [("None", 3), ("a", 8), ("b", 4)]
+    kept, counts = mutations.retain_runs(runs, F.timestamp_seconds(F.lit(3)))
+    assert sorted(r["n"] for r in kept.collect()) == [1, 2] and tuple(counts.first()) == (3, 2)
+    assert sorted(r["n"] for r in mutations.drop_run(runs, "b").collect()) == [1, 3]
+    marks = spark.createDataFrame([(1, "keep", "first", 1), (1, "not_needed", "last", 3), (1, "keep", "second", 2), (1, "odd", "bad", 4)], "file_id long, status string, note string, seq long")
+    marked = mutations.mark(files, marks, F.current_timestamp())
+    assert marked.count() == files.count() and tuple(marked.where("file_id = 1").select("review_status", "review_note").first()) == ("not_needed", "last")
+    groups = spark.createDataFrame([(1, 1), (2, 3)], "group_id long, original_file_id long")
+    twice = spark.createDataFrame([(1, "keep", "x"), (1, "not_needed", "y"), (77, "keep", None), (2, "odd", None)], "group_id long, status string, note string")
+    assert mutations.mark_groups(files, twice, F.current_timestamp()).count() == files.count()
+    report = {(r["group_id"], r["status"]): (r["members"], r["changed"], r["error"]) for r in mutations.group_mark_report(files, twice).collect()}
+    assert report == {(1, "keep"): (2, 2, None), (1, "not_needed"): (2, 2, None), (77, "keep"): (0, 0, "unknown group"), (2, "odd"): (2, 0, "bad status")}
+    moved = mutations.move_to_group(files, groups, spark.createDataFrame([(9, 1), (9, 2), (9, 99)], "file_id long, group_id long"))
+    assert moved.count() == files.count() and tuple(moved.where("file_id = 9").select("group_id", "duplicate_of").first()) == (2, 3)
+    assert tuple(mutations.set_groups(files, spark.createDataFrame([(10, 5, 9), (10, 4, 7)], "file_id long, group_id long, duplicate_of long")).where("file_id = 10").select("group_id", "duplicate_of").first()) == (5, 9)
+
+
+def test_pairs_that_fail(spark):
+    """Pairs of which both names say fail are expected to differ."""
+    rows = [("a_1", 0), ("a_2", 1), ("a_3", 2**40 - 1), ("b_fail1", 0), ("b_fail2", 1), ("b_fail3", 2**50 - 1), ("b_ok", 0)]
+    images = spark.createDataFrame([(n, f"{h:016x}") for n, h in rows], "name string, phash string")
+    out = {(r["expected"], r["predicted"]): r["n"] for r in cluster.evaluate_pairs(images).collect()}
+    assert out == {(True, True): 1, (True, False): 2, (False, True): 1, (False, False): 2}

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import like
 from ..session import settle
 from ..sources.schemas import STAGES, STATUSES
-from .filters import path_like
 
 KEY = ("drive_id", "path_on_drive")
 DEFAULTS = {"copied": 0, "is_large": 0, "review_status": "undecided"}
@@ -30,18 +30,24 @@ def assign_ids(df: DataFrame, order: list[str], name: str, *, start: int = 1) ->
 
 
 def insert_or_ignore(files: DataFrame, new: DataFrame, *, first="file_id") -> DataFrame:
-    """files and those new rows whose (drive_id, path_on_drive) is free; of equal new keys the first wins; NULL keys never conflict."""
+    """files and those new rows whose (drive_id, path_on_drive) is free; of equal new keys the one with the smallest `first` wins, those without it last; NULL keys never conflict."""
     for name, value in DEFAULTS.items():
         new = new.withColumn(name, F.coalesce(name, F.lit(value)) if name in new.columns else F.lit(value))
     whole = F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull()
-    row = F.struct(first, F.struct(*[F.col(c).alias(c) for c in new.columns]).alias("row"))
-    keyed = new.where(whole).groupBy(*KEY).agg(F.min_by(row["row"], F.col(first)).alias("row")).select("row.*")
+    keyed = chosen(new.where(whole), list(KEY), F.min_by, F.col(first).isNull(), F.col(first))
     free = keyed.join(files.select(*KEY), list(KEY), "left_anti")
     return files.unionByName(free, allowMissingColumns=True).unionByName(new.where(~whole), allowMissingColumns=True)
 
 
+def chosen(df: DataFrame, key: list[str], which, *order: Column) -> DataFrame:
+    """The row of each key that comes first (which = F.min_by) or last (F.max_by) by the order; ties go by the columns that can be compared. Aggregated, so that a frequent key needs no sort."""
+    comparable = [F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, *comparable])])
+    return df.groupBy(*key).agg(which(F.struct(*df.columns), rank).alias("_row")).select("_row.*")
+
+
 def insert_or_get_ids(files: DataFrame, new: DataFrame) -> DataFrame:
-    """Keys of new with the id of the row that has them, given or newly assigned after the largest: drive_id, path_on_drive, file_id, inserted."""
+    """Keys of new with the id of the row that has them, given or newly assigned after the largest: drive_id, path_on_drive, file_id, inserted. set_groups puts groups on the rows found."""
     keys = new.select(*KEY).distinct()
     known = keys.join(files.select(*KEY, "file_id"), list(KEY))
     top = files.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
@@ -49,9 +55,17 @@ def insert_or_get_ids(files: DataFrame, new: DataFrame) -> DataFrame:
     return known.withColumn("inserted", F.lit(False)).unionByName(fresh.withColumn("inserted", F.lit(True)))
 
 
+def set_groups(files: DataFrame, groups: DataFrame) -> DataFrame:
+    """files with the group and original of groups (file_id, group_id, duplicate_of), new or not; of several for a file the last by group_id counts."""
+    last = chosen(groups.select("file_id", F.col("group_id").alias("_group"), F.col("duplicate_of").alias("_of")), ["file_id"], F.max_by, F.col("_group"))
+    joined = files.join(last, "file_id", "left")
+    hit = F.col("_group").isNotNull()
+    return joined.withColumns({"group_id": F.coalesce("_group", "group_id"), "duplicate_of": F.when(hit, F.col("_of")).otherwise(F.col("duplicate_of"))}).select(*files.columns)
+
+
 def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The row of each key with the largest order value."""
-    return df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+    """The row of each key with the largest order value; one without a value only where no other has one."""
+    return chosen(df, key, F.max_by, F.col(order).isNotNull(), F.col(order))
 
 
 def upsert_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
@@ -111,8 +125,14 @@ def check_status(status: str) -> str:
 
 
 def mark(files: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
-    """files with the statuses and notes of marks (file_id, status, note) and the time; a NULL note clears. Marks with a bad status or an unknown file do nothing; reject() lists them."""
-    good = marks.where(F.col("status").isin(*STATUSES)).select("file_id", F.col("status").alias("_status"), F.col("note").alias("_note"))
+    """files with the statuses and notes of marks (file_id, status, note) and the time; a NULL note clears.
+
+    Marks with a bad status or an unknown file do nothing; mark_report lists them. Of several marks for a file the last
+    counts: by the column `seq` where marks have one, else by status and note.
+    """
+    good = marks.where(F.col("status").isin(*STATUSES))
+    order = [F.col("seq")] if "seq" in marks.columns else []
+    good = chosen(good, ["file_id"], F.max_by, *order).select("file_id", F.col("status").alias("_status"), F.col("note").alias("_note"))
     joined = files.join(good, "file_id", "left")
     hit = F.col("_status").isNotNull()
     return joined.withColumns({"review_status": F.coalesce("_status", "review_status"), "review_note": F.when(hit, F.col("_note")).otherwise(F.col("review_note")), "reviewed_at": F.when(hit, at).otherwise(F.col("reviewed_at"))}).select(*files.columns)
@@ -126,16 +146,24 @@ def mark_report(files: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def mark_groups(files: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
-    """As mark, for all members of the groups in marks (group_id, status, note)."""
-    return mark(files, marks.join(files.select("file_id", "group_id"), "group_id").select("file_id", "status", "note"), at)
+    """As mark, for all members of the groups in marks (group_id, status, note); group_mark_report counts what it changes."""
+    own = [c for c in ("seq",) if c in marks.columns]
+    return mark(files, marks.join(files.select("file_id", "group_id"), "group_id").select("file_id", "status", "note", *own), at)
+
+
+def group_mark_report(files: DataFrame, marks: DataFrame) -> DataFrame:
+    """group_id, status, members, changed (members with another status), error of each mark."""
+    held = files.join(marks.select("group_id").distinct(), "group_id").groupBy("group_id", "review_status").agg(F.count(F.lit(1)).alias("n"))
+    out = marks.join(held, "group_id", "left").groupBy(marks["group_id"], "status").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.when(F.col("review_status") != F.col("status"), F.col("n"))), F.lit(0)).alias("changed"))
+    error = F.when(F.col("members") == 0, "unknown group").when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "bad status")
+    return out.select("group_id", "status", "members", F.when(error.isNull(), F.col("changed")).otherwise(F.lit(0)).alias("changed"), error.alias("error"))
 
 
 def bulk_mark(files: DataFrame, pattern: str, status: str, at: Column) -> DataFrame:
     """All files whose path matches get the status and the time; notes stay."""
     check_status(status)
-    hits = path_like(files, pattern).select("file_id").withColumn("_hit", F.lit(True))
-    joined = files.join(hits, "file_id", "left")
-    return joined.withColumns({"review_status": F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("review_status")), "reviewed_at": F.when(F.col("_hit"), at).otherwise(F.col("reviewed_at"))}).select(*files.columns)
+    hit = like(F.col("path_on_drive"), pattern)
+    return files.withColumns({"review_status": F.when(hit, F.lit(status)).otherwise(F.col("review_status")), "reviewed_at": F.when(hit, at).otherwise(F.col("reviewed_at"))})
 
 
 def promote(files: DataFrame, groups: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,21 +182,21 @@ def make_original(files: DataFrame, groups: DataFrame, chosen: DataFrame) -> tup
 
 
 def move_to_group(files: DataFrame, groups: DataFrame, moves: DataFrame) -> DataFrame:
-    """files after moves (file_id, group_id) to existing groups; they point to its original."""
-    to = moves.join(groups.select("group_id", F.col("original_file_id").alias("_original")), "group_id").select("file_id", F.col("group_id").alias("_group"), "_original")
+    """files after moves (file_id, group_id) to existing groups; they point to its original. Of several moves of a file the one to the largest group id counts."""
+    to = chosen(moves.join(groups.select("group_id"), "group_id", "left_semi").select("file_id", "group_id"), ["file_id"], F.max_by, F.col("group_id")).join(groups.select("group_id", F.col("original_file_id").alias("_original")), "group_id").select("file_id", F.col("group_id").alias("_group"), "_original")
     hit = F.col("_group").isNotNull()
     joined = files.join(to, "file_id", "left")
     return joined.withColumns({"duplicate_of": F.when(hit, F.col("_original")).otherwise(F.col("duplicate_of")), "group_id": F.coalesce("_group", "group_id")}).select(*files.columns)
 
 
 def retain_runs(runs: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
-    """Runs not older than the cutoff, and one row of counts before and after."""
-    kept = runs.where(F.col("timestamp") >= cutoff)
-    return kept, runs.agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("timestamp") >= cutoff).alias("after"))
+    """Runs not older than the cutoff, those without a time too, and one row of counts before and after."""
+    stays = F.coalesce(F.col("timestamp") >= cutoff, F.lit(True))
+    return runs.where(stays), runs.agg(F.count(F.lit(1)).alias("before"), F.count_if(stays).alias("after"))
 
 
 def drop_run(runs: DataFrame, scan_id: str) -> DataFrame:
-    return runs.where(F.col("scan_id") != scan_id)
+    return runs.where(F.coalesce(F.col("scan_id") != scan_id, F.lit(True)))
 
 
 def apply_review_events(files: DataFrame, events: DataFrame) -> DataFrame:

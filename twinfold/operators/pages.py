@@ -24,7 +24,7 @@ def groups_with(files: DataFrame, groups: DataFrame, status: str = "all") -> Dat
 def groups_page(files: DataFrame, groups: DataFrame, drives: DataFrame, page: int, per_page: int, status: str = "all") -> DataFrame:
     """One page of groups by id: group_id, original_file_id, statuses, files (original first, then by id)."""
     shown = groups_with(files, groups, status).select("group_id", "original_file_id").orderBy("group_id").offset((page - 1) * per_page).limit(per_page)
-    members = files.join(F.broadcast(shown), "group_id").join(F.broadcast(drives.select("drive_id", "mount_path", "label")), "drive_id", "left")
+    members = files.join(F.broadcast(shown), "group_id").join(drives.select("drive_id", "mount_path", "label"), "drive_id", "left")
     original = (F.col("file_id") == F.col("original_file_id")) & F.col("original_file_id").isNotNull()
     row = F.struct(
         F.when(original, 0).otherwise(1).alias("place"), "file_id", "path_on_drive", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "width", "height", "review_status",
@@ -38,7 +38,7 @@ def groups_page(files: DataFrame, groups: DataFrame, drives: DataFrame, page: in
 
 def singles_page(files: DataFrame, drives: DataFrame, page: int, per_page: int, status: str = "all") -> DataFrame:
     rows = status_filter(files, status).where("group_id is null").orderBy("file_id").offset((page - 1) * per_page).limit(per_page)
-    joined = rows.join(F.broadcast(drives.select("drive_id", "mount_path", "label")), "drive_id", "left")
+    joined = rows.join(drives.select("drive_id", "mount_path", "label"), "drive_id", "left")
     return joined.select("file_id", "path_on_drive", complete_path(F.col("mount_path"), F.col("path_on_drive")).alias("full_path"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "type", "review_status", "label").orderBy("file_id")
 
 
@@ -61,13 +61,13 @@ def bulk_preview(files: DataFrame, pattern: str, limit: int) -> DataFrame:
 def file_info(files: DataFrame, groups: DataFrame, drives: DataFrame, ids: DataFrame) -> DataFrame:
     """Files of ids (file_id) with drive, group and is_original; columns that the table hasn't got are NULL."""
     some = files.join(ids.select("file_id"), "file_id", "left_semi")
-    rows = with_is_original(some, groups).join(F.broadcast(drives.select("drive_id", "mount_path", "label")), "drive_id", "left")
+    rows = with_is_original(some, groups).join(drives.select("drive_id", "mount_path", "label"), "drive_id", "left")
     extra = [optional(rows, c, k) for c, k in (("phash", "string"), ("fast_fp", "string"), ("review_note", "string"), ("central_path", "string"))]
     return rows.select("file_id", "group_id", "is_original", "type", "size_bytes", dimensions(F.col("width"), F.col("height")).alias("dimensions"), "review_status", "label", complete_path(F.col("mount_path"), F.col("path_on_drive")).alias("full_path"), *extra)
 
 
 def file_path(files: DataFrame, drives: DataFrame, ids: DataFrame) -> DataFrame:
-    some = files.join(ids.select("file_id"), "file_id", "left_semi").join(F.broadcast(drives.select("drive_id", "mount_path")), "drive_id", "left")
+    some = files.join(ids.select("file_id"), "file_id", "left_semi").join(drives.select("drive_id", "mount_path"), "drive_id", "left")
     return some.select("file_id", "path_on_drive", "mount_path")
 
 

@@ -54,7 +54,7 @@ class Views:
         ext = F.array(*[F.lit(e) for e in EXTENSIONS])[(F.col("doc_id") % 4).cast("int")]
         path = F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ext)
         rows = d.join(labels, "doc_id", "left").withColumn("path_on_drive", path).withColumn("type", media_type(F.col("path_on_drive")))
-        rows = rows.join(F.broadcast(self.drives.withColumnRenamed("label", "source")), "source", "left")
+        rows = rows.join(self.drives.withColumnRenamed("label", "source"), "source", "left")
         side = lambda m, step: F.when(F.col("type") == "image", (100 + F.col("doc_id") % m * step).cast("int"))
         null = lambda k: F.lit(None).cast(k)
         return rows.select(
