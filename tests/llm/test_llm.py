@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinfold.session import Scratch
 from twinfold.llm import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, registry, secrets, text, tokens
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -68,7 +69,7 @@ def test_token_round_trip(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens.write_tokens(odd, str(tmp_path / "t"), path, block=5000)
+    tokens.write_tokens(tokens.by_id(odd), str(tmp_path / "t"), path, block=5000)
     got = tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
     plain = Tokenizer.from_file(path)
     assert len(got) == odd.count()
@@ -79,16 +80,44 @@ def test_token_round_trip(spark, odd, tmp_path):
     for r in got:
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(r["ids"]) // 4, zlib.crc32(bytes(r["ids"])))
         at += r["n_tokens"]
-    tokens.write_tokens(odd.limit(0), str(tmp_path / "e"), path)
+    tokens.write_tokens(tokens.by_id(odd.limit(0)), str(tmp_path / "e"), path)
     assert tokens.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_encoder_pieces():
+def test_token_files_keep_the_order_of_a_table(spark, tmp_path):
+    """Rows of a written table come back in the order of its files, whatever their ids, and files cut into many blocks too."""
+    rows = [((i * 7919) % 1000 - (1 << 60), f"text {i} " * (i % 5)) for i in range(1000)] + [(None, "no id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.monotonically_increasing_id())
+    table.repartitionByRange(5, "at").sortWithinPartitions("at").drop("at").write.parquet(str(tmp_path / "d"))
+    tokens.write_tokens(tokens.file_order(spark.read.parquet(str(tmp_path / "d"))), str(tmp_path / "t"), TOKENIZER(), block=50)
+    got = tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows] and len({r["start"] for r in got}) == len(rows)
+
+
+def TOKENIZER():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_encoder_equals_the_library():
+    """Texts of all planes, of the signs that the pre-tokeniser treats apart, and of letters that are newer than Python's tables."""
+    e = tokens.Encoder(TOKENIZER())
+    texts = ["a_b  c", "it's John's. foo.\nBar\n\nx", "x² ok Ⅷ.", "<|endoftext|> a", "a\n b \nc", "", "  ", " lead", "trail ", "t\tx　q", "日本語 テスト", "3.5kg A1 ٣", "a\r\nb c\x1cd", "é 'll we'll", "a  \U00013e54're,", "x'sx 's's ''re'll", "'", "a'", "'s"]
+    assert e.by_pieces and e(texts) == e.whole(texts)
+    rng = random.Random(17)
+    bits = ["'re", "'s", "'", " ", " ", "  ", "\n", "\t", "　", "\x1c", "\x85", "a", "Zb", "1", "²", "_", "-", "“", "<|endoftext|>", "é", "日", " \n"]
+    sign = lambda: chr(rng.choice([rng.randrange(0xE000, 0x110000), rng.randrange(0x3000), rng.randrange(128), rng.randrange(0xE000, 0x1F000)]))
+    for _ in range(10):
+        texts = ["".join(sign() if rng.random() < 0.4 else rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(10_000)]
+        assert e(texts) == e.whole(texts)
+
+
+def test_other_tokenizers_encode_whole():
     import public_tokenizers
 
-    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a_b  c", "it's John's. foo.\nBar\n\nx", "x² ok Ⅷ.", "<|endoftext|> a", "a\n b \nc", "", "  ", " lead", "trail ", "t\tx　q", "日本語 テスト", "3.5kg A1 ٣", "a\r\nb c\x1cd", "é 'll we'll"]
-    assert e(texts) == e.plain(texts)
+    e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not e.by_pieces and e(["It's  A b", ""]) == [e.whole(["It's  A b"])[0], b""]
 
 
 def test_variable_length_codes():
@@ -140,17 +169,38 @@ def test_lm_odd(spark, odd):
 
 
 # Fingerprints
-def test_fingerprints_of_next(spark, odd):
-    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+def plain_sketch(t):
+    """The smallest hashes of a slow list of shingles."""
+    data = t.encode().ljust(fingerprint.WIDTH, b"\0") if t else b""
+    parts = {data[i : i + fingerprint.WIDTH] for i in range(len(data) - fingerprint.WIDTH + 1)}
+    return sorted(int(fingerprint.shingle_hashes(p)[0]) for p in parts)[: fingerprint.K]
+
+
+def likeness(a, b):
+    both = sorted(set(a) | set(b))[: fingerprint.K]
+    return sum(x in a and x in b for x in map(int, both)) / len(both) if both else 1.0
+
+
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_fingerprints_of_next(spark, odd, monkeypatch, rows):
+    """All columns against slow sketches, with few and with many parts; ids beyond 2**53 beside null ids stay as they are."""
+    monkeypatch.setattr(fingerprint, "ROWS", rows)
+    more = spark.createDataFrame([((1 << 60) + i, f"copy {i // 3} of the same text " * (i % 4)) for i in range(40)], "doc_id long, text string")
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(more)
     got = {r["doc_id"]: r for r in fingerprint.with_next(docs, fingerprint._edited, fingerprint.FINGERPRINTED).collect()}
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
-    for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
+    ordered = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    assert len(got) == len(ordered)
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        own, changed, ahead = map(plain_sketch, (t, edited, after))
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-        assert got[i]["fingerprint"] == fingerprint.to_text(fingerprint.sketch(t)) and got[i]["edited_fingerprint"] == fingerprint.to_text(fingerprint.sketch(edited))
-    assert fingerprint.with_next(odd, fingerprint._edited, fingerprint.FINGERPRINTED).count() == odd.count()
-    assert fingerprint.with_next(odd.limit(0), fingerprint._edited, fingerprint.FINGERPRINTED).count() == 0
+        assert [int(x) for x in fingerprint.from_text(got[i]["fingerprint"])] == own and [int(x) for x in fingerprint.from_text(got[i]["edited_fingerprint"])] == changed
+        assert abs(got[i]["near_edited"] - likeness(own, changed)) < 1e-12 and abs(got[i]["near_next"] - likeness(own, ahead)) < 1e-12
+    mixed = odd.select("doc_id", "text").unionByName(more)
+    assert {r["doc_id"] for r in fingerprint.with_next(mixed, fingerprint._edited, fingerprint.FINGERPRINTED).collect()} == {r["doc_id"] for r in mixed.collect()}
+    for part in (odd, odd.where("doc_id is null"), odd.limit(0)):
+        assert fingerprint.with_next(part, fingerprint._edited, fingerprint.FINGERPRINTED).count() == part.count() == fingerprint.fingerprints(part).count()
 
 
 def test_sketch_estimates(spark):
@@ -221,29 +271,137 @@ def test_disclosing_terms_everywhere(spark):
     assert all(rows[i][1][a:b] == v for i in range(30) for a, b, v in value[i]) and [len([v for v in value[i] if "ulon" in v[2].lower()]) for i in (0, 3, 50)] == [4, 1, 1]
 
 
+def plain_disclosures(rows):
+    """(entity, term) of the corpus by plain counting."""
+    strip = lambda w: re.sub(r"^[^\w]+|[^\w]+$", "", w).lower()
+    mentions, both, support, n_term, stem_of, n_class = {}, {}, {}, {}, {}, {}
+    for _, t in rows:
+        ws = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x09-\x0D ]+", t or "")]
+        for _, _, w in ws:
+            if strip(w):
+                n_term[strip(w)] = n_term.get(strip(w), 0) + 1
+        spans = plain_spans(t or "")
+        beside = set()
+        hit = lambda k: any(a < ws[k][1] and b > ws[k][0] for _, a, b in spans)
+        for kind, a, b in spans:
+            e = (kind, re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower())
+            mentions[e] = mentions.get(e, 0) + 1
+            own = [k for k, w in enumerate(ws) if a < w[1] and b > w[0]]
+            beside |= {(e, k) for k in [*range(own[0] - 6, own[0]), *range(own[-1] + 1, own[-1] + 7)] if 0 <= k < len(ws) and not hit(k) and strip(ws[k][2])}
+        for e, k in beside:
+            w = strip(ws[k][2])
+            both[e, w] = both.get((e, w), 0) + 1
+            n_class[e, w[:3]] = n_class.get((e, w[:3]), 0) + 1
+            support.setdefault((e, w), set()).add(t)
+    for w, n in n_term.items():
+        stem_of[w[:3]] = stem_of.get(w[:3], 0) + n
+    total = sum(mentions.values())
+
+    def reveals(share, prior):
+        return share >= 0.5 and math.log2(share / prior) >= -0.8 * math.log2(prior)
+
+    out = set()
+    for (e, w), n in both.items():
+        prior = mentions[e] / total
+        if len(support[e, w]) >= 3 and reveals(n / n_term[w], prior):
+            general = len(w) > 3 and not reveals(n_class[e, w[:3]] / stem_of[w[:3]], prior)
+            out.add((e[0] + ":" + e[1], w, w[:3] + "*" if general else ""))
+    return out
+
+
+def test_disclosures_against_plain_counts(spark):
+    rng = random.Random(8)
+    people = [f"p{i}@mail{i % 3}.org" for i in range(12)] + ["+1 (301) 555-0346", "10.2.3.4"]
+    own = {p: [f"zq{k}x{j}" for j in range(3)] + [f"wor{k}"] for k, p in enumerate(people)}
+    rows = []
+    for i in range(400):
+        t = [rng.choice(["the", "word", "worm", "so", "and,", "(on)", "é"]) for _ in range(rng.randint(5, 25))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(people)
+            at = rng.randint(0, len(t))
+            t[at:at] = [rng.choice(own[p]), rng.choice(["", "<"]) + p + rng.choice(["", ">."]), rng.choice(own[p]).upper() + "!"]
+        rows.append((i, rng.choice([" ", "  ", "\n"]).join(t)))
+    rows += [(1000 + i, rows[i][1]) for i in range(30)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = Scratch(spark)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"text_key": F.xxhash64("text"), "spans": pii.base_spans(F.col("text"))})
+    near = pii.context(found.where(F.size("spans") > 0).select("text_key", "text", "spans").dropDuplicates(["text_key"]), scratch)
+    got = {tuple(r) for r in pii.disclosures(found.select("doc_id", "text"), found, near, scratch).collect()}
+    want = plain_disclosures(rows)
+    assert want and got == want
+
+
+def test_personal_data_odd(spark, odd):
+    """Null ids, repeated rows, columns of the names that the operator uses, and one text with very many addresses."""
+    many = " ".join(f"name{i} a{i}@b.org and" for i in range(20_000))
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(50, many), (None, "x@y.zz"), (None, "x@y.zz")], "doc_id long, text string"))
+    rows = rows.withColumns({"_doc": F.lit(1), "_key": F.lit("k"), "_base": F.lit(2), "_terms": F.lit(3), "_clean": F.lit(4)})
+    out = pii.find_spans(rows)
+    assert out.count() == rows.count() and out.where("doc_id = 50").select(F.size("base")).first()[0] == 20_000
+    clean = pii.sanitised(rows)
+    assert clean.columns == rows.columns and clean.count() == rows.count() and clean.where("_doc <> 1 or _key <> 'k' or _base <> 2 or _terms <> 3 or _clean <> 4").count() == 0
+    assert [r["text"] for r in clean.where("doc_id is null and text like '[%'").collect()] == ["[EMAIL]"] * 2
+
+
 # Mixing
+def plain_mixture(out, sources, weight, tokens_of, target_tokens):
+    """What a plain loop says of the epochs: whole ones have every row once, the partial one the longest start of its order within its share."""
+    for s in sources:
+        rows = [r for r in out if r["source"] == s]
+        share = weight[s] * target_tokens
+        whole = int(share / tokens_of[s] + 1e-9)
+        for e in range(whole):
+            assert sum(r["n"] for r in rows if r["epoch"] == e) == tokens_of[s]
+        last = sum(r["n"] for r in rows if r["epoch"] == whole)
+        assert last <= share - whole * tokens_of[s] + 1 and max([r["epoch"] for r in rows], default=0) <= whole
+
+
 def test_mixing_meets_target(spark):
     rows = [(i, "w " * (1 + i % 7), "big" if i % 10 else f"small{i % 30}") for i in range(3000)] + [(9000, None, None), (9001, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_cell", F.lit(0))
-    out = mixing.mix(docs, mixing.Target(limit=3.0), block=500).cache()
-    assert out.select("doc_id").distinct().count() == len(rows)
-    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
-    tokens_of = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
-    weight = {r["source"]: r["w"] for r in out.groupBy("source").agg(F.first("_source_weight").alias("w")).collect()}
-    total = sum(tokens_of.values())
-    assert all(abs(tokens_of[s] / total - weight[s]) < 0.01 for s in weight)
-    assert mixing.mix(docs.limit(0)).count() == 0
-    cut = mixing.mix(docs, mixing.Target(budget=2000))
-    used = cut.agg(F.sum(mixing.words(F.col("text")))).first()[0]
-    assert 1900 <= used <= 2000
-
-
-def test_exponent():
-    assert mixing.exponent([10, 10], mixing.Target()) == 0.0
-    x = mixing.exponent([900, 100], mixing.Target(limit=3.0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_cell": F.lit(-7), "place": F.lit("x"), "_source": F.lit(3), "block": F.lit(None).cast("int")})
+    for target in (mixing.Target(limit=3.0), mixing.Target(budget=2000), mixing.Target(entropy=0.9), mixing.Target(budget=90_000, limit=9.0)):
+        mixed = mixing.mix(docs, target, block=2000).select("row.*", "weight", "epoch", F.col("block").alias("b"), mixing.words(F.col("row.text")).alias("n"))
+        out = mixed.select("doc_id", "source", "weight", "epoch", "b", "n").collect()
+        tokens_of = {}
+        for i, t, s in rows:
+            tokens_of[s] = tokens_of.get(s, 0) + max(1, len((t or "").split()))
+        x = mixing.exponent(spark.createDataFrame(list(tokens_of.items()), "source string, tokens long"), target)
+        powers = {s: n**x for s, n in tokens_of.items()}
+        weight = {s: p / sum(powers.values()) for s, p in powers.items()}
+        budget = target.budget or max(tokens_of[s] / weight[s] for s in weight)
+        assert all(abs(r["weight"] - weight[r["source"]]) < 1e-9 for r in out)
+        plain_mixture(out, tokens_of, weight, tokens_of, budget)
+        assert sum(r["n"] for r in out) <= budget + 1 and (budget - sum(r["n"] for r in out)) <= 7 * len(tokens_of)
+        if target.budget is None:
+            assert len({r["doc_id"] for r in out}) == len(rows)
+        if target.limit == 3.0:  # every block but the last has about each source's share
+            last = max(r["b"] for r in out)
+            assert last <= math.ceil(budget / 2000) + 1
+            for b in range(last - 1):
+                here = {}
+                for r in out:
+                    if r["b"] == b:
+                        here[r["source"]] = here.get(r["source"], 0) + r["n"]
+                assert all(abs(here.get(s, 0) / 2000 - w) < 0.1 for s, w in weight.items())
+    kept = mixing.mixed_rows(docs)
+    assert kept.columns == docs.columns and kept.where("_cell <> -7 or place <> 'x' or _source <> 3 or block is not null").count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_rows(docs.limit(0)).columns == docs.columns
+
+
+def test_mixing_odd(spark, odd):
+    out = mixing.mix(odd).select("row.doc_id", "row.text").collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {(r["doc_id"], r["text"]) for r in odd.collect()}
+    assert [r["text"] for r in out].count("Hello there, General.") % 2 == 0  # equal rows go together
+
+
+def test_exponent(spark):
+    of = lambda *n: spark.createDataFrame([(str(i), x) for i, x in enumerate(n)], "source string, tokens long")
+    assert mixing.exponent(of(10, 10), mixing.Target()) == 0.0 and mixing.exponent(of(7), mixing.Target()) == 1.0
+    x = mixing.exponent(of(900, 100), mixing.Target(limit=3.0))
     assert abs(9 ** (1 - x) - 3) < 1e-6
-    x = mixing.exponent([900, 100], mixing.Target(entropy=0.5))
-    assert abs(mixing.entropy([0.9, 0.1], x) - 0.5) < 1e-6
+    x = mixing.exponent(of(900, 100), mixing.Target(entropy=0.5))
+    p = 0.9**x / (0.9**x + 0.1**x)
+    assert abs(-p * math.log(p) - (1 - p) * math.log(1 - p) - 0.5) < 1e-6
 
 
 # Secrets
@@ -293,8 +451,10 @@ def brute(rows, width, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("hub", [256, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, hub):
     """Copies, chains of small edits, groups of edited copies around one text, and texts with a common passage."""
+    monkeypatch.setattr(dedup, "HUB", hub)
     rng = random.Random(11)
     some = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
     rows, passage = [], some(50)
@@ -341,14 +501,15 @@ def test_prefix_join_misses_nothing(spark):
     alone = spark.createDataFrame([(i, i) for i, _ in rows], "node long, component long")
     sets = dedup.shingle_sets([t for _, t in rows], 4)
     want = {(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
-    found = {tuple(r) for r in dedup.confirmed(dedup.prefix_pairs(alone, docs, 4, 80), docs, 4, 80).collect()}
+    scratch = Scratch(spark)
+    found = {tuple(r) for r in dedup.confirmed(dedup.prefix_pairs(alone, docs, 4, 80, scratch), docs, 4, 80, scratch).collect()}
     assert want and found == want
 
 
 # Decontamination
 def test_contamination_odd(spark, odd):
     items = spark.createDataFrame([(1, "Hello THERE general"), (2, None), (3, "!!"), (4, " ".join(f"word{i}" for i in range(5, 40))), (5, "hello, there: GENERAL")], "item_id long, text string")
-    for broadcast in (decontaminate.MAX_BROADCAST, 0):
+    for broadcast in (decontaminate.MAX_BROADCAST, 0, -1):
         found = decontaminate.find_hits(odd, items, max_broadcast=broadcast).collect()
         assert len(found) == odd.count()
         hit = {(r["doc_id"], r["n_words"]) for r in found if r["hits"]}
