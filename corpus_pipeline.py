@@ -29,8 +29,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, described as read back."""
-    return tokens.token_files(spark, docs)
+    """Token files of all rows in the order of the mixture, which is that of docs' files, described as read back."""
+    return tokens.token_files(tokens.file_order(docs))
 
 
 STAGES = [
