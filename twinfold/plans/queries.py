@@ -167,12 +167,12 @@ add("join_existing_groups", _JOIN, hashed=True)(lambda v: cluster.join_existing_
 add("reuse_group", "SELECT cluster, original_file_id AS original, CASE WHEN cluster % 2 = 0 THEN cluster + 100000 ELSE 500 + row_number() OVER (PARTITION BY cluster % 2 ORDER BY cluster) - 1 END AS group_id FROM og")(
     lambda v: cluster.reuse_group(cluster.elect_original(v.base, cluster.exact_groups(v.base)), cluster.exact_groups(v.base).select("file_id", F.when(F.col("cluster") % 2 == 0, F.col("cluster") + 100000).alias("group_id")), first_id=500)
 )
-add("group_every_single", "SELECT file_id, 999 + row_number() OVER (ORDER BY file_id) AS group_id FROM f0 WHERE file_id % 5 = 0")(lambda v: cluster.group_every_single(v.base.where("file_id % 5 = 0"), first_id=1000))
+add("group_every_single", "SELECT file_id, 999 + row_number() OVER (ORDER BY file_id) AS group_id FROM f0")(lambda v: cluster.group_every_single(v.base, first_id=1000))
 add("should_promote", f"SELECT a.file_id, {_PIXELS.replace('width', 'a.width').replace('height', 'a.height')} > {_PIXELS.replace('width', 'b.width').replace('height', 'b.height')} OR ({_PIXELS.replace('width', 'a.width').replace('height', 'a.height')} = {_PIXELS.replace('width', 'b.width').replace('height', 'b.height')} AND a.size_bytes > b.size_bytes) AS promote FROM f0 a JOIN f0 b ON b.file_id = a.file_id + 1")(
     lambda v: v.base.alias("a").join(v.base.alias("b"), F.col("b.file_id") == F.col("a.file_id") + 1).select(F.col("a.file_id").alias("file_id"), cluster.should_promote(x.pixels(F.col("a.width"), F.col("a.height")), F.col("a.size_bytes"), x.pixels(F.col("b.width"), F.col("b.height")), F.col("b.size_bytes"), F.lit(True)).alias("promote"))
 )
-add("evaluate_pairs", f"SELECT TRUE AS expected, {_D} <= 5 AS predicted, count(*) AS n FROM hf a JOIN hf b ON a.file_id // 10 = b.file_id // 10 AND (a.file_id::VARCHAR) < (b.file_id::VARCHAR) AND a.phash IS NOT NULL AND b.phash IS NOT NULL GROUP BY ALL", hashed=True)(
-    lambda v: cluster.evaluate_pairs(v.hashed.where("phash is not null").select(F.concat(F.floor(F.col("file_id") / 10).cast("string"), F.lit("_"), F.col("file_id").cast("string")).alias("name"), "phash"))
+add("evaluate_pairs", f"SELECT a.file_id % 3 <> 0 AS expected, {_D} <= 5 AS predicted, count(*) AS n FROM hf a JOIN hf b ON a.file_id // 10 = b.file_id // 10 AND a.file_id < b.file_id AND (a.file_id % 3 = 0) = (b.file_id % 3 = 0) AND a.phash IS NOT NULL AND b.phash IS NOT NULL GROUP BY ALL", hashed=True)(
+    lambda v: cluster.evaluate_pairs(v.hashed.where("phash is not null").select(F.concat(F.floor(F.col("file_id") / 10).cast("string"), F.when(F.col("file_id") % 3 == 0, "_fail").otherwise("_"), F.col("file_id").cast("string")).alias("name"), "phash"))
 )
 
 # Queues, pages, lookups
@@ -185,8 +185,8 @@ WHERE group_id IN (SELECT group_id FROM grps WHERE group_id IN (SELECT group_id
 )
 add("singles_page", f"SELECT file_id, path_on_drive, {_FULL} AS full_path, size_bytes, type, review_status, label FROM files JOIN drives USING (drive_id) WHERE group_id IS NULL AND review_status = 'keep' ORDER BY file_id LIMIT 25 OFFSET 25")(lambda v: pages.singles_page(v.files, v.drives, 2, 25, "keep"))
 add("page_meta", "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 7)) AS BIGINT) AS pages, TRUE AS has_prev, 2 < greatest(1, ceil(count(*) / 7)) AS has_next FROM grps WHERE group_id IN (SELECT group_id FROM files WHERE review_status = 'keep')")(lambda v: pages.page_meta(pages.groups_with(v.files, v.groups, "keep"), 2, 7, least=1))
-add("file_info", f"SELECT file_id, group_id, CAST(file_id IN (SELECT original_file_id FROM grps) AS INT) AS is_original, type, size_bytes, {_DIM} AS dimensions, review_status, label, {_FULL} AS full_path, fast_fp FROM files JOIN drives USING (drive_id) WHERE file_id % 9 = 4")(lambda v: pages.file_info(v.files, v.groups, v.drives, v.files.where("file_id % 9 = 4")).drop("phash", "review_note", "central_path"))
-add("file_path", "SELECT file_id, path_on_drive, mount_path FROM files JOIN drives USING (drive_id) WHERE file_id % 9 = 5")(lambda v: pages.file_path(v.base, v.drives, v.base.where("file_id % 9 = 5")))
+add("file_info", f"SELECT file_id, group_id, CAST(file_id IN (SELECT original_file_id FROM grps) AS INT) AS is_original, type, size_bytes, {_DIM} AS dimensions, review_status, label, {_FULL} AS full_path, fast_fp FROM files JOIN drives USING (drive_id)")(lambda v: pages.file_info(v.files, v.groups, v.drives, v.files).drop("phash", "review_note", "central_path"))
+add("file_path", "SELECT file_id, path_on_drive, mount_path FROM files JOIN drives USING (drive_id)")(lambda v: pages.file_path(v.base, v.drives, v.base))
 _EXPORT = "SELECT file_id, path_on_drive, size_bytes, type, review_status, CAST(file_id IN (SELECT original_file_id FROM grps) AS INT) AS is_original FROM files WHERE review_status IN ('keep', 'undecided') AND is_large = 0"
 add("export_backup", _EXPORT)(lambda v: sinks.backup_manifest(v.files, v.groups, include_undecided=True).drop("central_path"))
 add("large_review", "SELECT path_on_drive AS source_path, size_bytes, printf('%.1f', size_bytes / 1048576.0::DOUBLE) AS size_mb, type FROM files WHERE is_large = 1")(lambda v: sinks.large_review(v.base))
@@ -206,6 +206,10 @@ add("list_runs", f", {_RUNS} SELECT scan_id, processed_count FROM runs WHERE sou
 add("upsert_runs", f", {_RUNS} SELECT scan_id, CASE WHEN processed_count % 7 = 0 THEN -processed_count ELSE processed_count END AS processed_count FROM runs")(lambda v: mutations.upsert_runs(_runs(v), _runs(v).where("processed_count % 7 = 0").withColumn("processed_count", -F.col("processed_count"))).select("scan_id", "processed_count"))
 add("retain_runs", f", {_RUNS} SELECT scan_id FROM runs WHERE timestamp >= TIMESTAMP '1996-01-01'")(lambda v: mutations.retain_runs(_runs(v), at("1996-01-01 00:00:00"))[0].select("scan_id"))
 add("retain_counts", f", {_RUNS} SELECT count(*) AS before, count(*) FILTER (timestamp >= TIMESTAMP '1996-01-01') AS after FROM runs")(lambda v: mutations.retain_runs(_runs(v), at("1996-01-01 00:00:00"))[1])
+add("retain_untimed_runs", f", {_RUNS} SELECT scan_id FROM runs WHERE timestamp >= TIMESTAMP '1996-01-01' OR processed_count % 5 = 0")(lambda v: mutations.retain_runs(_runs(v).withColumn("timestamp", F.when(F.col("processed_count") % 5 != 0, F.col("timestamp"))), at("1996-01-01 00:00:00"))[0].select("scan_id"))
+add("upsert_untimed_runs", f", {_RUNS} SELECT scan_id, processed_count * CASE WHEN processed_count % 14 = 0 THEN -2 WHEN processed_count % 7 = 0 THEN -1 ELSE 1 END AS processed_count FROM runs")(
+    lambda v: mutations.upsert_runs(_runs(v), _runs(v).where("processed_count % 7 = 0").withColumns({"processed_count": -F.col("processed_count"), "timestamp": F.lit(None).cast("timestamp")}).unionByName(_runs(v).where("processed_count % 14 = 0").withColumn("processed_count", -2 * F.col("processed_count")))).select("scan_id", "processed_count")
+)
 add("drop_run", f", {_RUNS} SELECT scan_id FROM runs WHERE scan_id <> 'scan_7'")(lambda v: mutations.drop_run(_runs(v), "scan_7").select("scan_id"))
 add("run_config", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda v: v.table("events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.try_element_at("m", F.lit("k")).alias("k")))
 
@@ -218,6 +222,9 @@ def _new(v):
 
 
 add("insert_or_ignore", _NEW)(lambda v: mutations.insert_or_ignore(v.base.where("file_id % 3 <> 0"), _new(v).unionByName(_new(v).withColumn("file_id", F.col("file_id") + 5))).select("file_id"))
+add("insert_without_ids", "SELECT file_id, path_on_drive FROM f0 WHERE file_id % 3 <> 0 UNION ALL SELECT NULL, path_on_drive FROM f0 WHERE file_id % 2 = 0 AND file_id % 3 = 0")(
+    lambda v: mutations.insert_or_ignore(v.base.where("file_id % 3 <> 0"), _new(v).unionByName(_new(v)).withColumn("file_id", F.lit(None).cast("long"))).select("file_id", "path_on_drive")
+)
 add("insert_or_get_ids", "SELECT path_on_drive, CASE WHEN file_id % 3 <> 0 THEN file_id ELSE (SELECT max(file_id) FROM f0 WHERE file_id % 3 <> 0) + row_number() OVER (PARTITION BY file_id % 3 = 0 ORDER BY drive_id, path_on_drive) END AS file_id, file_id % 3 = 0 AS inserted FROM f0 WHERE file_id % 2 = 0")(lambda v: mutations.insert_or_get_ids(v.base.where("file_id % 3 <> 0"), _new(v)).select("path_on_drive", "file_id", "inserted"))
 add("get_or_create_drives", "SELECT drive_id, label, mount_path FROM drives UNION ALL SELECT (SELECT max(drive_id) FROM drives) + row_number() OVER (ORDER BY lang), lang, '/mnt/' || lang FROM (SELECT DISTINCT lang FROM documents)")(
     lambda v: mutations.get_or_create_drives(v.drives, v.table("documents").select(F.col("lang").alias("label"), F.concat(F.lit("/mnt/"), "lang").alias("mount_path")).union(v.drives.select(F.lit("other"), "mount_path")))
@@ -236,8 +243,17 @@ def _marks(v):
 _SHOW = "SELECT file_id, {s} AS review_status, {n} AS review_note FROM files"
 _show = ("file_id", "review_status", "review_note")
 add("mark", _SHOW.format(s="CASE WHEN file_id % 10 = 6 THEN 'keep' ELSE review_status END", n="CASE WHEN file_id % 10 = 6 THEN 'seen' END"))(lambda v: mutations.mark(v.base, _marks(v), at()).select(*_show))
+add("mark_repeated", _SHOW.format(s="CASE WHEN file_id % 5 = 1 THEN 'not_needed' ELSE review_status END", n="CASE WHEN file_id % 5 = 1 THEN 'again' END"))(
+    lambda v: mutations.mark(v.base, _marks(v).withColumns({"status": F.lit("keep"), "seq": F.lit(1)}).unionByName(_marks(v).withColumns({"status": F.lit("not_needed"), "note": F.lit("again"), "seq": F.lit(2)})), at()).select(*_show)
+)
 add("mark_report", "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'keep' ELSE 'bad' END AS status, review_status AS old_status, file_id % 2 = 0 AND review_status <> 'keep' AS changed, CASE WHEN file_id % 2 = 1 THEN 'bad status' END AS error FROM files WHERE file_id % 5 = 1")(lambda v: mutations.mark_report(v.base, _marks(v)))
 add("mark_group", _SHOW.format(s="CASE WHEN group_id % 3 = 0 THEN 'not_needed' ELSE review_status END", n="CAST(NULL AS VARCHAR)"))(lambda v: mutations.mark_groups(v.files, v.groups.where("group_id % 3 = 0").select("group_id", F.lit("not_needed").alias("status"), F.lit(None).cast("string").alias("note")), at()).select(*_show))
+add("group_mark_report", "SELECT group_id, 'keep' AS status, count(*) AS members, count(*) FILTER (review_status <> 'keep') AS changed, CAST(NULL AS VARCHAR) AS error FROM files WHERE group_id % 3 = 0 GROUP BY 1 UNION ALL SELECT -group_id, 'keep', 0, 0, 'unknown group' FROM grps WHERE group_id % 3 = 1")(
+    lambda v: mutations.group_mark_report(v.files, v.groups.where("group_id % 3 < 2").select(F.when(F.col("group_id") % 3 == 0, F.col("group_id")).otherwise(-F.col("group_id")).alias("group_id"), F.lit("keep").alias("status"), F.lit(None).cast("string").alias("note")))
+)
+add("set_groups", "SELECT file_id, CASE WHEN file_id % 4 = 0 THEN 7 ELSE group_id END AS group_id, CASE WHEN file_id % 4 = 0 THEN file_id + 1 ELSE duplicate_of END AS duplicate_of FROM files")(
+    lambda v: mutations.set_groups(v.files, v.base.where("file_id % 4 = 0").select("file_id", F.lit(7).cast("long").alias("group_id"), (F.col("file_id") + 1).alias("duplicate_of"))).select("file_id", "group_id", "duplicate_of")
+)
 add("bulk_mark", _SHOW.format(s="CASE WHEN path_on_drive ILIKE '%/src2/%' THEN 'keep' ELSE review_status END", n="review_note"))(lambda v: mutations.bulk_mark(v.base, "%/SRC2/%", "keep", at()).select(*_show))
 _CHOSEN = "chosen AS (SELECT group_id, max(file_id) AS c FROM files WHERE duplicate_of IS NOT NULL AND group_id % 2 = 0 GROUP BY 1)"
 
