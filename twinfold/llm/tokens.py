@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from types import ModuleType
 from unicodedata import category
 
 import numpy as np
@@ -129,6 +131,14 @@ class Encoder:
         return [self.known[p] if x is None else x for p, x in zip(pieces, ids)] if new else ids
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which it keeps from task to task with the pieces that it knows."""
+    held = sys.modules.setdefault("twinfold_worker", ModuleType("twinfold_worker")).__dict__.setdefault("encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def piece_starts(signs: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where pieces begin; `first` has the starts of texts and their common end.
 
@@ -239,7 +249,7 @@ def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None
     stored = new_path(spark, "ids")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, times, seq = Encoder(tokenizer), np.zeros(vocabulary, np.int64), 0
+        encoder, times, seq = worker_encoder(tokenizer), np.zeros(vocabulary, np.int64), 0
         tail = b"" if end is None else np.array([end], f"<u{width}").tobytes()
         for pdf in batches:
             ids = [x + tail for x in encoder([t if isinstance(t, str) else "" for t in pdf["text"]])]
