@@ -5,57 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .text import alnum_words
 
 WIDTH = 10
-#: Most benchmark windows that are broadcast, about 300 bytes each; beyond it the join shuffles.
-MAX_BROADCAST = 500_000
+#: Most bytes of benchmark windows that are broadcast; beyond it the join shuffles.
+MAX_BROADCAST = 64 << 20
+#: Most documents whose ids are broadcast to take them out.
+MAX_GONE = 500_000
+#: Words that a window is first looked up by, and parts that a frequent window's occurrences are dealt to when they are shuffled.
+LEAD, SALTS = 3, 16
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH, *, item="item_id", text="text") -> DataFrame:
-    """key, n, found (array of window, item_id): every window of every item; an item of fewer words is one window."""
-    words = items.select(F.col(item).alias("item_id"), alnum_words(F.col(text)).alias("words")).where(F.size("words") > 0)
+    """item, n, window, key: every distinct window of every item; an item of fewer words is one window."""
+    words = items.select(F.col(item).alias("item"), alnum_words(F.col(text)).alias("words")).where(F.size("words") > 0)
     sized = words.withColumn("n", F.least(F.size("words"), F.lit(width)))
     spots = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.slice("words", i, F.col("n")))
-    each = sized.select("item_id", "n", F.explode(F.array_distinct(spots)).alias("window"))
-    return each.groupBy(F.xxhash64("n", "window").alias("key"), "n").agg(F.collect_set(F.struct("window", "item_id")).alias("found"))
+    each = sized.select("item", "n", F.explode(F.array_distinct(spots)).alias("window"))
+    return each.distinct().withColumn("key", F.xxhash64("n", "window"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, *, doc="doc_id", text="text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, n_words, hits (array of pos, n, items), positions from 0.
+    """One row per row of docs: doc_id, text_key, n_words, hits (array of pos, n, item), positions from 0.
 
-    Rows are told apart by id and a hash of the text; equal rows come back as often as they were given.
-    Null ids and texts are kept, a null or empty text has no words; an empty benchmark hits nothing.
+    Each word is hashed once. Places whose first LEAD words begin a benchmark window are found in a hash set of these, and
+    the whole window is then looked up and compared word by word. Where the windows are too large to broadcast, all windows of
+    the documents are joined by a shuffle, dealt to SALTS parts each.
+    Rows are told apart by id and a hash of the text; equal rows come back as often as they were given. Null ids and texts are
+    kept, a null or empty text has no words; an empty benchmark hits nothing.
     """
-    windows = benchmark_windows(items, width).cache()
-    try:
-        total, sizes = windows.count(), sorted(r["n"] for r in windows.select("n").distinct().collect())
-    finally:
-        windows.unpersist()
+    windows = settle(benchmark_windows(items, width), "windows")
+    bytes_of = F.length(F.array_join("window", " ")) * 2 + F.length(F.col("item").cast("string")) + 100
+    total, sizes = windows.agg(F.coalesce(F.sum(bytes_of), F.lit(0)), F.array_sort(F.collect_set("n"))).first()  # at most `width` sizes
     base = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("text_key"), alnum_words(F.col(text)).alias("words"))
-
-    def spots(n: int) -> Column:
-        at = lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), F.slice("words", i + 1, n)).alias("key"))
-        return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), at))
-
     # The first entry of each document stands for the document itself and matches nothing.
-    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.xxhash64("doc_id", "text_key").alias("key")))
-    empty = F.slice(own, 1, 0)
-    spread = base.select("doc_id", "text_key", "words", F.explode(F.concat(own, *[F.coalesce(spots(n), empty) for n in sizes])).alias("at"))
-    spread = spread.select("doc_id", "text_key", "words", "at.pos", "at.n", "at.key")
-    build = windows.select(F.col("key"), F.col("n").alias("size"), "found")
-    own_row, window = F.when(F.col("pos") < 0, F.size("words")).alias("n_words"), F.when(F.col("pos") >= 0, F.slice("words", F.col("pos") + 1, F.col("n"))).alias("window")
-    small = total <= max_broadcast
-    if not small:  # what is shuffled has its own words only, not the document's
-        spread = spread.select("doc_id", "text_key", "pos", "n", "key", own_row, window)
-    met = spread.join(F.broadcast(build) if small else build, (spread.key == build.key) & (spread.n == build.size), "left").where((F.col("pos") < 0) | F.col("found").isNotNull())
-    if small:
-        met = met.select("doc_id", "text_key", "pos", "n", "found", own_row, window)
-    same = F.transform(F.filter("found", lambda x: x["window"] == F.col("window")), lambda x: x["item_id"])
-    seen = met.select("doc_id", "text_key", "n_words", F.when(F.col("pos") >= 0, F.struct("pos", "n", F.array_sort(same).alias("items"))).alias("hit"))
+    own = F.array(F.struct(F.lit(-1).alias("pos"), F.xxhash64("doc_id", "text_key").alias("first")))
+    build = windows.select(F.col("key").alias("of"), F.col("n").alias("size"), F.col("window").alias("wanted"), "item")
+    here = F.slice("words", F.col("pos") + 1, F.col("n"))
+    if total <= max_broadcast:
+        leads = sorted({min(n, LEAD) for n in sizes})
+        coded = base.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
+
+        def places(n: int) -> Column:
+            at = lambda c, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(n), c, *[F.col("codes")[i + k] for k in range(1, n)]).alias("first"))
+            return F.when(F.size("codes") >= n, F.transform(F.slice("codes", F.lit(1), F.size("codes") - n + 1), at)).otherwise(F.slice(own, 1, 0))
+
+        spread = coded.select("doc_id", "text_key", "words", F.explode(F.concat(own, *map(places, leads))).alias("at"))
+        begin = F.transform(F.slice("window", F.lit(1), F.least("n", F.lit(LEAD))), lambda w: F.xxhash64(w))
+        firsts = [windows.where(F.least("n", F.lit(LEAD)) == n).select(F.xxhash64(F.lit(n), *[begin[k] for k in range(n)]).alias("lead"), "n").distinct() for n in leads]
+        known = windows.select(F.lit(0).cast("long").alias("lead"), "n").limit(0)
+        for f in firsts:
+            known = known.unionByName(f)
+        began = spread.select("doc_id", "text_key", "words", "at.pos", "at.first").join(F.broadcast(known), F.col("first") == F.col("lead"), "left")
+        began = began.where((F.col("pos") < 0) | (F.col("n").isNotNull() & (F.col("pos") + F.col("n") <= F.size("words"))))
+        keyed = began.withColumn("window", F.when(F.col("pos") >= 0, here)).withColumn("key", F.when(F.col("pos") < 0, F.col("first")).otherwise(F.xxhash64("n", "window")))
+        met = keyed.join(F.broadcast(build), (F.col("key") == F.col("of")) & (F.col("n") == F.col("size")) & (F.col("window") == F.col("wanted")), "left")
+    else:
+        salt = lambda: F.pmod(F.xxhash64("doc_id", "text_key", "at.pos"), F.lit(SALTS)).cast("int").alias("salt")
+
+        def spots(n: int) -> Column:
+            at = lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"))
+            return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), at)).otherwise(F.array().cast("array<struct<pos:int,n:int>>"))
+
+        mine = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n")))
+        spread = base.select("doc_id", "text_key", "words", F.explode(F.concat(mine, *map(spots, sizes))).alias("at"))
+        # What is shuffled has its own words only, not the document's.
+        keyed = spread.select("doc_id", "text_key", F.when(F.col("at.pos") < 0, F.size("words")).alias("n_words"), salt(), "at.pos", "at.n", F.when(F.col("at.pos") >= 0, F.slice("words", F.col("at.pos") + 1, F.col("at.n"))).alias("window"))
+        keyed = keyed.withColumn("key", F.xxhash64("n", F.coalesce("window", F.array(F.col("doc_id").cast("string"), F.col("text_key").cast("string")))))
+        dealt = build.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = keyed.join(dealt, (F.col("key") == F.col("of")) & (F.col("salt") == F.col("part")) & (F.col("n") == F.col("size")) & (F.col("window") == F.col("wanted")), "left")
+    hit = F.when(F.col("wanted").isNotNull(), F.struct("pos", "n", "item"))
+    words = F.when(F.col("pos") < 0, F.size("words") if total <= max_broadcast else F.col("n_words"))
+    seen = met.where((F.col("pos") < 0) | F.col("wanted").isNotNull()).select("doc_id", "text_key", words.alias("n_words"), hit.alias("hit"))
     grouped = seen.groupBy("doc_id", "text_key").agg(F.max("n_words").cast("long").alias("n_words"), F.count("n_words").cast("int").alias("copies"), F.collect_set("hit").alias("hits"))
-    whole = grouped.withColumn("hits", F.filter("hits", lambda h: F.size(h["items"]) > 0))
-    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
+    return grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
 
 
 def hit_words(hits: Column) -> Column:
@@ -71,13 +95,15 @@ def hit_words(hits: Column) -> Column:
 
 def hit_items(hits: Column) -> Column:
     """Item ids of the hits as text, each once, in text order."""
-    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(hits, lambda h: h["items"])), lambda i: i.cast("string"))))
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item"].cast("string"))))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, *, doc="doc_id", text="text") -> DataFrame:
-    """Rows of docs without any hit; all columns stay."""
+    """Rows of docs without any hit; all columns stay. Documents stay where they are unless MAX_GONE or more are hit."""
     found = find_hits(docs, items, width, doc=doc, text=text).where(F.size("hits") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(found, docs[doc].eqNullSafe(found["_doc"]) & (F.xxhash64(docs[text]) == found["_key"]), "left_anti")
+    found = settle(found, "contaminated")
+    gone = F.broadcast(found) if found.count() <= MAX_GONE else found
+    return docs.join(gone, docs[doc].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs[text]) == gone["_key"]), "left_anti")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, *, doc="doc_id", text="text") -> DataFrame:
