@@ -22,8 +22,8 @@ from .text import mix
 WIDTH, K = 12, 128
 SPACE = 1 << 48
 _MASK = np.uint64(SPACE - 1)
-#: Most parts that the order of documents is cut into.
-PARTS = 512
+#: Documents that a part of their order is planned for, and ids that are drawn for each part to plan by.
+ROWS, DRAWN = 50_000, 60
 
 
 def shingle_hashes(data: bytes) -> np.ndarray:
@@ -86,12 +86,13 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 def fingerprints(docs: DataFrame, *, doc="doc_id", text="text", k: int = K) -> DataFrame:
     """doc_id, n_chars, fingerprint, n_shingles (estimate) of each row; null counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [sketch(t, k) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": [len(t or "") for t in pdf["text"]], "fingerprint": [to_text(s) for s in found], "n_shingles": [distinct(s, k) for s in found]})
+    @F.pandas_udf("fingerprint string, n_shingles double")
+    def taken(texts: pd.Series) -> pd.DataFrame:
+        found = [sketch(t, k) for t in texts]
+        return pd.DataFrame({"fingerprint": [to_text(s) for s in found], "n_shingles": [distinct(s, k) for s in found]})
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n_chars long, fingerprint string, n_shingles double")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), taken("text").alias("s")).select("doc_id", "n_chars", "s.fingerprint", "s.n_shingles")
 
 
 def merge_fingerprints(parts: DataFrame, by: str, *, fingerprint="fingerprint", k: int = K) -> DataFrame:
@@ -118,33 +119,43 @@ def merge_fingerprints(parts: DataFrame, by: str, *, fingerprint="fingerprint",
 def with_next(docs: DataFrame, visit, schema: str, *, doc="doc_id", text="text") -> DataFrame:
     """visit(rows of (doc_id, text, next text)) over documents in descending order of id; after the last comes the first.
 
-    The order is cut into parts at ids of real documents; the first document of each part is also sent to the part
-    before it. So the texts move once and no task sees more than its part. Null ids come last, equal ids go by text.
+    The order is cut into parts of about ROWS documents at ids of real documents, drawn by a hash (DRAWN for each part come to the
+    driver, 8 bytes each). Each part is a task of its own, and its first document is also sent to the part before it, so the
+    texts move once and no task sees more than its part. Null ids come last, equal ids go by text and stay in one part.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shares = [i / min(PARTS, 4 * n) for i in range(1, min(PARTS, 4 * n) + 1)]
-    cuts = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts"), F.max("doc_id").alias("top")).first()
-    bounds = sorted({*(cuts["cuts"] or []), cuts["top"]} - {None}, reverse=True)
-    if bounds:
-        at = F.array(*[F.lit(b).cast("long") for b in bounds])
-        part = F.when(F.col("doc_id").isNull(), len(bounds) - 1).otherwise(F.size(F.filter(at, lambda b: b >= F.col("doc_id"))) - 1)
-        first = F.coalesce(F.array_contains(at, F.col("doc_id")), F.lit(False))
-    else:
-        part, first = F.lit(0), F.lit(True)
-    last = max(len(bounds), 1) - 1
-    own = F.struct(F.col("part"), F.lit(False).alias("extra"))
-    sent = F.struct(F.when(F.col("part") == 0, last).otherwise(F.col("part") - 1).alias("part"), F.lit(True).alias("extra"))
-    placed = rows.withColumn("part", part).withColumn("to", F.explode(F.when(first, F.array(own, sent)).otherwise(F.array(own))))
-    dealt = placed.select("to.part", "to.extra", "doc_id", "text").repartition(n, "part").sortWithinPartitions("part", "extra", F.desc_nulls_last("doc_id"), "text")
+    ids = rows.where("doc_id is not null").select("doc_id")
+    total, top = ids.agg(F.count(F.lit(1)), F.max("doc_id")).first()
+    n = max(2 * partitions(spark), -(-total // ROWS))
+    share = min(1.0, n * DRAWN / max(1, total))
+    drawn = np.sort(np.array([r[0] for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct().collect()], np.int64))
+    bounds = np.unique(np.append(drawn[[len(drawn) * i // n for i in range(1, n)]] if len(drawn) else drawn, np.int64(top or 0)))
+    shared = spark.sparkContext.broadcast(bounds)
+    last = len(bounds) - 1
+
+    @F.pandas_udf("part int, first boolean")
+    def deal(ids: pd.Series, there: pd.Series) -> pd.DataFrame:
+        """The part of each id, counted from the largest, and whether the id is the part's first."""
+        known = shared.value
+        at = np.minimum(np.searchsorted(known, ids.to_numpy(np.int64)), last)
+        return pd.DataFrame({"part": np.where(there, last - at, last), "first": there & (known[at] == ids)})
+
+    dealt = rows.withColumn("_deal", deal(F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNotNull()))
+    # Without any id the part before the first is that of the null ids itself, and any of them may be its first.
+    part, first = F.col("_deal.part"), F.col("_deal.first") if top is not None else F.lit(True)
+    own = F.struct(part.alias("part"), F.lit(False).alias("extra"))
+    sent = F.struct(F.when(part == 0, last).otherwise(part - 1).alias("part"), F.lit(True).alias("extra"))
+    placed = dealt.withColumn("to", F.explode(F.when(first, F.array(own, sent)).otherwise(F.array(own))))
+    dealt = placed.select("to.part", "to.extra", "doc_id", "text").repartitionById(last + 1, "part").sortWithinPartitions("part", "extra", F.desc_nulls_last("doc_id"), "text")
+    dealt = dealt.select("part", "extra", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
             ready = []
-            for p, extra, d, t in zip(pdf["part"], pdf["extra"], pdf["doc_id"].astype("Int64"), pdf["text"]):
-                t = t if isinstance(t, str) else ""
+            for p, extra, d, there, t in zip(pdf["part"], pdf["extra"], pdf["doc_id"].tolist(), pdf["named"], pdf["text"]):
+                t, d = t if isinstance(t, str) else "", d if there else None
                 if held and held[0] == p:
                     ready.append((held[1], held[2], t))
                 held = None if extra else (p, d, t)
@@ -166,8 +177,9 @@ def _edited(rows: list[tuple]) -> pd.DataFrame:
         ahead, ahead_sketch, changed = after, sketch(after), sketch(edited)
         out.append((d, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(changed), resemblance(own, changed), resemblance(own, ahead_sketch)))
     pdf = pd.DataFrame(out, columns=[c.split()[0] for c in FINGERPRINTED.split(", ")])
-    return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
+    return pdf.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints of every document and of its text edited with that of the next one; null texts are empty, whose sketches are empty and alike."""
     return with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), _edited, FINGERPRINTED)

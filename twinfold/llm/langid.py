@@ -72,7 +72,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float = 0.3, seed: int = 1) -> Model:
-    """Fit on labelled texts and on random cuts of them, which stand for short texts."""
+    """Fit on labelled texts and on random cuts of them, which stand for short texts. A text's gradient is not divided among its subwords beyond its first (as if each stood once), so long texts move their subwords as much as short ones."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     if not languages:
@@ -134,15 +134,16 @@ def held_out(doc) -> F.col:
 
 
 def identify(docs: DataFrame, model: Model, *, text="text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_rejected added (names must be free)."""
+    """docs with lang_pred, lang_score and lang_rejected, which take the place of columns of these names. Null texts and texts without letters are `und` and rejected."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    named = docs.withColumn("_language", predict(F.col(text)))
-    return named.withColumns({"lang_pred": F.col("_language.lang_pred"), "lang_score": F.col("_language.score"), "lang_rejected": F.col("_language.rejected")}).drop("_language")
+    free = max(docs.columns, key=len, default="") + "_language"
+    named = docs.withColumn(free, predict(F.col(text)))
+    return named.withColumns({"lang_pred": named[free]["lang_pred"], "lang_score": named[free]["score"], "lang_rejected": named[free]["rejected"]}).drop(free)
 
 
 def drop_unidentified(docs: DataFrame, *, doc="doc_id", text="text", lang="lang") -> DataFrame:
@@ -158,6 +159,7 @@ def drop_unidentified(docs: DataFrame, *, doc="doc_id", text="text", lang="lang"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of the labelled ones outside the held-out fold; `und` and score 0 for texts without letters. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     named = identify(docs.select("doc_id", "text"), train(docs))
     return named.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
