@@ -56,7 +56,8 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 def test_language_odd(spark, odd):
     model = langid.fit(["the cat and the dog of the house"] * 8 + ["der hund und die katze aus dem haus"] * 8, ["en"] * 8 + ["de"] * 8)
-    out = langid.identify(odd, model).collect()
+    out = langid.identify(odd.withColumns({"_language": F.lit(5), "lang_pred": F.lit("old")}), model).collect()
+    assert {r["_language"] for r in out} == {5} and not any(r["lang_pred"] == "old" for r in out)
     assert {r["lang_pred"] for r in out if not r["text"] or r["doc_id"] in (9, 10)} == {"und"}
     assert [c for c in langid.drop_unidentified(odd).columns] == odd.columns
     assert langid.identify(odd.limit(0), model).count() == 0

@@ -22,13 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import Scratch, settle
 from .text import mix, space_words
 
 WIDTH, PERCENT = 5, 80
 COORDS, ROWS, MATCH = 24, 3, 2
 #: Most ids that are broadcast, 8 bytes each, to pick documents; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
+#: Pairs of one document that are confirmed in one place; those of a document with more are dealt to several.
+HUB = 256
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 2**63, COORDS * ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _SHIFTS = _RNG.integers(1, 2**63, COORDS * ROWS, dtype=np.int64).astype(np.uint64)
@@ -84,6 +86,7 @@ def sign(docs: DataFrame, width: int, *, doc="doc_id", text="text") -> DataFrame
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"],
+                        "named": part["named"],
                         "n": [len(s) for s in sets],
                         "set_a": np.array([a for a, _ in name], np.uint64).view(np.int64),
                         "set_b": np.array([b for _, b in name], np.uint64).view(np.int64),
@@ -91,8 +94,10 @@ def sign(docs: DataFrame, width: int, *, doc="doc_id", text="text") -> DataFrame
                     }
                 )
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n long, set_a long, set_b long, signature array<long>")
+    # A column with nulls would come as floating numbers.
+    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col(doc).isNotNull().alias("named"), F.col(text).alias("text"))
+    signed = rows.mapInPandas(run, "doc_id long, named boolean, n long, set_a long, set_b long, signature array<long>")
+    return signed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
 def alike(n: str, m: str, percent: int):
@@ -100,14 +105,14 @@ def alike(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def picked(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
+def picked(docs: DataFrame, ids: DataFrame, doc: str, text: str, scratch: Scratch) -> DataFrame:
     """id, text of the documents with these ids."""
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    ids = settle(ids, "picked")
+    ids = scratch.settle(ids, "picked")
     return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "id", "left_semi")
 
 
-def counted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree in MATCH coordinates or more."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"))
     both = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
@@ -115,36 +120,47 @@ def counted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(equal >= MATCH).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, *, doc="doc_id", text="text") -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets of the documents they name."""
-    rows = picked(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), doc, text)
-    with_b = pairs.join(rows.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    with_both = with_b.join(rows.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, *, doc="doc_id", text="text") -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets (64-bit hashes of shingles) of the documents they name.
+
+    The pairs of a document stand behind it in one place, or in several of about HUB pairs, so its text is sent once for
+    each place and not for each pair.
+    """
+    pairs = scratch.settle(pairs, "pairs")
+    rows = picked(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), doc, text, scratch)
+    hubs = scratch.settle(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("places")), "hubs")
+    heads = hubs.select("a", F.explode(F.sequence(F.lit(1), "places")).alias("place")).join(rows.withColumnRenamed("id", "a"), "a").select("a", "place", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), "text")
+    keyed = pairs.join(hubs, "a").select("a", (F.pmod(F.xxhash64("b"), F.col("places")) + 1).cast("int").alias("place"), F.lit(1).alias("kind"), "b")
+    rest = keyed.join(rows.withColumnRenamed("id", "b"), "b").select("a", "place", "kind", "b", "text")
+    dealt = heads.unionByName(rest).repartition("a", "place").sortWithinPartitions("a", "place", "kind", "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, None
+        at, held = None, []
         for pdf in batches:
-            keep = []
+            out = []
             for i in range(0, len(pdf), 64):
                 part = pdf.iloc[i : i + 64]
-                for ta, sb in zip(part["ta"], shingle_sets(list(part["tb"]), width)):
-                    if ta != last:
-                        last, held = ta, shingle_sets([ta], width)[0]
-                    common = len(np.intersect1d(held, sb, assume_unique=True))
-                    keep.append(common > 0 and 100 * common >= percent * (len(held) + len(sb) - common))
-            yield pdf.loc[keep, ["a", "b"]]
+                for a, place, kind, b, s in zip(part["a"].tolist(), part["place"].tolist(), part["kind"], part["b"].tolist(), shingle_sets(list(part["text"]), width)):
+                    if kind == 0:  # an id may stand for several texts
+                        held = [*held, s] if at == (a, place) else [s]
+                        at = a, place
+                        continue
+                    common = [(len(np.intersect1d(h, s, assume_unique=True)), len(h)) for h in held]
+                    if any(n and 100 * n >= percent * (size + len(s) - n) for n, size in common):
+                        out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    return with_both.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
-def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, *, doc="doc_id", text="text") -> DataFrame:
+def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, *, doc="doc_id", text="text") -> DataFrame:
     """Pairs (a, b) of nodes (node, component) in different components that may be similar; none that is similar is missing.
 
     With shingles ordered from rare to frequent, a similar pair has a common one in the first n - ceil(2p/(100+p) n) + 1
     of the smaller set and the first m - ceil(p/100 m) + 1 of the larger. If the first common one stands at i and j,
     the sets share 1 + min(n - i - 1, m - j - 1) at most; and never more than what other nodes share with each.
     """
-    nodes = settle(nodes, "rest")
+    nodes = scratch.settle(nodes, "rest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,12 +169,12 @@ def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, *,
                 sets = shingle_sets(list(part["text"]), width)
                 yield pd.DataFrame({"node": part["id"], "h": [x.view(np.int64) for x in sets]})
 
-    sets = picked(docs, nodes.select(F.col("node").alias("id")), doc, text).mapInPandas(run, "node long, h array<long>")
-    sets = settle(sets.select("node", F.array_distinct("h").alias("h"), F.size("h").alias("n")).dropDuplicates(["node"]), "rest-sets")
+    sets = picked(docs, nodes.select(F.col("node").alias("id")), doc, text, scratch).mapInPandas(run, "node long, h array<long>")
+    sets = scratch.settle(sets.select("node", F.array_distinct("h").alias("h"), F.size("h").alias("n")).dropDuplicates(["node"]), "rest-sets")
     each = sets.select("node", F.explode("h").alias("h"))
     alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     core = nodes.join(sets.select("node", "n"), "node").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * percent)
-    core = settle(core.select("node", "component", "most"), "core")
+    core = scratch.settle(core.select("node", "component", "most"), "core")
     few = F.broadcast(core) if core.count() <= MAX_BROADCAST else core
     held = sets.join(few, "node").select("node", "component", "n", "most", F.explode("h").alias("h"))
     ranked = held.join(held.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "h")
@@ -167,7 +183,7 @@ def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, *,
     own = F.col("n") - F.size("order")
     wide = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     narrow = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
-    rows = settle(ordered.select("node", "component", "n", "most", narrow.alias("narrow"), own.alias("own"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), (wide - own).cast("int")))).alias("p", "s")), "prefixes")
+    rows = scratch.settle(ordered.select("node", "component", "n", "most", narrow.alias("narrow"), own.alias("own"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), (wide - own).cast("int")))).alias("p", "s")), "prefixes")
     rows = rows.select("node", "component", "n", "most", "narrow", (F.col("own") + F.col("p")).alias("at"), F.col("s.h").alias("h"))
     small = rows.where(F.col("at") < F.col("narrow")).withColumnsRenamed({c: f"{c}_" for c in rows.columns if c != "h"})
     after = (F.col("n") > F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("node") > F.col("node_")))
@@ -177,16 +193,16 @@ def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, *,
     return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
-def components(edges: DataFrame, name: str = "labels") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "labels") -> DataFrame:
     """node, component (smallest node reachable) of every node with an edge. Labels take the least of their neighbours', then of the node they point to, until nothing changes."""
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = settle(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    labels = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), name)
+    both = scratch.settle(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
+    labels = scratch.settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), name)
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         drawn = labels.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", F.least("label", "near").alias("to"), "label")
         head = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
-        moved = settle(drawn.join(head, "to", "left").select("node", F.least("to", "beyond").alias("label"), F.col("label").alias("was")), name)
+        moved = scratch.settle(drawn.join(head, "to", "left").select("node", F.least("to", "beyond").alias("label"), F.col("label").alias("was")), name)
         labels = moved.select("node", "label")
         if moved.where(F.col("label") != F.col("was")).isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -199,38 +215,43 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     no component and are kept. Rows that share an id and a set are alike in all columns; rows that share an id and
     differ in text are nodes of their own unless the id stands for both sets, which links them.
     """
-    signed = settle(sign(docs, width, doc=doc, text=text), "signed")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.settle(sign(docs, width, doc=doc, text=text), "signed")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = settle(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
+    nodes = scratch.settle(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
     posted = nodes.select("node", "n", F.posexplode(F.slice("signature", 1, COORDS - MATCH + 1)).alias("c", "value")).select(F.xxhash64("c", "value").alias("list"), "node", "n")
-    sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = settle(posted.join(sizes, "list"), "shared")
+    # Facts of lists are tables of their own, so that a long list's postings can be split where they meet them.
+    sizes = scratch.settle(posted.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = scratch.settle(posted.join(sizes, "list"), "shared")
     central = shared.join(shared.groupBy("node").agg(F.sum("size").alias("score")), "node")
-    heads = central.groupBy("list").agg(F.max(F.struct("score", (-F.col("node")).alias("first"), "node", "n")).alias("head"))
-    lists = settle(shared.select("list", "node", "n").join(heads, "list"), "lists")
+    heads = scratch.settle(central.groupBy("list").agg(F.max(F.struct("score", (-F.col("node")).alias("first"), "node", "n")).alias("head")), "heads")
+    lists = scratch.settle(shared.select("list", "node", "n").join(heads, "list"), "lists")
     first = lists.where((F.col("node") != F.col("head.node")) & alike("n", "head.n", percent)).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-    edges = settle(confirmed(counted(first, nodes, percent), docs, width, percent, doc=doc, text=text), "edges")
-    known = components(edges)
+    edges = scratch.settle(confirmed(counted(first, nodes), docs, width, percent, scratch, doc=doc, text=text), "edges")
+    known = components(edges, scratch)
 
     placed = lists.join(known, "node", "left").select("list", "node", F.col("head.node").alias("head"), F.coalesce("component", "node").alias("component"))
     open_lists = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
     rest = placed.where("node != head").join(open_lists, "list", "left_semi").groupBy("node").agg(F.first("component").alias("component"))
-    more = settle(confirmed(prefix_pairs(rest, docs, width, percent, doc=doc, text=text), docs, width, percent, doc=doc, text=text), "edges")
+    more = scratch.settle(confirmed(prefix_pairs(rest, docs, width, percent, scratch, doc=doc, text=text), docs, width, percent, scratch, doc=doc, text=text), "edges")
     if not more.isEmpty():
-        known = components(edges.unionByName(more))
+        known = components(edges.unionByName(more), scratch)
 
     whole = nodes.select("set_a", "set_b", "node").join(known, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n", "set_a", "set_b").join(whole, ["set_a", "set_b"], "left")
     component = F.when(F.col("n") > 0, F.least("doc_id", "component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = settle(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
+    scratch.clear()
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, doc="doc_id", text="text") -> DataFrame:
     """Rows of docs, all columns, of which each class keeps the one with its smallest id; of equal rows of that id one stays."""
     found = near_duplicates(docs, width=width, percent=percent, doc=doc, text=text)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[doc] == gone["_gone"], "left_anti")
+    few = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
+    kept = docs.join(few, docs[doc] == few["_gone"], "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     named = kept.where(F.col(doc).isNotNull()).dropDuplicates([doc, text])
@@ -238,4 +259,5 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int =
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of four-word shingles, component and whether it is kept; see near_duplicates for nulls, empty texts and repeated rows."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)

@@ -14,16 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import settle
+from ..session import Scratch, settle
 
 WINDOW, ALPHA, SURE, SUPPORT, STEM = 6, 0.8, 0.5, 3, 3
+#: Entries of an array that are added up in one stretch.
+STRETCH = 128
 
 # The patterns of each kind. Possessive repeats and look-behinds give the matches of
 # email `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`, ip `[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`,
 # card `[0-9]([\x20-]?[0-9])+` and phone `\+[0-9][\x20().0-9-]+[0-9]` in one pass and without deep recursion.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[ -]?[0-9])++"
+# Runs of fewer than 13 digits are no cards, so they aren't looked at.
+CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone", PHONE, "+"))
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -43,19 +46,33 @@ def accepted(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array that isn't empty, by stretches of STRETCH, so that a long one doesn't cost the square of its length."""
+    within = lambda xs, i: total(F.slice(xs, i - i % STRETCH + 1, i % STRETCH + 1))
+    whole = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int")), lambda c: total(F.slice(xs, c * STRETCH + 1, STRETCH)))
+    before = lambda sums: F.transform(sums, lambda _, c: total(F.slice(sums, F.lit(1), c)))
+    return let(numbers, lambda xs: let(let(whole(xs), before), lambda starts: F.transform(xs, lambda _, i: starts[F.floor(i / STRETCH).cast("int")] + within(xs, i))))
+
+
 def places(text: Column, pattern: str, kind: Column) -> Column:
     """All matches with their places in code points (from 0, end exclusive), by adding up what lies between them."""
     between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(at: Column, x: Column) -> Column:
-        start = at["end"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("end"), F.concat(at["out"], F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def spans(found: Column) -> Column:
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, v: F.length(g) + F.length(v))
+        each = F.zip_with(found, running(steps), lambda v, end: F.struct(kind.alias("kind"), (end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
+        return F.when(F.size(found) > 0, each).otherwise(F.array().cast(SPAN))
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("out")), step)["out"]
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(SPAN))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -78,40 +95,52 @@ def term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
-def context(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per word beside a base span: doc_id, text_key, entity, term, start, end, value. Words that overlap a base span are left out."""
-    each = found.where(F.size("spans") > 0).select("doc_id", "text_key", "text", "spans", F.explode("spans").alias("span"))
-    before = F.substring("text", F.lit(1), F.col("span.start"))
-    after = F.substring("text", F.col("span.end") + 1, F.length("text") - F.col("span.end"))
-    # The nearest words on either side; a word cut by the span itself counts as part of it.
-    left = F.regexp_extract(before, rf"(?:^|(?<=\s))((?:[^\x09-\x0D ]++[\x09-\x0D ]++){{0,{window}}})[^\x09-\x0D ]*$", 1)
-    right = F.regexp_extract(after, rf"^[^\x09-\x0D ]*+((?:[\x09-\x0D ]++[^\x09-\x0D ]++){{0,{window}}})", 1)
-    glued = F.length(F.regexp_extract(before, r"[^\x09-\x0D ]*$", 0))
-    tail = F.length(F.regexp_extract(after, r"^[^\x09-\x0D ]*+", 0))
-    sides = each.select(
-        "doc_id",
-        "text_key",
-        "spans",
-        entity(F.col("span")).alias("entity"),
-        F.explode(F.array(F.struct((F.col("span.start") - glued - F.length(left)).alias("at"), left.alias("part")), F.struct((F.col("span.end") + tail).alias("at"), right.alias("part")))).alias("side"),
-    )
-    words = sides.select("doc_id", "text_key", "spans", "entity", F.explode(F.transform(places(F.col("side.part"), WORD, F.lit("term")), lambda s: F.struct((s["start"] + F.col("side.at")).alias("start"), (s["end"] + F.col("side.at")).alias("end"), s["value"].alias("value")))).alias("word"))
-    bare = words.where(~F.exists("spans", lambda s: (s["start"] < F.col("word.end")) & (s["end"] > F.col("word.start"))))
-    return bare.select("doc_id", "text_key", "entity", term(F.col("word.value")).alias("term"), "word.start", "word.end", "word.value").where("term <> ''").distinct()
+def word_places(texts: DataFrame) -> DataFrame:
+    """text_key, j, start, end, value: the words of different texts (text_key, text), numbered from 1, with their places in code points."""
+    each = texts.select("text_key", F.posexplode(F.split("text", r"[\x09-\x0D ]", -1)).alias("i", "value"))
+    line = Window.partitionBy("text_key").orderBy("i")
+    end = F.sum(F.length("value") + 1).over(line).cast("int") - 1
+    placed = each.select("text_key", F.sum((F.col("value") != "").cast("int")).over(line).alias("j"), end.alias("end"), "value").where("value <> ''")
+    return placed.withColumn("start", F.col("end") - F.length("value"))
 
 
-def disclosures(texts: DataFrame, found: DataFrame, near: DataFrame, *, alpha: float = ALPHA, sure: float = SURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
+def context(marked: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+    """text_key, entity, term, n: the words within `window` words of an entity's spans in different texts (text_key, text, spans). Words that overlap a base span are left out.
+
+    Words are numbered once for each text; a span's first and last word are those last begun at its first and last sign.
+    So a text costs in proportion to its words and spans, however many there are.
+    """
+    words = scratch.settle(word_places(marked), "words")
+    spans = marked.select("text_key", F.posexplode("spans").alias("s", "span"))
+    ends = spans.select("text_key", "s", entity(F.col("span")).alias("entity"), F.explode(F.array("span.start", F.col("span.end") - 1)).alias("pos"))
+    both = ends.withColumn("j", F.lit(None).cast("long")).unionByName(words.select("text_key", F.col("start").alias("pos"), "j"), allowMissingColumns=True)
+    line = Window.partitionBy("text_key").orderBy("pos", F.col("s").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    spots = both.withColumn("at", F.last("j", ignorenulls=True).over(line)).where("s is not null").groupBy("text_key", "s", "entity").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    spots = scratch.settle(spots, "spots")
+    glued = spots.select("text_key", F.explode(F.sequence("first", "last")).alias("j")).distinct()
+    around = F.concat(F.sequence(F.col("first") - window, F.col("first") - 1), F.sequence(F.col("last") + 1, F.col("last") + window))
+    beside = spots.select("text_key", "entity", F.explode(around).alias("j")).distinct().join(glued, ["text_key", "j"], "left_anti")
+    near = beside.join(words, ["text_key", "j"]).select("text_key", "entity", term(F.col("value")).alias("term")).where("term <> ''")
+    return scratch.settle(near.groupBy("text_key", "entity", "term").agg(F.count(F.lit(1)).alias("n")), "near")
+
+
+def disclosures(texts: DataFrame, found: DataFrame, near: DataFrame, scratch: Scratch, *, alpha: float = ALPHA, sure: float = SURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
     """entity, term, put: words that disclose an entity and what is put for them ('' where they are removed).
 
-    Texts that repeat count once. Only words that meet some entity often enough are counted in the corpus.
+    Texts that repeat count once for the support, and as often as they stand for the shares. Only words that meet some
+    entity often enough are counted in the corpus.
     """
-    met = near.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("texts"), F.count(F.lit(1)).alias("n_both")).where(F.col("texts") >= support)
-    mentions = settle(found.where(F.size("spans") > 0).select("text_key", F.explode("spans").alias("span")).groupBy(entity(F.col("span")).alias("entity")).agg(F.count(F.lit(1)).alias("n_entity")), "entities")
+    marked = found.where(F.size("spans") > 0)
+    copies = marked.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+    counted = near.join(copies, "text_key").withColumn("n", F.col("n") * F.col("copies"))
+    met = counted.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_both")).where(F.col("texts") >= support)
+    mentions = scratch.settle(marked.select(F.explode("spans").alias("span")).groupBy(entity(F.col("span")).alias("entity")).agg(F.count(F.lit(1)).alias("n_entity")), "entities")
     total = mentions.agg(F.sum("n_entity")).first()[0] or 1
+    met = scratch.settle(met, "met")
     stems = met.select(F.substring("term", 1, stem).alias("stem")).distinct()
     words = texts.select(F.explode(F.split("text", r"[\x09-\x0D ]+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = words.select(term(F.col("word")).alias("term"), "n").where("term <> ''").groupBy("term").agg(F.sum("n").alias("n_term"))
-    counts = counts.withColumn("stem", F.substring("term", 1, stem)).join(stems, "stem", "left_semi")
+    counts = scratch.settle(counts.withColumn("stem", F.substring("term", 1, stem)).join(stems, "stem", "left_semi"), "counts")
     classes = counts.groupBy("stem").agg(F.sum("n_term").alias("n_stem"))
     known = met.join(mentions, "entity").join(counts.select("term", "n_term", "stem"), "term").join(classes, "stem")
 
@@ -119,26 +148,20 @@ def disclosures(texts: DataFrame, found: DataFrame, near: DataFrame, *, alpha: f
         share, prior = both / n, F.col("n_entity") / F.lit(total)
         return (share >= sure) & (F.log2(share / prior) >= -alpha * F.log2(prior))
 
-    class_both = near.groupBy("entity", F.substring("term", 1, stem).alias("stem")).agg(F.count(F.lit(1)).alias("n_class"))
+    class_both = counted.groupBy("entity", F.substring("term", 1, stem).alias("stem")).agg(F.sum("n").alias("n_class"))
     revealing = known.where(reveals(F.col("n_both"), F.col("n_term"))).join(class_both, ["entity", "stem"])
     general = (F.length("term") > stem) & ~reveals(F.col("n_class"), F.col("n_stem"))
     return revealing.select("entity", "term", F.when(general, F.concat("stem", F.lit("*"))).otherwise(F.lit("")).alias("put"))
 
 
-def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, told: DataFrame, scratch: Scratch) -> DataFrame:
     """text_key, start, end, value, put: every place of the disclosing terms (term, put) in all texts; equal texts count once."""
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     # The texts stay behind while their words are looked up; only those with a hit are read again.
     each = keyed.select("text_key", F.explode(F.array_distinct(F.split("text", r"[\x09-\x0D ]+"))).alias("value"))
-    hits = settle(each.withColumn("term", term(F.col("value"))).join(told, "term").select("text_key", "value", "put").distinct(), "hits")
-    rows = keyed.join(hits, "text_key").dropDuplicates(["text_key", "value"])
-    quoted = F.concat(F.lit(r"(?<![^\x09-\x0D ])\Q"), F.replace("value", F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![^\x09-\x0D ])"))
-    gaps = rows.select("text_key", "value", "put", F.transform(F.split("text", quoted, -1), lambda g: F.length(g)).alias("gaps"))
-    gaps = gaps.select("text_key", "value", "put", F.size("gaps").alias("n"), F.posexplode("gaps").alias("i", "gap"))
-    before = F.sum("gap").over(Window.partitionBy("text_key", "value").orderBy("i"))
-    start = (before + F.col("i") * F.length("value")).cast("int")
-    found = gaps.withColumn("start", start).where(F.col("i") < F.col("n") - 1)
-    return found.select("text_key", "start", (F.col("start") + F.length("value")).alias("end"), "value", "put")
+    hits = scratch.settle(each.withColumn("term", term(F.col("value"))).join(told, "term").select("text_key", "value", "put").distinct(), "hits")
+    rows = keyed.join(hits.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    return word_places(rows).join(hits, ["text_key", "value"]).select("text_key", "start", "end", "value", "put")
 
 
 def find_spans(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
@@ -146,39 +169,64 @@ def find_spans(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
 
     Equal rows (id and text) are found alike and all stay; rows without an id are kept.
     """
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = texts.withColumn("text_key", F.xxhash64("text")).withColumn("spans", base_spans(F.col("text")))
     found = settle(spans.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
-    told = settle(disclosures(texts, found, context(found)), "disclosures").groupBy("term").agg(F.min("put").alias("put"))
+    marked = found.where(F.size("spans") > 0).select("text_key", "text", "spans").dropDuplicates(["text_key"])
+    near = context(marked, scratch)
+    told = settle(disclosures(texts, found, near, scratch), "disclosures").groupBy("term").agg(F.min("put").alias("put"))
+    scratch.clear()
     kind = "array<struct<start:int,end:int,value:string,put:string>>"
     none = F.array().cast(kind)
     if told.isEmpty():
         return found.select("doc_id", "text_key", F.col("spans").alias("base"), none.alias("terms"))
-    each = occurrences(texts, told).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "put"))).cast(kind).alias("terms"))
-    joined = found.join(each, "text_key", "left").withColumn("terms", F.filter(F.coalesce("terms", none), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))))
+    each = occurrences(texts, told, scratch).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "put"))).cast(kind).alias("terms"))
+    joined = found.join(each, "text_key", "left").withColumn("terms", apart(F.coalesce("terms", none), F.col("spans")))
     return joined.select("doc_id", "text_key", F.col("spans").alias("base"), "terms")
 
 
+def apart(terms: Column, spans: Column) -> Column:
+    """Terms that overlap no span."""
+    return F.when(F.size(spans) == 0, terms).otherwise(F.filter(terms, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))))
+
+
 def sanitised(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
     """docs, all columns, with entities and what discloses them taken out of the text."""
     found = find_spans(docs, doc=doc, text=text).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_key"])
-    found = found.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key", "base": "_base", "terms": "_terms"})
-    joined = docs.join(found, docs[doc].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[text]) == F.col("_key")), "left")
-    clean = F.when(F.col("_base").isNull(), docs[text]).otherwise(sanitise(docs[text], F.col("_base"), F.col("_terms")))
-    return joined.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text else docs[c] for c in docs.columns])
+    # The columns of docs travel as one, so that no name can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc].alias("id"), F.xxhash64(docs[text]).alias("key"))
+    joined = rows.join(found, rows["id"].eqNullSafe(found["doc_id"]) & (rows["key"] == found["text_key"]), "left")
+    own = F.col("row").getField(text)
+    clean = F.when(F.col("base").isNull(), own).otherwise(sanitise(own, F.col("base"), F.col("terms")))
+    return joined.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def sanitise(text: Column, base: Column, terms: Column) -> Column:
     """The text with base spans as [KIND], terms generalised or removed; of spans that overlap the first, longest one counts."""
     marks = F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))), F.transform(terms, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["put"].alias("put"))))
 
-    def step(at: Column, m: Column) -> Column:
-        free = m["start"] >= at["end"]
-        piece = F.concat(at["out"], F.substring(text, at["end"] + 1, m["start"] - at["end"]), m["put"])
-        return F.struct(F.when(free, piece).otherwise(at["out"]).alias("out"), F.when(free, -m["end"]).otherwise(at["end"]).alias("end"))
+    def walk(part: Column, own: Column, begin: Column) -> Column:
+        """Pieces of one stretch of marks and where they end; own is the text from `begin` on."""
+
+        def step(at: Column, m: Column) -> Column:
+            pieces = F.array(F.substring(own, at["end"] - begin + 1, m["start"] - at["end"]), m["put"])
+            free = m["start"] >= at["end"]
+            return F.struct(F.when(free, F.concat(at["out"], pieces)).otherwise(at["out"]).alias("out"), F.when(free, -m["end"]).otherwise(at["end"]).alias("end"))
+
+        return F.aggregate(part, F.struct(F.array().cast("array<string>").alias("out"), begin.alias("end")), step)
+
+    def stretch(at: Column, part: Column) -> Column:
+        own = F.substring(text, at["end"] + 1, F.array_max(F.transform(part, lambda m: -m["end"])) - at["end"])
+        joined = lambda w: F.struct(F.concat(at["out"], F.array(F.array_join(w["out"], ""))).alias("out"), w["end"].alias("end"))
+        return let(let(own, lambda o: walk(part, o, at["end"])), joined)
+
+    def whole(ms: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ms) - 1) / STRETCH).cast("int")), lambda c: F.slice(ms, c * STRETCH + 1, STRETCH))
+        walked = F.aggregate(parts, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("end")), stretch)
+        return let(walked, lambda w: F.concat(F.array_join(w["out"], ""), F.substring(text, w["end"] + 1, F.length(text))))
 
-    walked = F.aggregate(F.array_sort(marks), F.struct(F.lit("").alias("out"), F.lit(0).alias("end")), step)
-    return F.when(F.size(marks) > 0, F.concat(walked["out"], F.substring(text, walked["end"] + 1, F.length(text)))).otherwise(text)
+    return let(F.array_sort(marks), lambda ms: F.when(F.size(ms) > 0, whole(ms)).otherwise(text))
 
 
 def listed(spans: Column, kind: str | None = None) -> Column:
@@ -187,6 +235,7 @@ def listed(spans: Column, kind: str | None = None) -> Column:
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document, base ones and disclosing terms, with counts and a digest of the base ones; null texts are empty and have none."""
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = listed(F.col("base"))
