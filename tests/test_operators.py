@@ -219,3 +219,29 @@ def test_pairs_that_fail(spark):
     images = spark.createDataFrame([(n, f"{h:016x}") for n, h in rows], "name string, phash string")
     out = {(r["expected"], r["predicted"]): r["n"] for r in cluster.evaluate_pairs(images).collect()}
     assert out == {(True, True): 1, (True, False): 2, (False, True): 1, (False, False): 2}
+
+
+def test_both_ways_of_the_hamming_join(spark):
+    """Narrow and wide bands give the pairs of a plain comparison, for even and odd distances."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    hashes = {h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for h in base for _ in range(8)}
+    ranked = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(sorted(hashes))]
+    df = spark.createDataFrame(ranked, "rank long, h long")
+    for k in (0, 1, 2, 4, 5):
+        want = {(i, j, bin((g ^ h) & (2**64 - 1)).count("1")) for i, g in ranked for j, h in ranked if i < j and bin((g ^ h) & (2**64 - 1)).count("1") <= k}
+        for wide in (False, True):
+            got = [tuple(r) for r in hamming.self_pairs(df, k, wide=wide).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_leaders_of_long_chains(spark, monkeypatch):
+    """A chain of 1,000 decisions ends in a few rounds, in one task and in rounds alike, beside other components."""
+    chain = [(i, i + 1) for i in range(1000)] + [(2000, 2001), (2000, 2002), (2001, 2003)]
+    got = {(r["leader"], r["member"]) for r in cluster.leaders(spark.createDataFrame(chain, "low long, high long")).collect()}
+    assert got == {(i - i % 2, i) for i in range(1001)} | {(2000, 2000), (2000, 2001), (2000, 2002), (2003, 2003)}
+    short = [(i, i + 1) for i in range(12)]
+    monkeypatch.setattr(cluster, "ROUNDS", 2)
+    monkeypatch.setattr(cluster, "SMALL", 3)
+    assert {(r["leader"], r["member"]) for r in cluster.leaders(spark.createDataFrame(short, "low long, high long")).collect()} == {(i - i % 2, i) for i in range(13)}
+    assert cluster.leaders(spark.createDataFrame([], "low long, high long")).count() == 0

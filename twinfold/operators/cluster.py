@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import name_prefix, pixels
-from ..session import settle
+from ..session import Scratch, settle
 from .hamming import distance, distinct_hashes, parse_phash, self_pairs
 from .mutations import assign_ids
 
+#: Rounds of leader clusters before components are decided alone, and edges of a component that one task decides.
+ROUNDS, SMALL = 8, 1_000_000
+
 
 def exact_groups(files: DataFrame) -> DataFrame:
     """file_id, cluster (smallest file_id) of files that share their content with another."""
@@ -18,27 +22,65 @@ def exact_groups(files: DataFrame) -> DataFrame:
     return known.join(groups, "hash_sha256").select("file_id", "cluster")
 
 
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component (smallest node reachable) of edges (low, high). Labels take the least of their neighbours' and then of the node they point to, so a chain is done in about as many rounds as its length has digits."""
+    both = scratch.settle(edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select("high", "low")).distinct(), "both")
+    labels = scratch.settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        drawn = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), "label")
+        beyond = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
+        moved = scratch.settle(drawn.join(beyond, "to", "left").select("node", F.least("to", "beyond").alias("label"), F.col("label").alias("was")), "labels")
+        labels = moved.select("node", "label")
+        if moved.where("label <> was").isEmpty():
+            return labels.withColumnRenamed("label", "component")
+
+
+def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The leaders of one component's edges (low, high), in rank order."""
+    ahead: dict[int, list[int]] = {}
+    for low, high in zip(pdf["low"].tolist(), pdf["high"].tolist()):
+        ahead.setdefault(low, []).append(high)
+    claimed, out = set(), []
+    for node in sorted({*pdf["low"].tolist(), *pdf["high"].tolist()}):
+        if node not in claimed:
+            out.append(node)
+            claimed.update(ahead.get(node, ()))
+    return pd.DataFrame({"node": out})
+
+
 def leaders(edges: DataFrame) -> DataFrame:
     """leader, member (ranks) of greedy clusters, for every rank that has an edge (low, high); leaders are members of their own.
 
     In rank order an unclaimed hash becomes leader and claims every unclaimed neighbour. A round decides all hashes whose
-    lower neighbours are decided, so the number of rounds is that of the longest chain of decisions, not of hashes.
+    lower neighbours are decided. What is open after ROUNDS, long chains of decisions, is cut into components; those of up to
+    SMALL edges are decided in one task each, and rounds go on for larger ones.
     """
-    edges = settle(edges.select("low", "high").distinct(), "pairs")
-    open_nodes = settle(edges.select(F.col("low").alias("node")).union(edges.select("high")).distinct(), "open")
-    open_edges, chosen = edges, None
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.settle(edges.select("low", "high").distinct(), "pairs")
+    open_nodes = scratch.settle(edges.select(F.col("low").alias("node")).union(edges.select("high")).distinct(), "open")
+    open_edges, chosen, rounds = edges, open_nodes.limit(0), 0
     while not open_nodes.isEmpty():
-        new = settle(open_nodes.join(open_edges.select(F.col("high").alias("node")), "node", "left_anti"), "leaders")
-        chosen = new if chosen is None else chosen.unionByName(new)
+        new = scratch.settle(open_nodes.join(open_edges.select(F.col("high").alias("node")), "node", "left_anti"), "leaders")
+        chosen = chosen.unionByName(new)
         claimed = open_edges.join(new.withColumnRenamed("node", "low"), "low", "left_semi").select(F.col("high").alias("node")).distinct()
-        open_nodes = settle(open_nodes.join(new, "node", "left_anti").join(claimed, "node", "left_anti"), "open")
+        open_nodes = scratch.settle(open_nodes.join(new, "node", "left_anti").join(claimed, "node", "left_anti"), "open")
         both = open_edges.join(open_nodes.withColumnRenamed("node", "low"), "low", "left_semi")
-        open_edges = settle(both.join(open_nodes.withColumnRenamed("node", "high"), "high", "left_semi"), "pairs")
-    if chosen is None:
-        return edges.select(F.col("low").alias("leader"), F.col("high").alias("member"))
+        open_edges = scratch.settle(both.join(open_nodes.withColumnRenamed("node", "high"), "high", "left_semi"), "pairs")
+        rounds += 1
+        if rounds == ROUNDS and not open_edges.isEmpty():
+            named = open_edges.join(components(open_edges, scratch).withColumnRenamed("node", "low"), "low")
+            sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SMALL)
+            small = scratch.settle(named.join(sizes, "component").select("component", "low", "high"), "small")
+            chosen = chosen.unionByName(scratch.settle(small.groupBy("component").applyInPandas(greedy, "node long"), "leaders"))
+            inside = small.select(F.col("low").alias("node")).union(small.select("high")).distinct()
+            open_nodes = scratch.settle(open_nodes.join(inside, "node", "left_anti"), "open")
+            open_edges = scratch.settle(open_edges.join(open_nodes.withColumnRenamed("node", "low"), "low", "left_semi"), "pairs")
     members = edges.join(chosen.withColumnRenamed("node", "low"), "low", "left_semi").join(chosen.withColumnRenamed("node", "high"), "high", "left_anti")
     members = members.groupBy("high").agg(F.min("low").alias("leader")).select("leader", F.col("high").alias("member"))
-    return chosen.select(F.col("node").alias("leader"), F.col("node").alias("member")).unionByName(members)
+    out = settle(chosen.select(F.col("node").alias("leader"), F.col("node").alias("member")).unionByName(members), "members")
+    scratch.clear()
+    return out
 
 
 def leader_clusters(files: DataFrame, k: int = 5) -> DataFrame:

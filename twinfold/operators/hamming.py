@@ -1,10 +1,19 @@
-"""Hamming joins of 64-bit hashes by bands, without comparing all pairs."""
+"""Hamming joins of 64-bit hashes by bands, without comparing all pairs.
+
+Up to WIDE hashes are cut into k + 1 bands, one of which is equal in a pair within k bits. With N hashes spread evenly each
+meets N / 2**(64 / (k + 1)) others in a band (for k = 5, N / 1600), so beyond WIDE they are cut into k // 2 + 1 bands, one of which
+differs by a bit at most: one side has its bands and the other theirs with each bit changed (for k = 5, 67 probes that meet N / 2**21
+each). Both ways find the same pairs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Hashes beyond which the wide bands are used.
+WIDE = 1_000_000
+
 
 def parse_phash(text: Column) -> Column:
     """Hex digits, with or without 0x, as a signed 64-bit number; NULL for anything else."""
@@ -27,20 +36,40 @@ def band(h: Column, shift: int, mask: int) -> Column:
     return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask).cast("long"))
 
 
-def banded(df: DataFrame, h: str, k: int) -> DataFrame:
-    return df.select("*", F.posexplode(F.array(*[band(F.col(h), *b) for b in bands(k)])).alias("_band", "_value"))
+def wide_bands(k: int) -> list[tuple[int, int]]:
+    """(shift, mask) of k // 2 + 1 bands: two hashes within k bits differ by one bit at most in one of them."""
+    n = k // 2 + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, (1 << (b - a)) - 1 if b - a < 64 else -1) for a, b in zip(edges, edges[1:])]
+
+
+def banded(df: DataFrame, h: str, cuts: list[tuple[int, int]]) -> DataFrame:
+    return df.select("*", F.posexplode(F.array(*[band(F.col(h), *b) for b in cuts])).alias("_band", "_value"))
+
+
+def probed(df: DataFrame, h: str, cuts: list[tuple[int, int]]) -> DataFrame:
+    """As banded, with a row more for each bit of each band, changed."""
+
+    def probes(shift: int, mask: int) -> Column:
+        value, width = band(F.col(h), shift, mask), 64 if mask == -1 else mask.bit_length()
+        return F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))
+
+    each = df.select("*", F.posexplode(F.array(*[probes(*b) for b in cuts])).alias("_band", "_values"))
+    return each.withColumn("_value", F.explode("_values")).drop("_values")
 
 
-def first_band(difference: Column, k: int) -> Column:
-    """The first band in which two hashes agree: a pair is emitted there only, so that no shuffle for distinct pairs is needed."""
-    return F.coalesce(*[F.when(band(difference, *b) == 0, F.lit(i)) for i, b in enumerate(bands(k))])
+def first_band(difference: Column, cuts: list[tuple[int, int]], most: int) -> Column:
+    """The first band in which two hashes differ by `most` bits or fewer: a pair is emitted there only, so that no shuffle for distinct pairs is needed."""
+    return F.coalesce(*[F.when(F.bit_count(band(difference, *b)) <= most, F.lit(i)) for i, b in enumerate(cuts)])
 
 
-def hamming_join(left: DataFrame, right: DataFrame, k: int, *, on: tuple[str, str] = ("h", "h"), where: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of rows whose hashes differ in at most k bits, with `distance`. Column names of both sides must differ but for `also`, which must be equal."""
-    a, b = banded(left, on[0], k), banded(right, on[1], k)
+def hamming_join(left: DataFrame, right: DataFrame, k: int, *, on: tuple[str, str] = ("h", "h"), where: Column | None = None, also: tuple[str, ...] = (), wide: bool | None = None) -> DataFrame:
+    """Pairs of rows whose hashes differ in at most k bits, with `distance`. Column names of both sides must differ but for `also`, which must be equal. wide: which way; by the number of rows of the right side if not given."""
+    wide = right.count() > WIDE if wide is None else wide
+    cuts = wide_bands(k) if wide else bands(k)
+    a, b = (probed if wide else banded)(left, on[0], cuts), banded(right, on[1], cuts)
     met = a.join(b, ["_band", "_value", *also]).withColumn("distance", distance(F.col(on[0]), F.col(on[1])).cast("int"))
-    met = met.where((F.col("distance") <= k) & (first_band(F.col(on[0]).bitwiseXOR(F.col(on[1])), k) == F.col("_band")))
+    met = met.where((F.col("distance") <= k) & (first_band(F.col(on[0]).bitwiseXOR(F.col(on[1])), cuts, int(wide)) == F.col("_band")))
     return (met if where is None else met.where(where)).drop("_band", "_value")
 
 
@@ -49,11 +78,11 @@ def distinct_hashes(files: DataFrame, *, phash="phash", order="file_id", also: t
     return files.select(*also, parse_phash(F.col(phash)).alias("h"), order).where("h is not null").groupBy(*also, "h").agg(F.min(order).alias("rank"), F.count(F.lit(1)).alias("n"))
 
 
-def self_pairs(hashes: DataFrame, k: int, *, also: tuple[str, ...] = ()) -> DataFrame:
+def self_pairs(hashes: DataFrame, k: int, *, also: tuple[str, ...] = (), wide: bool | None = None) -> DataFrame:
     """low, high (ranks), distance of pairs of distinct hashes within k bits."""
     a = hashes.select(*also, F.col("h").alias("ha"), F.col("rank").alias("low"))
     b = hashes.select(*also, F.col("h").alias("hb"), F.col("rank").alias("high"))
-    return hamming_join(a, b, k, on=("ha", "hb"), where=F.col("low") < F.col("high"), also=also).select(*also, "low", "high", "distance")
+    return hamming_join(a, b, k, on=("ha", "hb"), where=F.col("low") < F.col("high"), also=also, wide=wide).select(*also, "low", "high", "distance")
 
 
 def nearest_hash(queries: DataFrame, known: DataFrame, k: int) -> DataFrame:
