@@ -150,15 +150,92 @@ def test_lm_base_and_gain(spark, sf_dir):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Over the training words and the unknown word, in every context that a one-word text can end in."""
-    train = spark.createDataFrame([(i, " ".join(random.Random(i).choices("aa bb cc dd ee ff".split(), [9, 5, 3, 2, 1, 1], k=30))) for i in range(20)], "doc_id long, text string")
-    vocabulary = ["aa", "bb", "cc", "dd", "ee", "ff", "unheard"]
-    docs = spark.createDataFrame([(i, w) for i, w in enumerate(vocabulary)] + [(99, None)], "doc_id long, text string")
-    score = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, train).collect()}
-    # p(w, end) = p(w) p(end | w): with w unknown the context is that of no known word.
-    assert all(s < 0 for s in score.values()) and score[0] > score[5] > score[6]
-    assert sum(10 ** score[i] for i in range(len(vocabulary))) + 10 ** score[99] < 1
+def test_reseating_follows_the_restaurant_rule():
+    """Tables after c customers, against the exact distribution of the rule; beyond STEADY the batches keep its mean."""
+    rng = np.random.default_rng(3)
+    for c, fresh, d in ((2, 0.7, 0.4), (7, 3.0, 0.8), (40, 0.1, 0.5), (300, 5.0, 0.6)):
+        p = {1: 1.0}
+        for k in range(1, c):
+            after = {}
+            for t, q in p.items():
+                new = fresh / (fresh + k - d * t)
+                after[t + 1], after[t] = after.get(t + 1, 0) + q * new, after.get(t, 0) + q * (1 - new)
+            p = after
+        mean = sum(t * q for t, q in p.items())
+        sd = math.sqrt(sum((t - mean) ** 2 * q for t, q in p.items()))
+        drawn = lm.reseat(np.full(20_000, c), np.full(20_000, fresh), d, rng)
+        assert abs(drawn.mean() - mean) < 5 * sd / math.sqrt(20_000) + (0.02 * mean if c > lm.STEADY else 0)
+        if c <= lm.STEADY:
+            assert all(abs((drawn == t).mean() - q) < 0.02 for t, q in p.items())
+
+
+class Row:
+    def __init__(self, row):
+        self.bucket, self.w, self.leaf, self.n = row["bucket"], bytes(row["w"]), bytes(row["leaf"]), bytes(row["n"])
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 3])
+def test_lm_scores_against_a_slow_version(spark, monkeypatch, head):
+    """Scores from the sampled seats by dictionaries, one token at a time; and every restaurant's probabilities sum to one."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "CONTEXTS", 4)
+    monkeypatch.setattr(lm, "LEAVES", 8)
+    monkeypatch.setattr(lm, "LEVELS", 13)
+    seen = {}
+    plain = lm.head_table
+    monkeypatch.setattr(lm, "head_table", lambda packed, words, vocabulary, history, discounts: seen.update(packed=packed.collect(), v=vocabulary, h=history, d=discounts) or plain(packed, words, vocabulary, history, discounts))
+    names = "aa bb cc dd ee ff gg".split()
+    train = [(i, " ".join(random.Random(i).choices(names, [9, 5, 3, 2, 1, 1, 1], k=30))) for i in range(20)]
+    docs = train + [(50, "aa unheard bb"), (51, None), (52, "zz"), (None, "aa aa"), (None, "aa aa"), (53, "gg " * 40)]
+    schema = "doc_id long, text string"
+    got = lm.score_documents(spark.createDataFrame(docs, schema), spark.createDataFrame(train, schema)).collect()
+    v, history, d = seen["v"], seen["h"], seen["d"]
+    assert len(history) == lm.BURN + lm.KEEP + 1
+    samples = [{"leaf": {}, "parent": {}, "root": {}} for _ in range(lm.KEEP)]
+    for row in map(Row, seen["packed"]):
+        for k, (s, _) in enumerate(lm.kept_samples(row, v, history, d)):
+            c = s.customers()
+            for i, (leaf, up) in enumerate(zip(s.leaf, s.parent)):
+                samples[k]["leaf"][int(leaf), int(s.words[s.root[up]])] = (int(c[0][i]), int(s.tables[0][i]))
+            for i, (context, up) in enumerate(zip(s.context, s.root)):
+                samples[k]["parent"][int(context), int(s.words[up])] = (int(c[1][i]), int(s.tables[1][i]))
+            for i, w in enumerate(s.words):
+                samples[k]["root"][0, int(w)] = (int(c[2][i]), int(s.tables[2][i]))
+    level = {"leaf": (0, 0), "parent": (1, lm.LEAVES), "root": (2, lm.LEVELS - 1)}
+
+    def p(k, kind, at, w):
+        up = 1 / (v + 1) if kind == "root" else p(k, "root", 0, w) if kind == "parent" else p(k, "parent", at >> 1, w)
+        own = [x for (a, _), x in samples[k][kind].items() if a == at]
+        customers, tables = sum(c for c, _ in own), sum(t for _, t in own)
+        place = level[kind][1] + at
+        assert (history[lm.BURN + 1 + k][0][place], history[lm.BURN + 1 + k][1][place]) == (customers, tables)
+        c, t = samples[k][kind].get((at, w), (0, 0))
+        return (c - d[level[kind][0]] * t + (lm.STRENGTH + d[level[kind][0]] * tables) * up) / (lm.STRENGTH + customers)
+
+    every = {w for _, w in samples[0]["root"]}
+    assert len(every) == v
+    for k in range(lm.KEEP):
+        for at in range(lm.LEAVES):
+            assert abs(sum(p(k, "leaf", at, w) for w in [*every, -1]) - 1) < 1e-9
+    counts = {}
+    for _, t in train:
+        for w in words(t):
+            counts[w] = counts.get(w, 0) + 1
+    code = {w: int(text.space_words([w.encode()])[0][0]) for w in {*names, "unheard", "zz"}}
+    top = sorted(counts, key=lambda w: (-counts[w], code[w] if code[w] < 1 << 63 else code[w] - (1 << 64)))[: lm.CONTEXTS - 1]
+    number = {code[w]: i + 1 for i, w in enumerate(sorted(top, key=code.get))}
+    want = []
+    for i, t in docs:
+        total, last = 0.0, None
+        tokens = [code[w] for w in words(t)] + [int(lm.END)]
+        for j, w in enumerate(tokens):
+            near = j == 0 or (last is not None and last[0] == j - 1)
+            at = 2 * (last[1] if last else 0) + near
+            total += math.log10(sum(p(k, "leaf", at, w) for k in range(lm.KEEP)) / lm.KEEP)
+            last = (j, number[w]) if w in number else last
+        want.append((-1 if i is None else i, total))
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
+    assert len(found) == len(want) and all(i == j and abs(a - b) < 1e-4 for (i, a), (j, b) in zip(found, sorted(want)))
 
 
 def test_lm_odd(spark, odd):
@@ -549,3 +626,28 @@ def test_pipeline(spark, sf_dir):
     kept = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
     assert ids <= {i for i, (_, c) in kept.items() if c == i}
     assert len(ids) > 0.7 * docs.count()
+
+
+def test_secret_surprise(spark):
+    """Transitions against plain counting; words of the dictionary are likelier than random runs."""
+    names = ["token", "window", "letter", "under", "river"]
+    dict_words = spark.createDataFrame([(w, 10 * i + 1) for i, w in enumerate(names)], "word string, n long")
+    counts = {}
+    for i, w in enumerate(names):
+        for a, b in itertools.pairwise(f"_{w}_"):
+            counts[a, b] = counts.get((a, b), 0) + 10 * i + 1
+    values = ["window", "x9Kq-7Zz", "letterRiver", "a", "É日7"]
+    bits = secrets.transitions(dict_words)
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(secrets.surprise(F.col("v"), bits)).collect()
+    for v, (x,) in zip(values, got):
+        s = "".join(c if "a" <= c <= "z" else "0" if c.isdigit() else "_" for c in v.lower())
+        each = [math.log2((sum(n for (p, _), n in counts.items() if p == a) + 28) / (counts.get((a, b), 0) + 1)) for a, b in itertools.pairwise(s)]
+        assert abs(x - sum(each) / max(1, len(each))) < 1e-9
+    assert got[0][0] < got[1][0]
+
+
+def test_secrets_odd(spark, odd):
+    """Nulls, empty and long texts, repeated rows, null ids and columns of the names that the operator uses."""
+    rows = odd.unionByName(spark.createDataFrame([(None, 'the password = "kR8zq91LxQ0pw" here', "en", "a", 5), (None, 'the password = "kR8zq91LxQ0pw" here', "en", "a", 5), (60, "token: " + "aB3" * 20_000, None, None, 0)], DOCS), allowMissingColumns=True)
+    out = secrets.scan(rows.withColumns({"value": F.lit(1), "before": F.lit(2), "text_key": F.lit(3), "covered": F.lit(4)})).select("doc_id", "value", "secret").collect()
+    assert sorted((r["doc_id"] is None, len(r["value"])) for r in out) == [(False, 60_000), (True, 13)]

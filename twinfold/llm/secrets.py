@@ -1,19 +1,23 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest (DataFrame functions and Spark ML only).
 
-Features are the candidate's length, its changes of character class and variety, how much of its letters frequent
-corpus words cover, the path it was found under and the words beside it. The forest learns from labelled findings.
+Features are the candidate's length, its changes of character class and variety, how unlikely its transitions from sign to sign
+are in frequent corpus words and how much of its letters these cover, the path it was found under and the words beside it. The forest learns from labelled findings.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .pii import places
+from .pii import let, places
 
-#: Characters looked at before a candidate; words of the dictionary and their least count; labelled findings that the forest is fitted on, about.
-CONTEXT, DICTIONARY, COMMON, SAMPLE = 60, 5000, 5, 20_000
+#: Characters looked at before a candidate; labelled findings that the forest is fitted on, about.
+CONTEXT, SAMPLE = 60, 20_000
+#: A dictionary word's least share of all words, which bounds their number by its inverse, and least count, which only matters below 250,000 words.
+SHARE, COMMON = 2e-5, 5
 TREES, DEPTH, THRESHOLD = 20, 5, 0.5
 
 # What candidates consist of, the words that announce a secret and paths of examples.
@@ -27,16 +31,42 @@ ANNOUNCED = rf"(?:(?<=[\"'])(?<={NAME}[\"']? {{0,2}}[=:] {{0,2}}[\"'])[^\"'\s]{{
 # Shapes that only secrets have: JSON web tokens and the prefixes of well-known keys.
 SHAPE = r"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-])"
 EXAMPLES = "test|example|sample|fixture|mock|doc"
-FEATURES = ["length", "changes", "variety", "digits", "capitals", "coverage", "depth", "example", "announced", "near", "assigned", "quoted", "shape"]
+FEATURES = ["length", "changes", "variety", "digits", "capitals", "coverage", "surprise", "depth", "example", "announced", "near", "assigned", "quoted", "shape"]
 #: Scores without a forest, where labels of one class are missing: known shapes and announced values that are assigned, varied bare runs, all others.
 PRIOR = (0.9, 0.6, 0.1)
 
 
-def dictionary(docs: DataFrame, *, text="text", size: int = DICTIONARY) -> DataFrame:
-    """The most frequent words of four letters or more, lower-cased."""
+def dictionary(docs: DataFrame, *, text="text") -> DataFrame:
+    """word, n: words of four letters or more, lower-cased, that make up SHARE of all words; at most 1 / SHARE of them."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = words.where(F.length("word") >= 4).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    return words.orderBy(F.desc("n"), "word").limit(size).select("word")
+    words = settle(words.where("word <> ''").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")), "words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return words.where((F.length("word") >= 4) & (F.col("n") >= F.lit(max(float(COMMON), SHARE * total))))
+
+
+def sign_classes(text: Column) -> Column:
+    """The text in 28 kinds of signs: small letters a-z, 0 for digits, _ for all others."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), "[^a-z0]", "_")
+
+
+def transitions(words: DataFrame) -> Column:
+    """A map of how unlikely, in bits, each of 28 x 28 transitions of signs is in the dictionary's words with a blank on either side."""
+    spelled = words.select("n", F.split(sign_classes(F.concat(F.lit(" "), "word", F.lit(" "))), "").alias("s"))
+    pairs = spelled.select("n", F.explode(F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda c, i: F.concat(c, F.col("s")[i + 1]))).alias("pair"))
+    found = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # 784 at most
+    signs = "abcdefghijklmnopqrstuvwxyz0_"
+    entries = []
+    for a in signs:
+        whole = sum(found.get(a + b, 0) for b in signs)
+        entries += [x for b in signs for x in (F.lit(a + b), F.lit(math.log2((whole + len(signs)) / (found.get(a + b, 0) + 1))))]
+    return F.create_map(*entries)
+
+
+def surprise(value: Column, bits: Column) -> Column:
+    """Mean bits of the value's transitions; 0 for a single sign."""
+    pairs = lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda c, i: F.try_element_at(bits, F.concat(c, s[i + 1])))
+    mean = lambda s: F.aggregate(pairs(s), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.greatest(F.lit(1), F.size(s) - 1)
+    return let(F.split(sign_classes(value), ""), mean)
 
 
 def candidates(docs: DataFrame, *, doc="doc_id", text="text", path="source") -> DataFrame:
@@ -58,10 +88,11 @@ def share(value: Column, pattern: str) -> Column:
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidates with FEATURES. words is the dictionary, at most DICTIONARY rows, and is broadcast."""
+    """Candidates with FEATURES. words is the dictionary, at most 1 / SHARE rows, and is broadcast."""
+    bits = transitions(words)
     key = ["doc_id", "text_key", "path", "start", "end"]
     runs = found.select(*key, F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("word"))
-    covered = runs.join(F.broadcast(words), "word").groupBy(*key).agg(F.sum(F.length("word")).alias("covered"))
+    covered = runs.join(F.broadcast(words.select("word")), "word").groupBy(*key).agg(F.sum(F.length("word")).alias("covered"))
     left, right = found.alias("l"), covered.alias("r")
     joined = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key], "left").select("l.*", "r.covered")
     letters = F.greatest(F.lit(1), F.length(F.regexp_replace("value", r"[^\p{L}]", "")))
@@ -75,6 +106,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
             "digits": share(value, "[0-9]"),
             "capitals": share(value, "[A-Z]"),
             "coverage": F.coalesce("covered", F.lit(0)) / letters,
+            "surprise": surprise(value, bits),
             "depth": F.size(F.split("path", "/")).cast("double"),
             "example": flag(F.lower("path").rlike(EXAMPLES)),
             "announced": flag(before.rlike(rf"{NAME.lower()}[^\p{{L}}]{{1,6}}$")),
@@ -130,10 +162,11 @@ def judge(features: DataFrame, labelled: DataFrame, *, sample: int = SAMPLE, thr
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, *, doc="doc_id", text="text", path="source") -> DataFrame:
     """All candidates with features, score and secret; labelled: findings with FEATURES and label, by rule if not given."""
-    features = settle(described(candidates(docs, doc=doc, text=text, path=path), dictionary(docs, text=text)), "candidates")
+    features = settle(described(candidates(docs, doc=doc, text=text, path=path), settle(dictionary(docs, text=text), "dictionary")), "candidates")
     return judge(features, by_rule(features) if labelled is None else labelled)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of all documents with the forest's score; null and empty texts have none, equal rows count once."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
