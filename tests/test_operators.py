@@ -245,3 +245,20 @@ def test_leaders_of_long_chains(spark, monkeypatch):
     monkeypatch.setattr(cluster, "SMALL", 3)
     assert {(r["leader"], r["member"]) for r in cluster.leaders(spark.createDataFrame(short, "low long, high long")).collect()} == {(i - i % 2, i) for i in range(13)}
     assert cluster.leaders(spark.createDataFrame([], "low long, high long")).count() == 0
+
+
+def test_later_batches_match_earlier_arrivals(spark, tmp_path):
+    """A file near an arrival of the batch before joins the arrival's group, and an original that came earlier counts."""
+    from twinfold.streaming import ingest
+
+    kind = "file_id long, group_id long, hash_sha256 string, phash string, type string, width int, height int, size_bytes long"
+    row = lambda i, g, h, size: (i, g, f"s{i}", f"{h:016x}", "image", 10, 10, size)
+    known = spark.createDataFrame([row(1, 1, 0, 5)], kind)
+    groups = spark.createDataFrame([(1, 1)], "group_id long, original_file_id long")
+    feed = str(tmp_path / "feed")
+    for batch in ([row(10, None, 0b1111, 9), row(11, None, 2**60 - 1, 9)], [row(20, None, 0b11111111, 7)], [row(30, None, 2**60 - 1, 1)]):
+        spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(feed)
+    stream = ingest.file_stream(spark, feed, kind)
+    ingest.stream_match(stream, known, groups, 5, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    out = {r["file_id"]: (r["group_id"], r["duplicate_of"], r["promoted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out == {10: (1, None, 1), 20: (1, 10, 0)}

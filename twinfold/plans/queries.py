@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as x
 from ..operators import cluster, copyplan, features, filters, hamming, mutations, pages, sinks, stats
 from ..session import new_path
+from ..sources import files as sources
 from ..streaming import ingest
 from .views import Views
 
@@ -179,6 +180,11 @@ add("evaluate_pairs", f"SELECT a.file_id % 3 <> 0 AS expected, {_D} <= 5 AS pred
 _DIM = "CASE WHEN width <> 0 AND height <> 0 THEN width || 'x' || height END"
 _FULL = "mount_path || path_on_drive"
 add("review_queue", f"SELECT file_id, path_on_drive, type, size_bytes, group_id, {_DIM} AS dimensions, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM files WHERE review_status = 'undecided' ORDER BY files.created_at DESC, file_id LIMIT 50")(lambda v: pages.review_queue(v.files, 50).withColumn("created_at", clock(F.col("created_at"))))
+add("review_queue_order", "SELECT file_id, row_number() OVER (ORDER BY created_at DESC, file_id) - 1 AS place FROM files WHERE review_status = 'undecided' ORDER BY place LIMIT 50")(lambda v: pages.review_queue(v.files, 50).select("file_id", F.monotonically_increasing_id().alias("place")))
+add("singles_page_order", "SELECT file_id, row_number() OVER (ORDER BY file_id) - 26 AS place FROM files WHERE group_id IS NULL AND review_status = 'keep' ORDER BY place LIMIT 25 OFFSET 25")(lambda v: pages.singles_page(v.files, v.drives, 2, 25, "keep").coalesce(1).select("file_id", F.monotonically_increasing_id().alias("place")))
+add("groups_page_order", "SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN file_id = original_file_id THEN 0 ELSE 1 END, file_id) - 1 AS INT) AS place, file_id FROM files JOIN grps USING (group_id) WHERE group_id IN (SELECT group_id FROM grps ORDER BY group_id LIMIT 10)")(
+    lambda v: pages.groups_page(v.files, v.groups, v.drives, 1, 10).select("group_id", F.posexplode("files").alias("place", "f")).select("group_id", "place", "f.file_id")
+)
 add("groups_page", f"""SELECT group_id, original_file_id, file_id, path_on_drive, review_status, CAST(file_id = original_file_id AS INT) AS is_original, {_FULL} AS full_path FROM files JOIN grps USING (group_id) JOIN drives USING (drive_id)
 WHERE group_id IN (SELECT group_id FROM grps WHERE group_id IN (SELECT group_id FROM files WHERE review_status = 'undecided') ORDER BY group_id LIMIT 10 OFFSET 10)""")(
     lambda v: pages.groups_page(v.files, v.groups, v.drives, 2, 10, "undecided").select("group_id", "original_file_id", F.explode("files").alias("f")).select("group_id", "original_file_id", "f.file_id", "f.path_on_drive", "f.review_status", "f.is_original", "f.full_path")
@@ -213,6 +219,70 @@ add("upsert_untimed_runs", f", {_RUNS} SELECT scan_id, processed_count * CASE WH
 add("drop_run", f", {_RUNS} SELECT scan_id FROM runs WHERE scan_id <> 'scan_7'")(lambda v: mutations.drop_run(_runs(v), "scan_7").select("scan_id"))
 add("run_config", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda v: v.table("events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.try_element_at("m", F.lit("k")).alias("k")))
 
+add("read_run_config", "SELECT CAST(event_id AS VARCHAR) AS scan_id, json_extract_string(props, '$.k') AS k FROM events")(
+    lambda v: sources.read_run_config(v.table("events").select(F.col("event_id").cast("string").alias("scan_id"), F.col("props").alias("config_json"))).select("scan_id", F.try_element_at("config", F.lit("k")).alias("k"))
+)
+
+
+def _ledger(v):
+    """The runs with a stage, settings and files found."""
+    n = F.col("processed_count")
+    found = F.array_repeat(F.struct(F.lit("/a").alias("path"), n.alias("size_bytes")), (n % 5).cast("int"))
+    return _runs(v).withColumns({"stage": F.when(n % 2 == 0, "completed").otherwise("grouping"), "config_json": F.concat(F.lit('{"workers":"'), (n % 8).cast("string"), F.lit('"}')), "discovered": found})
+
+
+add("run_info", f", {_RUNS} SELECT scan_id, source_path, CASE WHEN processed_count % 2 = 0 THEN 'completed' ELSE 'grouping' END AS stage, processed_count, CAST(processed_count % 5 AS INT) AS n_discovered, CAST(processed_count % 8 AS VARCHAR) AS workers FROM runs WHERE scan_id = 'scan_7'")(
+    lambda v: pages.run_info(_ledger(v), "scan_7").select("scan_id", "source_path", "stage", "processed_count", "n_discovered", F.try_element_at("config", F.lit("workers")).alias("workers"))
+)
+add("catalogue_summary", f""", {_RUNS} SELECT 'table' AS section, 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'table', 'groups', count(*) FROM grps UNION ALL SELECT 'table', 'drives', count(*) FROM drives
+UNION ALL SELECT 'table', 'scan_runs', count(*) FROM runs UNION ALL SELECT 'status', review_status, count(*) FROM files GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM files GROUP BY 2""")(lambda v: stats.catalogue_summary(v.files, v.groups, v.drives, _runs(v)))
+
+# Sources
+add("load_drive_records", "SELECT file_id, path_on_drive, size_bytes, type, hash_sha256, width, height, is_large FROM files WHERE drive_id = 3")(lambda v: sources.load_drive_records(v.base, 3))
+
+
+def _catalogue(v):
+    """The catalogue written to a snapshot and read back."""
+    path = new_path(v.spark, "catalogue")
+    sources.write_catalogue({"files": v.files, "groups": v.groups, "drives": v.drives, "scan_runs": _ledger(v)}, path)
+    return sources.read_catalogue(v.spark, path)
+
+
+add("read_catalogue", "SELECT file_id, hash_sha256, group_id, duplicate_of, review_status, path_on_drive, CAST(NULL AS VARCHAR) AS phash FROM files")(lambda v: _catalogue(v)["files"].select("file_id", "hash_sha256", "group_id", "duplicate_of", "review_status", "path_on_drive", "phash"))
+add("read_catalogue_runs", f", {_RUNS} SELECT scan_id, processed_count, CAST(processed_count % 5 AS INT) AS n_discovered FROM runs")(lambda v: _catalogue(v)["scan_runs"].select("scan_id", "processed_count", F.size("discovered").alias("n_discovered")))
+
+
+def _listed(v):
+    """Bytes of files below a folder, by language; the documents' texts are written there as lines."""
+    path = new_path(v.spark, "tree")
+    v.table("documents").select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(path)
+    lang = F.nullif(F.regexp_extract("path", "/lang=([^/]*)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return sources.list_files(v.spark, path).groupBy(lang.alias("lang")).agg(F.sum("size_bytes").alias("bytes"))
+
+
+add("list_files", "SELECT lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1")(_listed)
+
+
+def _manifest(v):
+    path = new_path(v.spark, "manifest")
+    sources.write_manifest(v.listing.where("file_id % 2 = 0"), path)
+    return sources.read_manifest(v.spark, path, v.listing.where("file_id % 3 <> 0"))
+
+
+add("read_manifest", f"SELECT path, size_bytes FROM ({_P}) WHERE file_id % 6 IN (2, 4)")(lambda v: _manifest(v)[0])
+add("manifest_invalid", f"SELECT count(*) AS invalid FROM ({_P}) WHERE file_id % 6 = 0")(lambda v: _manifest(v)[1])
+
+
+def _pictures(v):
+    """Perceptual hashes of the texts' bytes, taken as grey pictures 32 wide."""
+    rows = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / 32)).cast("int")
+    data = F.rpad(F.col("text").cast("binary"), rows * 32, F.lit(b"\x00"))
+    one = v.table("documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.struct(rows.alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"), data.alias("data")).alias("image"), (rows * 32).alias("pixels"))
+    return features.phash64(one, most=1 << 30)
+
+
+add("picture_hashes")(_pictures)
+
 # Mutations
 _NEW = "SELECT file_id FROM f0 WHERE file_id % 3 <> 0 UNION ALL SELECT min(file_id) + 1000000 FROM f0 WHERE file_id % 2 = 0 AND file_id % 3 = 0 GROUP BY drive_id, path_on_drive"
 
@@ -325,10 +395,11 @@ def _stream_events(v):
     files = v.files.withColumn("_seq", F.lit(-1).cast("long"))
     table = ingest.Snapshots(v.spark, new_path(v.spark, "marks"), ", ".join(f"{c} {k}" for c, k in files.dtypes))
     table.write(files, 0)
-    events = _events(v).orderBy("seq").coalesce(1)
-    path = new_path(v.spark, "events")
-    events.where("seq % 2 = 0").write.parquet(path)
-    events.where("seq % 2 = 1").write.mode("append").parquet(path)
+    events, path = _events(v), new_path(v.spark, "events")
+    middle = events.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    # Two files for each of two batches, earlier events first.
+    events.where(F.col("seq") <= middle).repartition(2).write.parquet(path)
+    events.where(F.col("seq") > middle).repartition(2).write.mode("append").parquet(path)
     stream = ingest.file_stream(v.spark, path, ", ".join(f"{c} {k}" for c, k in events.dtypes), files_per_batch=2)
     ingest.stream_review_events(stream, table, new_path(v.spark, "progress")).awaitTermination()
     return table.read().select(*_show)
@@ -340,8 +411,8 @@ def _stream_match(v):
     out = new_path(v.spark, "matched")
     new = v.hashed.where("file_id % 3 = 0").select("file_id", "hash_sha256", "phash", "type", "width", "height", "size_bytes")
     path = new_path(v.spark, "feed")
-    new.coalesce(1).write.parquet(path)
-    ingest.stream_match(ingest.file_stream(v.spark, path, ", ".join(f"{c} {k}" for c, k in new.dtypes)), known, groups, 5, out, new_path(v.spark, "progress")).awaitTermination()
+    new.repartition(4).write.parquet(path)  # in one batch, whose rows its SQL gives; several are in the tests
+    ingest.stream_match(ingest.file_stream(v.spark, path, ", ".join(f"{c} {k}" for c, k in new.dtypes), files_per_batch=1000), known, groups, 5, out, new_path(v.spark, "progress")).awaitTermination()
     return v.spark.read.parquet(out).drop("batch")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cluster import join_existing_groups
 from ..operators.hamming import match_existing
-from ..operators.mutations import KEY, apply_review_events, insert_or_ignore
+from ..operators.mutations import KEY, apply_review_events, chosen, insert_or_ignore
 
 
 class Snapshots:
@@ -51,13 +51,26 @@ def stream_ingest(stream: DataFrame, table: Snapshots, checkpoint: str) -> Strea
 
 
 def stream_match(stream: DataFrame, files: DataFrame, groups: DataFrame, k: int, out: str, checkpoint: str) -> StreamingQuery:
-    """For arriving files the group that they join (join_existing_groups' rows), a folder for each batch."""
+    """For arriving files the group that they join (join_existing_groups' rows), a folder for each batch.
+
+    Files of earlier batches are known to later ones, with the groups they joined and the originals they became; they are
+    kept in the folder `_arrived` beside the results. A batch that runs again reads what came before it only.
+    """
+    names = ["file_id", "hash_sha256", "phash", "width", "height", "size_bytes"]
+    kinds = dict(files.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*names, "group_id"]) + ", promoted int, batch long"
 
     def act(batch: DataFrame, b: int) -> None:
-        known = files.select("file_id", "group_id", "hash_sha256", "phash")
-        found = match_existing(batch.select("file_id", "hash_sha256", "phash", "type"), known, k)
-        every = files.select("file_id", "width", "height", "size_bytes").unionByName(batch.select("file_id", "width", "height", "size_bytes"))
-        join_existing_groups(every, groups, found).write.mode("overwrite").parquet(f"{out}/batch={b}")
+        spark = batch.sparkSession
+        earlier = (spark.read.schema(schema).parquet(f"{out}/_arrived").where(F.col("batch") < b)) if b else spark.createDataFrame([], schema)
+        known = files.select(*names, "group_id").unionByName(earlier.select(*names, "group_id"))
+        became = chosen(earlier.where("promoted = 1").select("group_id", "file_id", "batch"), ["group_id"], F.max_by, F.col("batch")).select("group_id", F.col("file_id").alias("now"))
+        current = groups.join(became, "group_id", "left").withColumn("original_file_id", F.coalesce("now", "original_file_id")).drop("now")
+        found = match_existing(batch.select("file_id", "hash_sha256", "phash", "type"), known.select("file_id", "group_id", "hash_sha256", "phash"), k)
+        every = known.select("file_id", "width", "height", "size_bytes").unionByName(batch.select("file_id", "width", "height", "size_bytes"))
+        join_existing_groups(every, current, found).write.mode("overwrite").parquet(f"{out}/batch={b}")
+        joined = spark.read.parquet(f"{out}/batch={b}").select("file_id", "group_id", "promoted")
+        batch.select(*names).join(joined, "file_id", "left").write.mode("overwrite").parquet(f"{out}/_arrived/batch={b}")
 
     return each_batch(stream, checkpoint, act)
 
