@@ -617,6 +617,23 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(data.limit(0)).count() == 0
 
 
+def test_chat_templates():
+    chat.Template(opening="<|start_header_id|>", header_end="<|end_header_id|>\n\n", closing="<|eot_id|>")
+    for bad in ({"opening": "[INST]"}, {"closing": "<||x"}, {"closing": "<|"}, {"header_end": ":"}, {"opening": "<|\\E"}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
+def test_common_windows(spark):
+    """A passage that very many items and documents share, by all three ways of joining."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.lit(passage).alias("text"))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("so "), F.lit(passage), F.lit(" p1 p2 p3 on")).alias("text"))
+    for most in (decontaminate.MAX_BROADCAST, 0):
+        found = decontaminate.find_hits(docs, items, max_broadcast=most).select("n_words", decontaminate.hit_words(F.col("hits")).alias("n"), F.size(decontaminate.hit_items(F.col("hits"))).alias("k")).distinct().collect()
+        assert [tuple(r) for r in found] == [(17, 12, 3000)]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

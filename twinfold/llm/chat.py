@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 class Template:
     """How a turn is written, which roles are trained on, and which role may follow which state.
 
-    Control strings must begin with `<|` and a character other than `|`.
+    Opening and closing must begin with `<|` and a character other than `|`, which no escaped text holds; the end of a header may also begin
+    with a line break, which no escaped role holds. Other templates are refused.
     """
 
     opening: str = "<|im_start|>"
@@ -31,6 +32,11 @@ class Template:
         }
     )
 
+    def __post_init__(self):
+        marks = lambda s: s[:2] == "<|" and s[2:3] not in ("", "|")
+        if not (marks(self.opening) and marks(self.closing) and (marks(self.header_end) or self.header_end[:1] == "\n")) or "\\E" in self.opening:
+            raise ValueError("control strings must begin with <| and another sign than |; the end of a header may begin with a line break")
+
 
 CHATML = Template()
 
@@ -113,7 +119,7 @@ def read_loss(segments: Column) -> Column:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one that speaks the template's own control strings, read back from the output."""
+    """All conversations (null texts and roles are empty, rows without an id are one conversation) and one that speaks the template's own control strings, read back from the output."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),

@@ -107,21 +107,29 @@ def word_places(texts: DataFrame) -> DataFrame:
 def context(marked: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """text_key, entity, term, n: the words within `window` words of an entity's spans in different texts (text_key, text, spans). Words that overlap a base span are left out.
 
-    Words are numbered once for each text; a span's first and last word are those last begun at its first and last sign.
-    So a text costs in proportion to its words and spans, however many there are.
+    A text's words and the ends of its spans are rows in order of place, so words are numbered by a running count and a span's first
+    and last word are those last begun at its first and last sign. What stands near a word comes from a range of these
+    numbers. All of it follows the one shuffle by text_key, and costs in proportion to words and spans.
     """
-    words = scratch.settle(word_places(marked), "words")
-    spans = marked.select("text_key", F.posexplode("spans").alias("s", "span"))
-    ends = spans.select("text_key", "s", entity(F.col("span")).alias("entity"), F.explode(F.array("span.start", F.col("span.end") - 1)).alias("pos"))
-    both = ends.withColumn("j", F.lit(None).cast("long")).unionByName(words.select("text_key", F.col("start").alias("pos"), "j"), allowMissingColumns=True)
-    line = Window.partitionBy("text_key").orderBy("pos", F.col("s").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    spots = both.withColumn("at", F.last("j", ignorenulls=True).over(line)).where("s is not null").groupBy("text_key", "s", "entity").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    spots = scratch.settle(spots, "spots")
-    glued = spots.select("text_key", F.explode(F.sequence("first", "last")).alias("j")).distinct()
-    around = F.concat(F.sequence(F.col("first") - window, F.col("first") - 1), F.sequence(F.col("last") + 1, F.col("last") + window))
-    beside = spots.select("text_key", "entity", F.explode(around).alias("j")).distinct().join(glued, ["text_key", "j"], "left_anti")
-    near = beside.join(words, ["text_key", "j"]).select("text_key", "entity", term(F.col("value")).alias("term")).where("term <> ''")
-    return scratch.settle(near.groupBy("text_key", "entity", "term").agg(F.count(F.lit(1)).alias("n")), "near")
+    row = lambda value, entity, kind, at: F.struct(value.cast("string").alias("value"), entity.cast("string").alias("entity"), F.lit(kind).alias("kind"), at.cast("int").alias("at"))
+    null = F.lit(None)
+    words = F.transform(F.split("text", r"[\x09-\x0D ]", -1), lambda w: row(w, null, 0, null))
+    ends = F.flatten(F.transform("spans", lambda s: F.array(row(null, entity(s), 1, s["start"]), row(null, entity(s), 2, s["end"] - 1))))
+    each = marked.select("text_key", F.posexplode(F.concat(words, ends)).alias("i", "x")).select("text_key", "i", "x.*")
+    text = Window.partitionBy("text_key")
+    size = F.coalesce(F.length("value"), F.lit(0))
+    begun = F.sum(F.when(F.col("kind") == 0, size + 1).otherwise(0)).over(text.orderBy("i")) - size - 1
+    placed = each.withColumn("at", F.coalesce("at", begun.cast("int"))).where("kind > 0 or value <> ''")
+    numbered = placed.withColumn("j", F.sum((F.col("kind") == 0).cast("int")).over(text.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("entity"))
+    line = text.orderBy("j")
+    near = numbered.select(
+        "text_key", "kind", "value",
+        F.collect_set(of(2)).over(line.rangeBetween(-window, -1)).alias("left"), F.collect_set(of(1)).over(line.rangeBetween(1, window)).alias("right"),
+        F.count(of(1)).over(line.rangeBetween(Window.unboundedPreceding, 0)).alias("opened"), F.count(of(2)).over(line.rangeBetween(Window.unboundedPreceding, -1)).alias("closed"),
+    )
+    beside = near.where("kind = 0 and opened = closed").select("text_key", term(F.col("value")).alias("term"), F.explode(F.array_union("left", "right")).alias("entity")).where("term <> ''")
+    return scratch.settle(beside.groupBy("text_key", "entity", "term").agg(F.count(F.lit(1)).alias("n")), "near")
 
 
 def disclosures(texts: DataFrame, found: DataFrame, near: DataFrame, scratch: Scratch, *, alpha: float = ALPHA, sure: float = SURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
