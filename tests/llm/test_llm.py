@@ -634,15 +634,45 @@ def test_common_windows(spark):
         assert [tuple(r) for r in found] == [(17, 12, 3000)]
 
 
-def test_pipeline(spark, sf_dir):
+def alnum(t):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) if w]
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir):
+    """Every stage by plain code: predictions one by one, all pairs, sets of windows; then the order and the ids of the mixture."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf_dir)
-    ids = {r["doc_id"] for r in out.select("doc_id").collect()}
-    kept = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
-    assert ids <= {i for i, (_, c) in kept.items() if c == i}
-    assert len(ids) > 0.7 * docs.count()
+    out = [tuple(r) for r in corpus_pipeline.run(spark, sf_dir).orderBy("start").select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    model, rows = langid.train(docs), {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = {i: t for i, t in rows.items() if not model.predict(t)[2]}
+    classes = brute(list(rows.items()), 5, 80)
+    rows = {i: t for i, t in rows.items() if classes[i][1] == i}
+    items = [alnum(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + min(10, len(w))]) for w in items if w for k in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    rows = {i: t for i, t in rows.items() if not any(tuple(w[k : k + n]) in windows for w in [alnum(t)] for n in sizes for k in range(len(w) - n + 1))}
+    left = docs.where(F.col("doc_id").isin(list(rows)))
+    order = [r[0] for r in mixing.mix(left).orderBy("block", "place").select("row.doc_id").collect()]
+    assert [r[0] for r in out] == order and set(order) == set(rows) and 0.5 * docs.count() < len(rows) < docs.count()
+    plain, at = Tokenizer.from_file(TOKENIZER()), 0
+    for i, start, n, crc in out:
+        ids = np.array(plain.encode(rows[i] or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (start, n, crc) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += n
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Nulls, empty and long texts and repeated rows go through all stages; of empty tables nothing comes out."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "nothing like it"), (2, None)], "item_id long, text string")
+    for name, rows, items in (("odd", odd, bench), ("none", odd.limit(0), bench.limit(0))):
+        rows.drop("_block", "node").write.parquet(str(tmp_path / name / "documents.parquet"))
+        items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()]
+    assert set(ids) == {1, None, 7, 11} and corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_secret_surprise(spark):
