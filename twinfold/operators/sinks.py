@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import size_mb
 from .filters import export_filter
 
+# The columns of a backup manifest.
 MANIFEST = ["file_id", "path_on_drive", "central_path", "size_bytes", "type", "review_status", "is_original"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Columns, statuses and stages of a catalogue.
 FILES = (
     "file_id long, hash_sha256 string, phash string, width int, height int, size_bytes long, type string, drive_id long, "
     "path_on_drive string, is_large int, copied int, duplicate_of long, group_id long, review_status string, "
