@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     known = components(edges, scratch)
 
     placed = lists.join(known, "node", "left").select("list", "node", F.col("head.node").alias("head"), F.coalesce("component", "node").alias("component"))
-    open_lists = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
+    open_lists = scratch.settle(placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list"), "open")
     rest = placed.where("node != head").join(open_lists, "list", "left_semi").groupBy("node").agg(F.first("component").alias("component"))
     more = scratch.settle(confirmed(prefix_pairs(rest, docs, width, percent, scratch, doc=doc, text=text), docs, width, percent, scratch, doc=doc, text=text), "edges")
     if not more.isEmpty():

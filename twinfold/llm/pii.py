@@ -189,7 +189,9 @@ def find_spans(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
     none = F.array().cast(kind)
     if told.isEmpty():
         return found.select("doc_id", "text_key", F.col("spans").alias("base"), none.alias("terms"))
-    each = occurrences(texts, told, scratch).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "put"))).cast(kind).alias("terms"))
+    # A table of its own, so that the rows of a text with very many copies can be split where they meet it.
+    each = settle(occurrences(texts, told, scratch).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "put"))).cast(kind).alias("terms")), "terms")
+    scratch.clear()
     joined = found.join(each, "text_key", "left").withColumn("terms", apart(F.coalesce("terms", none), F.col("spans")))
     return joined.select("doc_id", "text_key", F.col("spans").alias("base"), "terms")
 
