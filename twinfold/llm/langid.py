@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 ORDERS, BITS, DIM = (2, 3, 4), 16, 16
 #: Rows that the model is fitted on, in all and for one language.
 SAMPLE, PER_LANGUAGE = 6000, 500
+#: Bytes of a text up to which it may be drawn, so that the sample's size is bounded too.
+LONGEST = 1 << 16
 #: Share of held-back labelled texts that rejection may cost, and a score that is never rejected.
 REJECT_SHARE, SURE = 0.002, 0.5
 NONE = "und"
@@ -123,7 +125,7 @@ def labelled_sample(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, *, doc="doc_id", text="text", lang="lang") -> Model:
     """Learn from labelled rows whose id doesn't fall in the held-out fold."""
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= LONGEST))
     sample = labelled_sample(rows).select("text", "lang", "doc_id").where(F.col("text").isNotNull()).orderBy("doc_id", "text").toPandas()
     return fit(list(sample["text"]), list(sample["lang"]))
 
