@@ -236,10 +236,10 @@ def by_id(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
     return dealt.select("doc_id", "named", "text", F.lpad(F.spark_partition_id().cast("string"), 20, "0").alias("shard"), F.lit(-1).cast("long").alias("seq"))
 
 
-def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None = 0, block: int = BLOCK) -> None:
+def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None = 0, block: int = BLOCK, lasting: bool = False) -> None:
     """Encode whole texts (null: empty) of by_id's or file_order's rows, in their order, and write blocks at path/blocks and ranks at path/ranks.
 
-    Each row is one document; `end` closes it. Rows are encoded where they stand and packed when the ranks are known; the unpacked ids are deleted then.
+    Each row is one document; `end` closes it. lasting: whether Python workers keep their encoders (some 200 MB each) for later tasks, which is quicker. Rows are encoded where they stand and packed when the ranks are known; the unpacked ids are deleted then.
     """
     spark = rows.sparkSession
     from tokenizers import Tokenizer
@@ -249,7 +249,7 @@ def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None
     stored = new_path(spark, "ids")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, times, seq = worker_encoder(tokenizer), np.zeros(vocabulary, np.int64), 0
+        encoder, times, seq = (worker_encoder if lasting else Encoder)(tokenizer), np.zeros(vocabulary, np.int64), 0
         tail = b"" if end is None else np.array([end], f"<u{width}").tobytes()
         for pdf in batches:
             ids = [x + tail for x in encoder([t if isinstance(t, str) else "" for t in pdf["text"]])]
@@ -323,15 +323,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
-def token_files(rows: DataFrame) -> DataFrame:
+def token_files(rows: DataFrame, *, lasting: bool = False) -> DataFrame:
     """Write the token files of by_id's or file_order's rows to the shared folder and describe each document as read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     path = new_path(rows.sparkSession, "tokens")
-    write_tokens(rows, path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_tokens(rows, path, public_tokenizers.path("byte_bpe_50k.json"), lasting=lasting)
     return read_tokens(rows.sparkSession, path).drop("ids")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in ascending order of doc_id: doc_id, start, n_tokens, ids_crc32 as read back from the files. Null texts are empty; empty tables give no rows."""
-    return token_files(by_id(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return token_files(by_id(spark.read.parquet(f"{sf_dir}/documents.parquet")), lasting=True)
