@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, secrets, tokens
+from . import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, secrets, tokens, variants
 
 QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
@@ -15,8 +15,10 @@ QUERIES = {
     "op4_fingerprints": fingerprint.op4_fingerprints,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat_format": chat.op10_chat_format,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 SQL = {
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op13_spelling_variants": variants.OP13_SQL,
 }
