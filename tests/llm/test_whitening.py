@@ -95,7 +95,7 @@ def test_nothing_to_whiten(spark, tmp_path):
 
 def test_values_beyond_64_bits(spark):
     """Sums and deviations that no 64-bit integer holds; clashing names stay inside the row."""
-    rows = [(i, [float((i % 7) * 2**52), float(i * i % 5), 1.0], 0, 5, 6) for i in range(20)]
+    rows = [(i, [float((i % 7) * 2**49), float(i * i % 5), 1.0], 0, 5, 6) for i in range(20)]
     docs = spark.createDataFrame(rows, SCHEMA)
     model = whitening.fit(docs)
     x = lambda v: [math.floor(64 * c) + 1000000 for c in v]

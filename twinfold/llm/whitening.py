@@ -350,7 +350,7 @@ def fit(docs: DataFrame, *, vector="embedding", most: int = COMPONENTS) -> White
 
 
 def whiten(docs: DataFrame, model: Whitening, *, vector="embedding") -> DataFrame:
-    """docs' usable rows of the model's dimension, all columns as a struct `row`, with deviation decimal(38,0) and whitened array<double>."""
+    """docs' usable rows of the model's dimension, all columns as a struct `row`, with deviation decimal(38,0), null beyond its 38 digits, and whitened array<double>."""
 
     @F.pandas_udf("deviation string, whitened array<double>")
     def run(x: pd.Series) -> pd.DataFrame:
@@ -359,7 +359,7 @@ def whiten(docs: DataFrame, model: Whitening, *, vector="embedding") -> DataFram
 
     rows = docs.where(finite(F.col(vector)) & (F.size(vector) == len(model.sums)))
     out = rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), run(rounded(F.col(vector))).alias("w"))
-    return out.select("row", F.col("w.deviation").cast("decimal(38,0)").alias("deviation"), "w.whitened")
+    return out.select("row", F.col("w.deviation").try_cast("decimal(38,0)").alias("deviation"), "w.whitened")
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
