@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, secrets, tokens, variants, whitening
+from . import chat, decontaminate, dedup, fingerprint, langid, lm, mixing, pii, secrets, suffix, tokens, variants, whitening
 
 QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
     "op13_spelling_variants": variants.op13_spelling_variants,
     "op12_whitening": whitening.op12_whitening,
+    "op11_repeated_bytes": suffix.op11_repeated_bytes,
 }
 SQL = {
     "op9_decontaminate": decontaminate.OP9_SQL,
