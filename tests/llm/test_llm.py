@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from twinfold.session import Scratch
@@ -466,6 +467,36 @@ def test_mixing_meets_target(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_rows(docs.limit(0)).columns == docs.columns
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: each value's bytes, with the hash so far as the seed; whole numbers here are longs but for ints given as (n, 4)."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_mixture_is_shuffled_in_blocks(spark):
+    """Sources with unlike epochs alternate in every block as in a plain shuffle; blocks and places are those of a plain loop."""
+    rows = [(i, f"w w w {i}", "big" if i < 8000 else "small" if i < 10_000 else "tiny") for i in range(10_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, mixing.Target(limit=4.0), block=8000).select("row.*", "weight", "epoch", "block", "place").orderBy("block", "place").collect()
+    assert {s: max(r["epoch"] for r in out if r["source"] == s) for s in ("big", "tiny")} == {"big": 0, "tiny": 3}
+    tokens_of = {s: 4 * sum(r[2] == s for r in rows) for s in ("big", "small", "tiny")}
+    rng = random.Random(8)
+    for b, part in itertools.groupby(out, lambda r: r["block"]):
+        part = list(part)
+        changes = lambda names: sum(x != y for x, y in itertools.pairwise(names))
+        names = [r["source"] for r in part]
+        plain = sum(changes(rng.sample(names, len(names))) for _ in range(20)) / 20
+        assert len(part) < 500 or abs(changes(names) / plain - 1) < 0.2
+        for r in part:
+            base = spark_hash(r["doc_id"], r["text"])
+            own = spark_hash((0, 4), (r["epoch"], 4), base) % (1 << mixing.PLACES)
+            assert b == math.floor((r["epoch"] + own / (1 << mixing.PLACES)) * tokens_of[r["source"]] / (r["weight"] * 8000.0))
+            assert r["place"] == spark_hash((0, 4), "block", r["block"], (r["epoch"], 4), base) % (1 << mixing.PLACES)
+
+
 def test_mixing_odd(spark, odd):
     out = mixing.mix(odd).select("row.doc_id", "row.text").collect()
     assert {(r["doc_id"], r["text"]) for r in out} == {(r["doc_id"], r["text"]) for r in odd.collect()}

@@ -4,7 +4,8 @@ Weights are token shares raised to an exponent and normalised. The exponent is f
 flattest mixture) under which no source repeats more than `limit` times, or the one whose weights have a target entropy.
 A source's epochs are permutations of its rows by a hash. A row's place in its permutation says how far the source has come, and so in
 which block it stands: every block of about BLOCK tokens takes each source's weight's share of them, so weights hold in each block up to the
-chance of the permutation. Sources are a table throughout; nothing depends on their number.
+chance of the permutation. The rows of a block are then permuted together by another hash, so that sources alternate as in a plain shuffle.
+Sources are a table throughout; nothing depends on their number.
 """
 
 from __future__ import annotations
@@ -82,6 +83,11 @@ def place(base: Column, epoch: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), epoch, base), F.lit(1 << PLACES))
 
 
+def shuffled(base: Column, epoch: Column, block: Column, seed: int) -> Column:
+    """A row's place in its block, by a hash that its place in its source's permutation says nothing about."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), block, epoch, base), F.lit(1 << PLACES))
+
+
 def cut_places(slim: DataFrame, facts: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """source, until: the place at which the partial epoch of each source ends, so that the rows before it have at most `part` tokens.
 
@@ -126,10 +132,11 @@ def mix(docs: DataFrame, target: Target = Target(), *, block: int = BLOCK, seed:
     whole = scratch.settle(facts.join(cuts.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left").select("source", "tokens", "weight", "whole", F.coalesce("until", F.lit(0)).alias("until")), "mixture")
     scratch.clear(but=1)
     rows = joined(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), kind, base.alias("base")), whole)
-    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole")))).withColumn("place", place(F.col("base"), F.col("epoch"), seed))
-    used = each.where((F.col("epoch") < F.col("whole")) | (F.col("place") < F.col("until")))
-    far = (F.col("epoch") + F.col("place") / F.lit(float(1 << PLACES))) * F.col("tokens")
-    return used.select("row", "weight", "epoch", F.floor(far / (F.col("weight") * F.lit(float(block)))).alias("block"), "place")
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole")))).withColumn("own", place(F.col("base"), F.col("epoch"), seed))
+    used = each.where((F.col("epoch") < F.col("whole")) | (F.col("own") < F.col("until")))
+    far = (F.col("epoch") + F.col("own") / F.lit(float(1 << PLACES))) * F.col("tokens")
+    dealt = used.withColumn("block", F.floor(far / (F.col("weight") * F.lit(float(block)))))
+    return dealt.select("row", "weight", "epoch", "block", shuffled(F.col("base"), F.col("epoch"), F.col("block"), seed).alias("place"))
 
 
 def mixed_rows(docs: DataFrame, target: Target = Target(), *, doc="doc_id", text="text", source="source") -> DataFrame:
