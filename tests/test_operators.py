@@ -87,7 +87,7 @@ def test_insert_is_idempotent(spark, files):
 def test_events_replay(spark, files):
     events = spark.createDataFrame([(2, "mark", 1, "keep", None), (1, "mark", 1, "not_needed", None), (3, "note", 1, None, "n"), (4, "mark_group", 3, "undecided", None), (5, "mark", 2, "odd", None)], "seq long, action string, target long, status string, note string")
     events = events.withColumn("at", F.current_timestamp())
-    base = files.withColumn("_seq", F.lit(-1).cast("long"))
+    base = mutations.with_registers(files)
     once = mutations.apply_review_events(base, events)
     out = {r["file_id"]: r for r in once.collect()}
     assert out[1]["review_status"] == "keep" and out[1]["review_note"] == "n" and out[6]["review_status"] == "undecided" and out[2]["review_status"] == "undecided"
@@ -262,3 +262,40 @@ def test_later_batches_match_earlier_arrivals(spark, tmp_path):
     ingest.stream_match(stream, known, groups, 5, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     out = {r["file_id"]: (r["group_id"], r["duplicate_of"], r["promoted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out == {10: (1, None, 1), 20: (1, 10, 0)}
+
+
+def test_heavy_bands(spark):
+    """Values that many hashes share are cut further: the pairs of a plain comparison, once each, on both ways and on two sides."""
+    rng = random.Random(9)
+    low = rng.getrandbits(22)
+    hashes = {low | rng.getrandbits(42) << 22 for _ in range(60)} | {rng.getrandbits(64) for _ in range(20)}
+    hashes |= {h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for h in list(hashes) for _ in range(2)}
+    hashes |= {low ^ (1 << a) ^ (1 << b) for a in range(0, 64, 7) for b in range(3, 64, 9)}  # very close ones, so that cells stay heavy to the end
+    ranked = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(sorted(hashes))]
+    df = spark.createDataFrame(ranked, "rank long, h long").withColumn("kind", F.col("rank") % 2)
+    apart = lambda g, h: bin((g ^ h) & (2**64 - 1)).count("1")
+    for k, wide, heavy in ((5, False, 20), (4, True, 20), (0, False, 1), (5, True, 500)):
+        a, b = df.select("kind", F.col("h").alias("ha"), F.col("rank").alias("low")), df.select("kind", F.col("h").alias("hb"), F.col("rank").alias("high"))
+        got = [tuple(r) for r in hamming.hamming_join(a, b, k, on=("ha", "hb"), also=("kind",), wide=wide, heavy=heavy).select("low", "high", "distance").collect()]
+        want = {(i, j, apart(g, h)) for i, g in ranked for j, h in ranked if i % 2 == j % 2 and apart(g, h) <= k}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_common_band(spark):
+    """100,000 hashes with one value in common, against brute force over ids divisible by 50."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 100_000
+    h = rng.integers(0, 2**53, n, dtype=np.int64) << 11 | 1234
+    near = rng.integers(0, n, n // 5)
+    h[near] = h[rng.integers(0, n, len(near))] ^ (1 << rng.integers(11, 63, len(near))) ^ (1 << rng.integers(11, 63, len(near)))
+    h, first = np.unique(h, return_index=True)
+    df = spark.createDataFrame([(int(i), int(v)) for i, v in enumerate(h)], "rank long, h long")
+    pairs = hamming.self_pairs(df, 5)
+    got = {tuple(r) for r in pairs.where("low % 50 = 0 or high % 50 = 0").collect()}
+    want = set()
+    for i in range(0, len(h), 50):
+        d = np.bitwise_count((h ^ h[i]).view(np.uint64))
+        want |= {(min(i, int(j)), max(i, int(j)), int(d[j])) for j in np.flatnonzero(d <= 5) if j != i}
+    assert got == want and len(want) > 100

@@ -3,7 +3,7 @@
 Up to WIDE hashes are cut into k + 1 bands, one of which is equal in a pair within k bits. With N hashes spread evenly each
 meets N / 2**(64 / (k + 1)) others in a band (for k = 5, N / 1600), so beyond WIDE they are cut into k // 2 + 1 bands, one of which
 differs by a bit at most: one side has its bands and the other theirs with each bit changed (for k = 5, 67 probes that meet N / 2**21
-each). Both ways find the same pairs.
+each). Both ways find the same pairs. Values that very many hashes share (flat pictures, short texts) are cut further, see hamming_join.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hashes beyond which the wide bands are used.
-WIDE = 1_000_000
+from ..session import settle
+
+#: Hashes beyond which the wide bands are used, comparisons of a cell beyond which it is cut further, and how often.
+WIDE, HEAVY, CUTS = 1_000_000, 4_000_000, 8
 
 
 def parse_phash(text: Column) -> Column:
@@ -63,14 +65,69 @@ def first_band(difference: Column, cuts: list[tuple[int, int]], most: int) -> Co
     return F.coalesce(*[F.when(F.bit_count(band(difference, *b)) <= most, F.lit(i)) for i, b in enumerate(cuts)])
 
 
-def hamming_join(left: DataFrame, right: DataFrame, k: int, *, on: tuple[str, str] = ("h", "h"), where: Column | None = None, also: tuple[str, ...] = (), wide: bool | None = None) -> DataFrame:
-    """Pairs of rows whose hashes differ in at most k bits, with `distance`. Column names of both sides must differ but for `also`, which must be equal. wide: which way; by the number of rows of the right side if not given."""
+def parts_of(depth: int, k: int) -> list[int]:
+    """Masks of k + 1 parts of the 64 bits, dealt anew at every depth so that neighbouring bits, which often go together, are dealt apart."""
+    bits = sorted(range(64), key=lambda i: (i + 1) * (0x9E3779B9 + 2 * depth) % 2**32 * 0x85EBCA6B % 2**32)
+    masks = [sum(1 << i for i in bits[j :: k + 1]) for j in range(k + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def hamming_join(left: DataFrame, right: DataFrame, k: int, *, on: tuple[str, str] = ("h", "h"), where: Column | None = None, also: tuple[str, ...] = (), wide: bool | None = None, heavy: int = HEAVY) -> DataFrame:
+    """Pairs of rows whose hashes differ in at most k bits, with `distance`. Column names of both sides must differ but for `also`, which must be equal. wide: which way; by the number of rows of the right side if not given.
+
+    A cell (a band and its value) that would compare more than `heavy` pairs is found by counting and cut again: its pairs differ in at
+    most k of the bits outside the band, so they agree in one of k + 1 parts of these. Cells that are heavy still are cut further, CUTS times at
+    most. A pair is emitted in one cell only: at every cut, in the first part in which it agrees.
+    """
     wide = right.count() > WIDE if wide is None else wide
-    cuts = wide_bands(k) if wide else bands(k)
-    a, b = (probed if wide else banded)(left, on[0], cuts), banded(right, on[1], cuts)
-    met = a.join(b, ["_band", "_value", *also]).withColumn("distance", distance(F.col(on[0]), F.col(on[1])).cast("int"))
-    met = met.where((F.col("distance") <= k) & (first_band(F.col(on[0]).bitwiseXOR(F.col(on[1])), cuts, int(wide)) == F.col("_band")))
-    return (met if where is None else met.where(where)).drop("_band", "_value")
+    cuts, masks = wide_bands(k) if wide else bands(k), [parts_of(d, k) for d in range(CUTS)]
+    key = ["_band", "_path", "_cell", *also]
+    place = lambda df: df.withColumnRenamed("_value", "_cell").withColumn("_path", F.lit(0).cast("long"))
+    a, b = place((probed if wide else banded)(left, on[0], cuts)), place(banded(right, on[1], cuts))
+    differ = F.col(on[0]).bitwiseXOR(F.col(on[1]))
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    signed = lambda v: (v & (1 << 64) - 1) - (1 << 64 if v >> 63 & 1 else 0)
+    outside = longs([signed(~(m << s)) for s, m in cuts])
+
+    def part_at(d: int, depth: int) -> Column:
+        return F.pmod(F.floor(F.col("_path") / (k + 1) ** (depth - 1 - d)), F.lit(k + 1)).cast("int")
+
+    def free_bits(d: int, depth: int) -> Column:
+        """The bits that are neither in the band nor in the parts of the first d cuts."""
+        free = F.get(outside, F.col("_band"))
+        for i in range(d):
+            free = free.bitwiseAND(F.bitwise_not(F.get(longs(masks[i]), part_at(i, depth))))
+        return free
+
+    def compared(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
+        """The pairs of cells that are theirs. The path tells the part of each cut, as digits to the base k + 1."""
+        met = a.join(b, key).withColumn("distance", distance(F.col(on[0]), F.col(on[1])).cast("int")).where(F.col("distance") <= k)
+        own = first_band(differ, cuts, int(wide)) == F.col("_band")
+        for d in range(depth):
+            rest = differ.bitwiseAND(free_bits(d, depth))
+            own = own & (F.array_position(F.transform(longs(masks[d]), lambda m: rest.bitwiseAND(m) == 0), True) == part_at(d, depth) + 1)
+        return met.where(own)
+
+    out, depth = None, 0
+    while depth < CUTS:
+        sizes = a.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).join(b.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")), key)
+        large = settle(sizes.where(F.col("_n") * F.col("_m") > heavy).select(*key), "heavy")
+        if large.isEmpty():
+            break
+        light = compared(a.join(large, key, "left_anti"), b, depth)
+        out = light if out is None else out.unionByName(light)
+
+        def cut(df: DataFrame, h: str) -> DataFrame:
+            held = df.join(large, key, "left_semi").withColumn("_free", free_bits(depth, depth))
+            each = held.select("*", F.posexplode(longs(masks[depth])).alias("_part", "_mask"))
+            # Cells are named by a hash of the parent's name and the part's bits; a name that stands for two only adds comparisons.
+            bits = F.col(h).bitwiseAND(F.col("_mask")).bitwiseAND(F.col("_free"))
+            return each.withColumns({"_cell": F.xxhash64("_cell", bits), "_path": F.col("_path") * (k + 1) + F.col("_part")}).drop("_part", "_mask", "_free")
+
+        a, b, depth = settle(cut(a, on[0]), "cells"), settle(cut(b, on[1]), "cells"), depth + 1
+    met = compared(a, b, depth)
+    out = met if out is None else out.unionByName(met)
+    return (out if where is None else out.where(where)).drop("_band", "_path", "_cell")
 
 
 def distinct_hashes(files: DataFrame, *, phash="phash", order="file_id", also: tuple[str, ...] = ()) -> DataFrame:

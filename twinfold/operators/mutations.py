@@ -31,12 +31,17 @@ def assign_ids(df: DataFrame, order: list[str], name: str, *, start: int = 1) ->
 
 def insert_or_ignore(files: DataFrame, new: DataFrame, *, first="file_id") -> DataFrame:
     """files and those new rows whose (drive_id, path_on_drive) is free; of equal new keys the one with the smallest `first` wins, those without it last; NULL keys never conflict."""
+    return files.unionByName(free_rows(files, new, first=first), allowMissingColumns=True)
+
+
+def free_rows(files: DataFrame, new: DataFrame, *, first="file_id") -> DataFrame:
+    """The rows that insert_or_ignore adds. Of files only the key is read."""
     for name, value in DEFAULTS.items():
         new = new.withColumn(name, F.coalesce(name, F.lit(value)) if name in new.columns else F.lit(value))
     whole = F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull()
     keyed = chosen(new.where(whole), list(KEY), F.min_by, F.col(first).isNull(), F.col(first))
     free = keyed.join(files.select(*KEY), list(KEY), "left_anti")
-    return files.unionByName(free, allowMissingColumns=True).unionByName(new.where(~whole), allowMissingColumns=True)
+    return free.unionByName(new.where(~whole))
 
 
 def chosen(df: DataFrame, key: list[str], which, *order: Column) -> DataFrame:
@@ -69,8 +74,10 @@ def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def upsert_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows take the place of those with the same scan_id."""
-    return runs.join(new.select("scan_id"), "scan_id", "left_anti").unionByName(latest(new, ["scan_id"], "timestamp"), allowMissingColumns=True)
+    """New rows take the place of those with the same scan_id. Rows without a scan_id are runs of their own: all stay."""
+    named = latest(new.where("scan_id is not null"), ["scan_id"], "timestamp")
+    kept = runs.join(new.select("scan_id"), "scan_id", "left_anti").unionByName(named, allowMissingColumns=True)
+    return kept.unionByName(new.where("scan_id is null"), allowMissingColumns=True)
 
 
 def get_or_create_drives(drives: DataFrame, seen: DataFrame) -> DataFrame:
@@ -139,10 +146,10 @@ def mark(files: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
 
 
 def mark_report(files: DataFrame, marks: DataFrame) -> DataFrame:
-    """file_id, status, old_status, changed, error of each mark."""
+    """file_id, status, old_status, changed, error of each mark; a file without a status changes with any."""
     out = marks.join(files.select("file_id", F.col("review_status").alias("old_status"), F.lit(True).alias("known")), "file_id", "left")
     error = F.when(F.col("known").isNull(), "unknown file").when(~F.col("status").isin(*STATUSES), "bad status")
-    return out.select("file_id", "status", "old_status", (error.isNull() & (F.col("status") != F.col("old_status"))).alias("changed"), error.alias("error"))
+    return out.select("file_id", "status", "old_status", (error.isNull() & ~F.col("status").eqNullSafe(F.col("old_status"))).alias("changed"), error.alias("error"))
 
 
 def mark_groups(files: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
@@ -152,9 +159,9 @@ def mark_groups(files: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
 
 
 def group_mark_report(files: DataFrame, marks: DataFrame) -> DataFrame:
-    """group_id, status, members, changed (members with another status), error of each mark."""
+    """group_id, status, members, changed (members with another status or none), error of each mark."""
     held = files.join(marks.select("group_id").distinct(), "group_id").groupBy("group_id", "review_status").agg(F.count(F.lit(1)).alias("n"))
-    out = marks.join(held, "group_id", "left").groupBy(marks["group_id"], "status").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.when(F.col("review_status") != F.col("status"), F.col("n"))), F.lit(0)).alias("changed"))
+    out = marks.join(held, "group_id", "left").groupBy(marks["group_id"], "status").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.when(~F.col("review_status").eqNullSafe(F.col("status")), F.col("n"))), F.lit(0)).alias("changed"))
     error = F.when(F.col("members") == 0, "unknown group").when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "bad status")
     return out.select("group_id", "status", "members", F.when(error.isNull(), F.col("changed")).otherwise(F.lit(0)).alias("changed"), error.alias("error"))
 
@@ -199,26 +206,38 @@ def drop_run(runs: DataFrame, scan_id: str) -> DataFrame:
     return runs.where(F.coalesce(F.col("scan_id") != scan_id, F.lit(True)))
 
 
+def with_registers(files: DataFrame) -> DataFrame:
+    """files with the registers that apply_review_events keeps: the number of the event that set the status, and of that which set the note."""
+    return files.withColumns({"_seq_mark": F.lit(None).cast("long"), "_seq_note": F.lit(None).cast("long")})
+
+
+def group_targets(files: DataFrame, events: DataFrame) -> DataFrame:
+    """file_id of the members of groups that events mark; of files only the two ids are read."""
+    groups = events.where("action = 'mark_group'").select(F.col("target").alias("group_id")).distinct()
+    return files.select("file_id", "group_id").join(groups, "group_id", "left_semi").select("file_id")
+
+
 def apply_review_events(files: DataFrame, events: DataFrame) -> DataFrame:
     """files after events (seq, action, target, status, note, at): `mark` sets a file, `mark_group` a group, `note` a file's note alone.
 
-    The last event of each file and column wins, whatever the order of rows, and events that a file has seen
-    (seq up to its _seq, where files have that column) do nothing, so a replay changes nothing.
+    The last event of each file and column wins, whatever the order of rows; of events with one number the one with the largest values. Where files have
+    registers (with_registers), a column's last writer is kept in its register, so that events may come late, again and in any
+    parts: the result is that of all of them at once. Events without a number come before all others.
     """
-    valid = events.where(F.col("action").isin("note") | F.col("status").isin(*STATUSES))
+    valid = events.where(F.col("action").isin("note") | F.col("status").isin(*STATUSES)).withColumn("seq", F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))))
     single = valid.where(F.col("action").isin("mark", "note")).withColumn("file_id", F.col("target"))
     group = valid.where("action = 'mark_group'").join(files.select("file_id", F.col("group_id").alias("target")), "target")
     each = single.unionByName(group)
     marks = F.when(F.col("action") != "note", F.struct("seq", "status", "at"))
-    last = each.groupBy("file_id").agg(F.max(marks).alias("_mark"), F.max(F.struct("seq", "note")).alias("_note"), F.max("seq").alias("_last"))
+    last = each.groupBy("file_id").agg(F.max(marks).alias("_mark"), F.max(F.struct("seq", "note")).alias("_note"))
     joined = files.join(last, "file_id", "left")
-    seen = F.coalesce("_seq", F.lit(-1)) if "_seq" in files.columns else F.lit(-1)
-    by_mark, by_note = F.coalesce(F.col("_mark.seq") > seen, F.lit(False)), F.coalesce(F.col("_note.seq") > seen, F.lit(False))
-    columns = {
-        "review_status": F.when(by_mark, F.col("_mark.status")).otherwise(F.col("review_status")),
-        "reviewed_at": F.when(by_mark, F.col("_mark.at")).otherwise(F.col("reviewed_at")),
-        "review_note": F.when(by_note, F.col("_note.note")).otherwise(F.col("review_note")),
-    }
-    if "_seq" in files.columns:
-        columns["_seq"] = F.greatest("_seq", "_last")
+    mark, note = F.col("_mark"), F.col("_note")
+    kept = "_seq_mark" in files.columns
+    if kept:
+        mark = F.greatest(mark, F.when(F.col("_seq_mark").isNotNull(), F.struct(F.col("_seq_mark").alias("seq"), F.col("review_status").alias("status"), F.col("reviewed_at").alias("at"))))
+        note = F.greatest(note, F.when(F.col("_seq_note").isNotNull(), F.struct(F.col("_seq_note").alias("seq"), F.col("review_note").alias("note"))))
+    set_to = lambda winner, field, old: F.when(winner.isNotNull(), winner[field]).otherwise(F.col(old))
+    columns = {"review_status": set_to(mark, "status", "review_status"), "reviewed_at": set_to(mark, "at", "reviewed_at"), "review_note": set_to(note, "note", "review_note")}
+    if kept:
+        columns |= {"_seq_mark": mark["seq"], "_seq_note": note["seq"]}
     return joined.withColumns(columns).select(*files.columns)

@@ -12,6 +12,7 @@ from ..operators import cluster, copyplan, features, filters, hamming, mutations
 from ..session import new_path
 from ..sources import files as sources
 from ..streaming import ingest
+from ..streaming.buckets import BucketedTable
 from .views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,6 +317,12 @@ add("mark", _SHOW.format(s="CASE WHEN file_id % 10 = 6 THEN 'keep' ELSE review_s
 add("mark_repeated", _SHOW.format(s="CASE WHEN file_id % 5 = 1 THEN 'not_needed' ELSE review_status END", n="CASE WHEN file_id % 5 = 1 THEN 'again' END"))(
     lambda v: mutations.mark(v.base, _marks(v).withColumns({"status": F.lit("keep"), "seq": F.lit(1)}).unionByName(_marks(v).withColumns({"status": F.lit("not_needed"), "note": F.lit("again"), "seq": F.lit(2)})), at()).select(*_show)
 )
+add("mark_report_untold", "SELECT file_id, 'keep' AS status, CASE WHEN file_id % 3 > 0 THEN review_status END AS old_status, file_id % 3 = 0 OR review_status <> 'keep' AS changed, CAST(NULL AS VARCHAR) AS error FROM files")(
+    lambda v: mutations.mark_report(v.base.withColumn("review_status", F.when(F.col("file_id") % 3 > 0, F.col("review_status"))), v.base.select("file_id", F.lit("keep").alias("status"), F.lit(None).cast("string").alias("note")))
+)
+add("group_mark_report_untold", "SELECT group_id, 'keep' AS status, count(*) AS members, count(*) FILTER (file_id % 3 = 0 OR review_status <> 'keep') AS changed, CAST(NULL AS VARCHAR) AS error FROM files WHERE group_id IS NOT NULL GROUP BY 1")(
+    lambda v: mutations.group_mark_report(v.files.withColumn("review_status", F.when(F.col("file_id") % 3 > 0, F.col("review_status"))), v.groups.select("group_id", F.lit("keep").alias("status"), F.lit(None).cast("string").alias("note")))
+)
 add("mark_report", "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'keep' ELSE 'bad' END AS status, review_status AS old_status, file_id % 2 = 0 AND review_status <> 'keep' AS changed, CASE WHEN file_id % 2 = 1 THEN 'bad status' END AS error FROM files WHERE file_id % 5 = 1")(lambda v: mutations.mark_report(v.base, _marks(v)))
 add("mark_group", _SHOW.format(s="CASE WHEN group_id % 3 = 0 THEN 'not_needed' ELSE review_status END", n="CAST(NULL AS VARCHAR)"))(lambda v: mutations.mark_groups(v.files, v.groups.where("group_id % 3 = 0").select("group_id", F.lit("not_needed").alias("status"), F.lit(None).cast("string").alias("note")), at()).select(*_show))
 add("group_mark_report", "SELECT group_id, 'keep' AS status, count(*) AS members, count(*) FILTER (review_status <> 'keep') AS changed, CAST(NULL AS VARCHAR) AS error FROM files WHERE group_id % 3 = 0 GROUP BY 1 UNION ALL SELECT -group_id, 'keep', 0, 0, 'unknown group' FROM grps WHERE group_id % 3 = 1")(
@@ -385,34 +392,36 @@ def _feed(v, df, name, n=4):
 
 def _stream_ingest(v):
     known = v.base.where("file_id % 3 <> 0")
-    table = ingest.Snapshots(v.spark, new_path(v.spark, "ingest"), ", ".join(f"{c} {k}" for c, k in known.dtypes))
-    table.write(known, 0)
+    table = BucketedTable(v.spark, new_path(v.spark, "ingest"), ", ".join(f"{c} {k}" for c, k in known.dtypes), list(mutations.KEY))
+    table.create(known)
     ingest.stream_ingest(_feed(v, _new(v), "feed"), table, new_path(v.spark, "progress")).awaitTermination()
     return table.read().select("file_id")
 
 
-def _stream_events(v):
-    files = v.files.withColumn("_seq", F.lit(-1).cast("long"))
-    table = ingest.Snapshots(v.spark, new_path(v.spark, "marks"), ", ".join(f"{c} {k}" for c, k in files.dtypes))
-    table.write(files, 0)
+def _stream_events(v, *, late=False):
+    files = mutations.with_registers(v.files)
+    table = BucketedTable(v.spark, new_path(v.spark, "marks"), ", ".join(f"{c} {k}" for c, k in files.dtypes), ["file_id"])
+    table.create(files)
     events, path = _events(v), new_path(v.spark, "events")
     middle = events.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
-    # Two files for each of two batches, earlier events first.
-    events.where(F.col("seq") <= middle).repartition(2).write.parquet(path)
-    events.where(F.col("seq") > middle).repartition(2).write.mode("append").parquet(path)
+    # Two files for each of two batches, earlier events first, or last.
+    early = F.col("seq") <= middle
+    events.where(~early if late else early).repartition(2).write.parquet(path)
+    events.where(early if late else ~early).repartition(2).write.mode("append").parquet(path)
     stream = ingest.file_stream(v.spark, path, ", ".join(f"{c} {k}" for c, k in events.dtypes), files_per_batch=2)
     ingest.stream_review_events(stream, table, new_path(v.spark, "progress")).awaitTermination()
     return table.read().select(*_show)
 
 
-def _stream_match(v):
+def _stream_match(v, batches=1):
     known = v.hashed.where("file_id % 3 <> 0").withColumn("group_id", F.col("file_id"))
     groups = known.select("group_id", F.col("file_id").alias("original_file_id"))
     out = new_path(v.spark, "matched")
     new = v.hashed.where("file_id % 3 = 0").select("file_id", "hash_sha256", "phash", "type", "width", "height", "size_bytes")
     path = new_path(v.spark, "feed")
-    new.repartition(4).write.parquet(path)  # in one batch, whose rows its SQL gives; several are in the tests
-    ingest.stream_match(ingest.file_stream(v.spark, path, ", ".join(f"{c} {k}" for c, k in new.dtypes), files_per_batch=1000), known, groups, 5, out, new_path(v.spark, "progress")).awaitTermination()
+    for b in range(batches):  # a file each, read in the order of writing
+        new.where(F.floor(F.col("file_id") / 3) % batches == b).coalesce(1).write.mode("append").parquet(path)
+    ingest.stream_match(ingest.file_stream(v.spark, path, ", ".join(f"{c} {k}" for c, k in new.dtypes)), known, groups, 5, out, new_path(v.spark, "progress")).awaitTermination()
     return v.spark.read.parquet(out).drop("batch")
 
 
@@ -426,5 +435,23 @@ def _stream_first_seen(v):
 
 add("stream_ingest", _NEW)(_stream_ingest)
 add("stream_review_events", _EVENTS)(_stream_events)
+add("stream_late_events", _EVENTS)(lambda v: _stream_events(v, late=True))
 add("stream_match", _JOIN, hashed=True)(_stream_match)
+
+
+def _match_sql(b: int, known: str, originals: str) -> str:
+    """CTEs of one batch: r{b} its rows, k{b} what is known after it, o{b} the originals after it."""
+    new = f"n{b} AS (SELECT * FROM hf WHERE file_id % 3 = 0 AND file_id // 3 % 2 = {b})"
+    sha = f"sha{b} AS (SELECT hash_sha256, arg_min(g, file_id) AS g FROM {known} WHERE hash_sha256 IS NOT NULL GROUP BY 1)"
+    nn = f"nn{b} AS (SELECT a.file_id, b.g FROM n{b} a JOIN {known} b ON a.type = 'image' AND a.phash IS NOT NULL AND b.phash IS NOT NULL AND {_D} <= 5 QUALIFY row_number() OVER (PARTITION BY a.file_id ORDER BY {_D}, b.file_id) = 1)"
+    got = f"m{b} AS (SELECT n.file_id, coalesce(s.g, nn.g) AS group_id FROM n{b} n LEFT JOIN sha{b} s USING (hash_sha256) LEFT JOIN nn{b} nn ON nn.file_id = n.file_id WHERE coalesce(s.g, nn.g) IS NOT NULL)"
+    all_of = f"a{b} AS (SELECT file_id, group_id, 1 AS new FROM m{b} UNION ALL SELECT o, group_id, 0 FROM {originals} WHERE group_id IN (SELECT group_id FROM m{b}))"
+    best = f"b{b} AS (SELECT group_id, file_id AS o FROM a{b} JOIN f0 USING (file_id) QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY {_PIXELS} DESC, size_bytes DESC, new, file_id) = 1)"
+    rows = f"r{b} AS (SELECT file_id, group_id, CASE WHEN o <> file_id THEN o END AS duplicate_of, CAST(o = file_id AS INT) AS promoted FROM m{b} JOIN b{b} USING (group_id))"
+    after = f"k{b} AS (SELECT * FROM {known} UNION ALL SELECT h.file_id, h.hash_sha256, h.phash, h.hi, h.lo, m.group_id FROM m{b} m JOIN hf h USING (file_id)), o{b} AS (SELECT * FROM b{b} UNION ALL SELECT group_id, o FROM {originals} WHERE group_id NOT IN (SELECT group_id FROM b{b}))"
+    return ", ".join((new, sha, nn, got, all_of, best, rows, after))
+
+
+_START = "ks AS (SELECT file_id, hash_sha256, phash, hi, lo, file_id AS g FROM hf WHERE file_id % 3 <> 0), os AS (SELECT file_id AS group_id, file_id AS o FROM ks)"
+add("stream_match_batches", f", {_START}, {_match_sql(0, 'ks', 'os')}, {_match_sql(1, 'k0', 'o0')} SELECT * FROM r0 UNION ALL SELECT * FROM r1", hashed=True)(lambda v: _stream_match(v, 2))
 add("stream_first_seen", "SELECT drive_id, path_on_drive FROM files")(_stream_first_seen)
