@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MAX_PIXELS, SMALLEST, media_type
+from ..functions.scalars import MAX_PIXELS, SMALLEST, cap_to_pixels, media_type
 
 END = 64 * 1024
 
@@ -49,12 +49,15 @@ def skip_large(df: DataFrame, *, hash_large: bool = False) -> DataFrame:
     return df if hash_large else df.where("is_large = 0")
 
 
-def extraction_stats(df: DataFrame) -> DataFrame:
-    """One row over (path, size_bytes): files by type, sizes that occur once or more often, files of repeated sizes."""
+def extraction_stats(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row over (path, size_bytes): files by type, sizes that occur once or more often, files of repeated sizes, and files that need a hash of their
+    contents: those whose size occurs again, here or in known (size_bytes). Files without a size are of one size."""
     kind = media_type(F.col("path"), unknown=True)
     sizes = df.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(kind == k).alias(k) for k in ("image", "video", "unknown")])
+    there = (df if known is None else known).select(F.col("size_bytes").alias("_known")).distinct().withColumn("_there", F.lit(known is not None))
+    sizes = sizes.join(there, F.col("size_bytes").eqNullSafe(F.col("_known")), "left")
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
-    return sizes.agg(total("image", "images"), total("video", "videos"), total("unknown", "unknown"), F.count_if(F.col("n") == 1).alias("unique_sizes"), F.count_if(F.col("n") > 1).alias("repeated_sizes"), total(F.when(F.col("n") > 1, F.col("n")), "files_in_repeated_sizes"))
+    return sizes.agg(total("image", "images"), total("video", "videos"), total("unknown", "unknown"), F.count_if(F.col("n") == 1).alias("unique_sizes"), F.count_if(F.col("n") > 1).alias("repeated_sizes"), total(F.when(F.col("n") > 1, F.col("n")), "files_in_repeated_sizes"), total(F.when((F.col("n") > 1) | F.coalesce("_there", F.lit(False)), F.col("n")), "files_needing_hash"))
 
 
 def discovery_stats(df: DataFrame) -> DataFrame:
@@ -66,40 +69,79 @@ def discovery_stats(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(found).alias("files_found"), of("image").alias("images"), of("video").alias("videos"), F.count_if((kind != "unknown") & (F.col("size_bytes") < SMALLEST)).alias("too_small"), F.round(size / 1024**3, 4).alias("total_gb"), F.coalesce(F.round(size / F.nullif(F.count_if(found), F.lit(0)) / 1024**2, 4), F.lit(0.0)).alias("average_mb"))
 
 
-def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """Grey values of an image as Spark's image source gives it (blue, green, red)."""
-    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
-    return x[..., 0] if channels == 1 else x[..., :3] @ np.array([0.114, 0.587, 0.299])
+#: Bytes of grey values that are held at a time.
+STRIP = 16 << 20
 
 
-def resized(x: np.ndarray, side: int = 32) -> np.ndarray:
-    """Area means: every target cell averages what it covers."""
+def grey(data: bytes, height: int, width: int, channels: int, first: int, last: int) -> np.ndarray:
+    """Grey values of rows first to last of an image as Spark's image source gives it (blue, green, red)."""
+    x = np.frombuffer(data, np.uint8, (last - first) * width * channels, first * width * channels).reshape(last - first, width, channels)
+    return x[..., 0].astype(np.float64) if channels == 1 else x[..., 0] * 0.114 + x[..., 1] * 0.587 + x[..., 2] * 0.299
 
-    def weights(n: int) -> np.ndarray:
-        edges = np.linspace(0, n, side + 1)
-        low, high = np.maximum(edges[:-1, None], np.arange(n)), np.minimum(edges[1:, None], np.arange(1, n + 1))
-        return np.maximum(0, high - low) * side / n
 
-    return weights(x.shape[0]) @ x @ weights(x.shape[1]).T
+def row_weights(n: int, side: int, first: int, last: int, low: int, high: int) -> np.ndarray:
+    """How much of each of the target rows first to last, of `side`, lies in the rows low to high of n, as shares of a target row."""
+    edges, rows = np.arange(first, last + 1) * n / side, np.arange(low, high)
+    return np.maximum(0, np.minimum(edges[1:, None], rows + 1) - np.maximum(edges[:-1, None], rows)) * side / n
 
 
-def phash_of(x: np.ndarray) -> str:
-    """16 hex digits: signs of the 8 x 8 lowest frequencies of the 32 x 32 picture against their median."""
+def across(x: np.ndarray, side: int) -> np.ndarray:
+    """Area means of columns: every target column averages what it covers, by differences of running sums."""
+    n = x.shape[1]
+    if n == side:
+        return x
+    edges = np.arange(side + 1) * n / side
+    whole = np.minimum(edges.astype(np.int64), n - 1)
+    sums = np.concatenate((np.zeros((len(x), 1)), np.cumsum(x, 1)), 1)
+    at = sums[:, whole] + x[:, whole] * (edges - whole)
+    return np.diff(at, axis=1) * side / n
+
+
+def strips(data: bytes, height: int, width: int, channels: int, size: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, grey rows) of the picture shrunk to size (height, width) by area means, a few rows at a time; as it is if that is its size."""
+    tall, wide = size
+    step = max(1, STRIP // 8 // max(1, -(-height // tall) * width))
+    for t in range(0, tall, step):
+        end = min(tall, t + step)
+        low, high = t * height // tall, min(height, -(-end * height // tall))
+        # Target rows that are tall themselves are added up over parts of the strip.
+        part, rows = max(1, STRIP // 8 // width), np.zeros((end - t, wide))
+        for y in range(low, high, part):
+            z = min(high, y + part)
+            rows += row_weights(height, tall, t, end, y, z) @ across(grey(data, height, width, channels, y, z), wide)
+        yield t, rows
+
+
+def small_picture(data: bytes, height: int, width: int, channels: int, size: tuple[int, int] | None = None, side: int = 32) -> np.ndarray:
+    """Area means of side x side cells of the picture, after it is shrunk to size."""
+    size, out = size or (height, width), np.zeros((side, side))
+    for t, rows in strips(data, height, width, channels, size):
+        out += row_weights(size[0], side, 0, side, t, t + len(rows)) @ across(rows, side)
+    return out
+
+
+def phash_of(small: np.ndarray) -> str:
+    """16 hex digits: which of the 8 x 8 lowest frequencies of the 32 x 32 picture, in thousandths, are above their median. Those at the median are not."""
     k, n = np.arange(8)[:, None], np.arange(32)
     basis = np.cos(np.pi * k * (2 * n + 1) / 64)
-    low = basis @ resized(x) @ basis.T
+    low = np.floor(basis @ small @ basis.T * 1000 + 0.5)
     bits = (low > np.median(low)).ravel()
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
 def phash64(images: DataFrame, *, most: int = MAX_PIXELS, shrink: bool = False) -> DataFrame:
-    """path, phash of read_images' rows; pictures of more pixels have none, or with shrink are hashed all the same. Unreadable ones have none."""
+    """path, phash of read_images' rows. Pictures of more pixels have none; with shrink they are shrunk to `most` (cap_to_pixels) before they are hashed. Unreadable ones have none.
+
+    A task holds a picture's bytes and STRIP bytes of grey values, whatever its size.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "phash": [phash_of(grey(d, h, w, c)) if w > 0 else None for d, h, w, c in zip(pdf["data"], pdf["height"], pdf["width"], pdf["nChannels"])]})
+            rows = zip(pdf["data"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["th"], pdf["tw"])
+            yield pd.DataFrame({"path": pdf["path"], "phash": [phash_of(small_picture(d, h, w, c, (th, tw))) if w > 0 and h > 0 else None for d, h, w, c, th, tw in rows]})
 
-    rows = images.select("path", "image.data", "image.height", "image.width", "image.nChannels", "pixels")
+    size = cap_to_pixels(F.col("image.width"), F.col("image.height"), most)
+    rows = images.select("path", "image.data", "image.height", "image.width", "image.nChannels", "pixels", size["height"].alias("th"), size["width"].alias("tw"))
     take = rows if shrink else rows.where(F.col("pixels") <= most)
     hashed = take.drop("pixels").mapInPandas(run, "path string, phash string")
     return hashed if shrink else hashed.unionByName(rows.where(F.col("pixels") > most).select("path", F.lit(None).cast("string").alias("phash")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import fnmatch
+import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,21 @@ def filter_by_size(df: DataFrame, least: int = 0, most: int | None = None, *, si
     return kept if most is None else kept.where(F.col(size) <= most)
 
 
+def human_bytes(text: str) -> int:
+    """Bytes of `10K`, `1.5M`, `2G` or a whole number; anything else is refused."""
+    found = re.fullmatch(r"([0-9]*\.?[0-9]+)([kmg])|([0-9]+)", text.strip().lower())
+    if not found:
+        raise ValueError(f"not a size: {text!r}")
+    return int(found[3]) if found[3] else math.floor(float(found[1]) * 1024 ** ("kmg".index(found[2]) + 1))
+
+
+def size_range_human(df: DataFrame, least: str | None = None, most: str | None = None, *, size="size_bytes") -> DataFrame:
+    """Files between two sizes for people, both included; an end that isn't given is open. Files without a size are in no range but the open one."""
+    if least is not None:
+        df = df.where(F.col(size) >= human_bytes(least))
+    return df if most is None else df.where(F.col(size) <= human_bytes(most))
+
+
 def filter_by_extension(df: DataFrame, suffixes, *, path="path") -> DataFrame:
     return df.where(suffix(F.col(path)).isin(*[s.lower() for s in suffixes]))
 

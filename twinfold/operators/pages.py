@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import complete_path, dimensions
 from ..sources.files import optional
 from .filters import path_like, search_paths, status_filter, with_is_original
+from .paging import page_of
 
 
 def review_queue(files: DataFrame, limit: int) -> DataFrame:
@@ -23,7 +24,8 @@ def groups_with(files: DataFrame, groups: DataFrame, status: str = "all") -> Dat
 
 def groups_page(files: DataFrame, groups: DataFrame, drives: DataFrame, page: int, per_page: int, status: str = "all") -> DataFrame:
     """One page of groups by id: group_id, original_file_id, statuses, files (original first, then by id)."""
-    shown = groups_with(files, groups, status).select("group_id", "original_file_id").orderBy("group_id").offset((page - 1) * per_page).limit(per_page)
+    shown = groups_with(files, groups, status).select("group_id", "original_file_id")
+    shown = page_of(shown, "group_id", page, per_page)
     members = files.join(F.broadcast(shown), "group_id").join(drives.select("drive_id", "mount_path", "label"), "drive_id", "left")
     original = (F.col("file_id") == F.col("original_file_id")) & F.col("original_file_id").isNotNull()
     row = F.struct(
@@ -37,7 +39,7 @@ def groups_page(files: DataFrame, groups: DataFrame, drives: DataFrame, page: in
 
 
 def singles_page(files: DataFrame, drives: DataFrame, page: int, per_page: int, status: str = "all") -> DataFrame:
-    rows = status_filter(files, status).where("group_id is null").orderBy("file_id").offset((page - 1) * per_page).limit(per_page)
+    rows = page_of(status_filter(files, status).where("group_id is null"), "file_id", page, per_page)
     joined = rows.join(drives.select("drive_id", "mount_path", "label"), "drive_id", "left")
     return joined.select("file_id", "path_on_drive", complete_path(F.col("mount_path"), F.col("path_on_drive")).alias("full_path"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "type", "review_status", "label").orderBy("file_id")
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
-from ..operators import cluster, copyplan, features, filters, hamming, mutations, pages, sinks, stats
+from ..operators import cluster, copyplan, features, filters, hamming, mutations, pages, paging, sinks, stats
 from ..session import new_path
 from ..sources import files as sources
+from ..sources import tree
 from ..streaming import ingest
 from ..streaming.buckets import BucketedTable
 from .views import Views
@@ -95,7 +96,8 @@ add("discover_filters", f"SELECT * FROM ({_P}) WHERE file_id % 4 < 3 AND size_by
 add("match_any", f"SELECT * FROM ({_P}) WHERE regexp_matches({_NAME}, '(?i)(^1.*png)|(9[.]j)')")(lambda v: filters.match_any(v.listing, ["^1.*png", "9[.]j"], ignore_case=True))
 add("preset_match", f"SELECT * FROM ({_P}) WHERE path LIKE '%.jpg'")(lambda v: filters.preset(v.listing, "images"))
 add("exclude_subtree", f"SELECT * FROM ({_P}) WHERE path NOT LIKE '%/src3/%'")(lambda v: filters.exclude_subtree(v.listing, "src3", path="path"))
-add("size_range_human", f"SELECT * FROM ({_P}) WHERE size_bytes BETWEEN 1536 AND 10240")(lambda v: v.listing.where(F.col("size_bytes").between(x.parse_size(F.lit("1.5K")), x.parse_size(F.lit("10k")))))
+add("size_range_human", f"SELECT * FROM ({_P}) WHERE size_bytes BETWEEN 1536 AND 10240")(lambda v: filters.size_range_human(v.listing, "1.5K", "10k"))
+add("size_range_open", f"SELECT * FROM ({_P}) WHERE size_bytes <= 2048")(lambda v: filters.size_range_human(v.listing, most="2K"))
 add("path_like", "SELECT file_id, path_on_drive FROM files WHERE path_on_drive ILIKE '%/SRC1/%.png'")(lambda v: pages.matching_paths(v.base, "%/SRC1/%.png"))
 add("search_paths", "SELECT file_id, path_on_drive, review_status, count(*) OVER () AS total FROM files WHERE path_on_drive ILIKE '%/src1/%' ORDER BY file_id LIMIT 20")(lambda v: pages.bulk_preview(v.base, "%/src1/%", 20))
 add("status_filter", "SELECT file_id FROM files WHERE review_status = 'keep'")(lambda v: filters.status_filter(v.base, "keep").select("file_id"))
@@ -110,7 +112,7 @@ add("needs_full_hash", """, n AS (SELECT file_id, size_bytes, fast_fp FROM f0 WH
 SELECT *, (size_bytes IN (SELECT size_bytes FROM k) OR count(*) OVER (PARTITION BY size_bytes) > 1) AND ((size_bytes, fast_fp) IN (SELECT (size_bytes, fast_fp) FROM k) OR count(*) OVER (PARTITION BY size_bytes, fast_fp) > 1) AS needs_hash FROM n""")(
     lambda v: features.needs_full_hash(v.base.where("file_id % 3 = 0").select("file_id", "size_bytes", "fast_fp"), v.base.where("file_id % 3 <> 0"))
 )
-add("extraction_stats", "SELECT CAST(sum((SELECT 1)) FILTER (file_id % 4 < 2) AS BIGINT) AS images, count(*) FILTER (file_id % 4 = 2) AS videos, count(*) FILTER (file_id % 4 = 3) AS unknown, count(DISTINCT size_bytes) - count(DISTINCT size_bytes) FILTER (k > 1) AS unique_sizes, count(DISTINCT size_bytes) FILTER (k > 1) AS repeated_sizes, count(*) FILTER (k > 1) AS files_in_repeated_sizes FROM (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS k FROM f0)")(lambda v: features.extraction_stats(v.listing))
+add("extraction_stats", "SELECT CAST(sum((SELECT 1)) FILTER (file_id % 4 < 2) AS BIGINT) AS images, count(*) FILTER (file_id % 4 = 2) AS videos, count(*) FILTER (file_id % 4 = 3) AS unknown, count(DISTINCT size_bytes) - count(DISTINCT size_bytes) FILTER (k > 1) AS unique_sizes, count(DISTINCT size_bytes) FILTER (k > 1) AS repeated_sizes, count(*) FILTER (k > 1) AS files_in_repeated_sizes, count(*) FILTER (k > 1 OR size_bytes IN (SELECT size_bytes + 3 FROM f0)) AS files_needing_hash FROM (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS k FROM f0)")(lambda v: features.extraction_stats(v.listing, v.base.select((F.col("size_bytes") + 3).alias("size_bytes"))))
 add("discovery_stats", "SELECT count(*) FILTER (m AND b) AS files_found, count(*) FILTER (b AND file_id % 4 < 2) AS images, count(*) FILTER (b AND file_id % 4 = 2) AS videos, count(*) FILTER (m AND NOT b) AS too_small, round(sum(size_bytes) FILTER (m AND b) / 1073741824, 4) AS total_gb, round(sum(size_bytes) FILTER (m AND b) / count(*) FILTER (m AND b) / 1048576, 4) AS average_mb FROM (SELECT *, file_id % 4 < 3 AS m, size_bytes >= 1024 AS b FROM f0)")(lambda v: features.discovery_stats(v.listing))
 add("pixels", f"SELECT file_id, CAST({_PIXELS} AS BIGINT) AS pixels FROM f0")(lambda v: v.base.select("file_id", x.pixels(F.col("width"), F.col("height")).alias("pixels")))
 add("cap_to_pixels", f"SELECT file_id, CASE WHEN width * height <= 15000 THEN width ELSE greatest(1, CAST(floor(width * sqrt(15000.0::DOUBLE / (width * height))) AS INT)) END AS w, CASE WHEN width * height <= 15000 THEN height ELSE greatest(1, CAST(floor(height * sqrt(15000.0::DOUBLE / (width * height))) AS INT)) END AS h FROM f0 WHERE type = 'image'")(
@@ -190,6 +192,12 @@ add("groups_page", f"""SELECT group_id, original_file_id, file_id, path_on_drive
 WHERE group_id IN (SELECT group_id FROM grps WHERE group_id IN (SELECT group_id FROM files WHERE review_status = 'undecided') ORDER BY group_id LIMIT 10 OFFSET 10)""")(
     lambda v: pages.groups_page(v.files, v.groups, v.drives, 2, 10, "undecided").select("group_id", "original_file_id", F.explode("files").alias("f")).select("group_id", "original_file_id", "f.file_id", "f.path_on_drive", "f.review_status", "f.is_original", "f.full_path")
 )
+def _paged(v):
+    """The fourth page of all files by size, from a stored table of pages."""
+    return paging.PageTable(v.spark, new_path(v.spark, "pages")).build(v.base.select("file_id", "size_bytes"), "size_bytes", "file_id").page(4, 30)
+
+
+add("stored_page", "SELECT * FROM (SELECT file_id, size_bytes, row_number() OVER (ORDER BY size_bytes, file_id) - 1 AS rank FROM f0) WHERE rank BETWEEN 90 AND 119")(_paged)
 add("singles_page", f"SELECT file_id, path_on_drive, {_FULL} AS full_path, size_bytes, type, review_status, label FROM files JOIN drives USING (drive_id) WHERE group_id IS NULL AND review_status = 'keep' ORDER BY file_id LIMIT 25 OFFSET 25")(lambda v: pages.singles_page(v.files, v.drives, 2, 25, "keep"))
 add("page_meta", "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 7)) AS BIGINT) AS pages, TRUE AS has_prev, 2 < greatest(1, ceil(count(*) / 7)) AS has_next FROM grps WHERE group_id IN (SELECT group_id FROM files WHERE review_status = 'keep')")(lambda v: pages.page_meta(pages.groups_with(v.files, v.groups, "keep"), 2, 7, least=1))
 add("file_info", f"SELECT file_id, group_id, CAST(file_id IN (SELECT original_file_id FROM grps) AS INT) AS is_original, type, size_bytes, {_DIM} AS dimensions, review_status, label, {_FULL} AS full_path, fast_fp FROM files JOIN drives USING (drive_id)")(lambda v: pages.file_info(v.files, v.groups, v.drives, v.files).drop("phash", "review_note", "central_path"))
@@ -218,7 +226,7 @@ add("upsert_untimed_runs", f", {_RUNS} SELECT scan_id, processed_count * CASE WH
     lambda v: mutations.upsert_runs(_runs(v), _runs(v).where("processed_count % 7 = 0").withColumns({"processed_count": -F.col("processed_count"), "timestamp": F.lit(None).cast("timestamp")}).unionByName(_runs(v).where("processed_count % 14 = 0").withColumn("processed_count", -2 * F.col("processed_count")))).select("scan_id", "processed_count")
 )
 add("drop_run", f", {_RUNS} SELECT scan_id FROM runs WHERE scan_id <> 'scan_7'")(lambda v: mutations.drop_run(_runs(v), "scan_7").select("scan_id"))
-add("run_config", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda v: v.table("events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.try_element_at("m", F.lit("k")).alias("k")))
+add("run_config", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda v: sources.read_run_config(v.table("events").select(F.col("event_id").alias("scan_id"), F.col("props").alias("config_json"))).select(F.col("scan_id").alias("event_id"), F.try_element_at("config", F.lit("k")).alias("k")))
 
 add("read_run_config", "SELECT CAST(event_id AS VARCHAR) AS scan_id, json_extract_string(props, '$.k') AS k FROM events")(
     lambda v: sources.read_run_config(v.table("events").select(F.col("event_id").cast("string").alias("scan_id"), F.col("props").alias("config_json"))).select("scan_id", F.try_element_at("config", F.lit("k")).alias("k"))
@@ -264,6 +272,21 @@ def _listed(v):
 add("list_files", "SELECT lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1")(_listed)
 
 
+def _walked(v, what):
+    """A tree with a folder and a file for each source and language, walked."""
+    path = new_path(v.spark, "tree")
+    folder = F.concat_ws("-", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    v.table("documents").select(folder.alias("folder"), F.coalesce("text", F.lit("")).alias("text")).repartition("folder").write.partitionBy("folder").text(path)
+    files, counts = tree.walk(v.spark, path)
+    named = files.where(F.col("path").contains("/folder=") & ~F.col("path").contains("/."))
+    return counts.select("folders", "unreadable") if what else named.select(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder"), "size_bytes")
+
+
+_TREE = "SELECT coalesce(source, 'none') || '-' || coalesce(lang, 'none') AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1"
+add("walk_tree", _TREE)(lambda v: _walked(v, 0))
+add("walk_counts", f"SELECT count(*) AS folders, 0 AS unreadable FROM ({_TREE})")(lambda v: _walked(v, 1))
+
+
 def _manifest(v):
     path = new_path(v.spark, "manifest")
     sources.write_manifest(v.listing.where("file_id % 2 = 0"), path)
@@ -274,15 +297,33 @@ add("read_manifest", f"SELECT path, size_bytes FROM ({_P}) WHERE file_id % 6 IN
 add("manifest_invalid", f"SELECT count(*) AS invalid FROM ({_P}) WHERE file_id % 6 = 0")(lambda v: _manifest(v)[1])
 
 
-def _pictures(v):
+def _pictures(v, **how):
     """Perceptual hashes of the texts' bytes, taken as grey pictures 32 wide."""
     rows = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / 32)).cast("int")
     data = F.rpad(F.col("text").cast("binary"), rows * 32, F.lit(b"\x00"))
     one = v.table("documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.struct(rows.alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"), data.alias("data")).alias("image"), (rows * 32).alias("pixels"))
-    return features.phash64(one, most=1 << 30)
-
-
-add("picture_hashes")(_pictures)
+    return features.phash64(one, **how)
+
+
+# Pixels (y, x, b) of r x 32 pictures; area means down to h x w, then to 32 x 32, as weights of rows and columns; then the lowest frequencies.
+def _picture_sql(h: str, w: str) -> str:
+    over = lambda n, m, i, y: f"greatest(0, least(({i} + 1) * {n}::DOUBLE / {m}, {y} + 1) - greatest({i} * {n}::DOUBLE / {m}, {y})) * {m} / {n}"
+    return f"""WITH px AS (SELECT doc_id, r, (k - 1) // 32 AS y, (k - 1) % 32 AS x, CAST('0x' || c AS INT) AS b FROM (SELECT doc_id, r, unnest(bs) AS c, generate_subscripts(bs, 1) AS k FROM (SELECT doc_id, greatest(1, CAST(ceil(strlen(text) / 32) AS INT)) AS r, regexp_extract_all(hex(encode(text)), '..') AS bs FROM documents WHERE text IS NOT NULL))),
+dims AS (SELECT DISTINCT r, {h} AS h, {w} AS w FROM (SELECT greatest(1, CAST(ceil(strlen(text) / 32) AS INT)) AS r FROM documents WHERE text IS NOT NULL)),
+u AS (SELECT unnest(range(8)) AS u), i AS (SELECT unnest(range(32)) AS i),
+down AS (SELECT r, y, t, {over('r', 'h', 't', 'y')} AS o FROM (SELECT *, unnest(range(CAST(floor(y * h::DOUBLE / r) AS INT), least(h, CAST(ceil((y + 1) * h::DOUBLE / r) AS INT)))) AS t FROM (SELECT *, unnest(range(r)) AS y FROM dims))),
+half AS (SELECT r, t, u, sum({over('h', '32', 'i', 't')} * cos(pi() * u * (2 * i + 1) / 64)) AS c FROM (SELECT *, unnest(range(h)) AS t FROM dims), i, u GROUP BY ALL),
+rowf AS (SELECT r, y, u, sum(o * c) AS c FROM down JOIN half USING (r, t) GROUP BY ALL),
+colf AS (SELECT r, x, u AS v, sum(o * {over('w', '32', 'i', 's')} * cos(pi() * u * (2 * i + 1) / 64)) AS c FROM (SELECT *, {over('32', 'w', 's', 'x')} AS o FROM (SELECT *, unnest(range(w)) AS s FROM dims), (SELECT unnest(range(32)) AS x)), i, u GROUP BY ALL),
+part AS (SELECT doc_id, r, x, u, sum(b * c) AS c FROM px JOIN rowf USING (r, y) GROUP BY ALL),
+low AS (SELECT doc_id, u, v, floor(sum(part.c * colf.c) * 1000 + 0.5) AS f FROM part JOIN colf USING (r, x) GROUP BY ALL),
+bits AS (SELECT doc_id, string_agg(CASE WHEN f > m THEN '1' ELSE '0' END, '' ORDER BY u, v) AS s FROM (SELECT *, median(f) OVER (PARTITION BY doc_id) AS m FROM low) GROUP BY 1)
+SELECT CAST(d.doc_id AS VARCHAR) AS path, coalesce((SELECT string_agg(printf('%x', list_sum(list_transform(range(4), lambda j: CAST(substr(s, CAST(4 * q + j + 1 AS BIGINT), 1) AS INT) * (8 >> j)))::INT), '' ORDER BY q) FROM (SELECT unnest(range(16)) AS q)), '0000000000000000') AS phash FROM documents d LEFT JOIN bits USING (doc_id) WHERE d.text IS NOT NULL"""
+
+
+QUERIES["picture_hashes"], SQL["picture_hashes"] = (lambda spark, sf_dir: _pictures(Views(spark, sf_dir), most=1 << 30)), _picture_sql("r", "32")
+_CAP = "CASE WHEN 32 * r <= 700 THEN {n} ELSE greatest(1, CAST(floor({n} * sqrt(700::DOUBLE / (32 * r))) AS INT)) END"
+QUERIES["picture_hashes_shrunk"], SQL["picture_hashes_shrunk"] = (lambda spark, sf_dir: _pictures(Views(spark, sf_dir), most=700, shrink=True)), _picture_sql(_CAP.format(n="r"), _CAP.format(n="32"))
 
 # Mutations
 _NEW = "SELECT file_id FROM f0 WHERE file_id % 3 <> 0 UNION ALL SELECT min(file_id) + 1000000 FROM f0 WHERE file_id % 2 = 0 AND file_id % 3 = 0 GROUP BY drive_id, path_on_drive"

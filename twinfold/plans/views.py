@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import media_type
 from ..operators.cluster import assign_groups, exact_groups
 from ..operators.features import fast_fp
+from ..operators.mutations import assign_ids
 from ..session import settle
 
 EXTENSIONS = (".jpg", ".PNG", ".mp4", ".txt")
@@ -42,10 +43,9 @@ class Views:
 
     @cached_property
     def drives(self) -> DataFrame:
-        """One row per source; a dimension, numbered by name."""
-        names = F.array_sort(F.collect_set("source"))
-        each = self.table("documents").agg(names.alias("s")).select(F.posexplode("s").alias("i", "label"))
-        return each.select((F.col("i") + 1).cast("long").alias("drive_id"), "label", F.concat(F.lit("/mnt/"), "label").alias("mount_path"))
+        """One row per source, numbered by name."""
+        names = self.table("documents").where("source is not null").select(F.col("source").alias("label")).distinct()
+        return assign_ids(names, ["label"], "drive_id").select(F.col("drive_id").cast("long").alias("drive_id"), "label", F.concat(F.lit("/mnt/"), "label").alias("mount_path"))
 
     @cached_property
     def base(self) -> DataFrame:
