@@ -59,7 +59,7 @@ class PageTable:
 
     def reader(self):
         columns = self.spark.read.parquet(f"{self.root}/columns").schema
-        return self.spark.read.schema(columns.add("_place", "long").add("_part", "int")).option("basePath", f"{self.root}/rows")
+        return self.spark.read.schema(columns.add("_place", "long").add("_part", "integer")).option("basePath", f"{self.root}/rows")
 
     def counts(self) -> list[tuple[int, int]]:
         """(part, rows) in order, a number a part."""
