@@ -6,7 +6,7 @@ and neighbouring windows share theirs, so a text has one anchor for about fourte
 
 1. Each task takes the anchors of a few megabytes of texts as sorted runs, cut by range; the runs of a range are merged by
    binary search, which tells the anchors that more than one document has.
-2. Texts are cut at these anchors into pieces: the windows that share the anchor, together. Equal pieces are one, with the smallest id that has it.
+2. Later copies of whole texts apart, texts are cut at these anchors into pieces: the windows that share the anchor, together. Equal pieces are one, with the smallest id that has it.
 3. Pieces, in order of their anchors, are cut into shards. A shard's suffix array is made by Larsson and Sadakane's
    refinement, its common prefixes by Kasai's walk; suffixes with `length` bytes in common are one window, with the smallest id of its pieces.
    An anchor at the edge of a shard goes on in the next: its sorted windows leave the shard as a run, and such runs are
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ LENGTH, GRAM = 50, 24
 #: Windows in a piece, as many as bits of a number.
 WINDOWS = 64
 #: Bytes of texts whose anchors make one run, bytes looked at together, bytes of pieces in a shard, anchors in a range.
-RUN, SLICE, SHARD, RANGE = 4 << 20, 1 << 20, 2 << 20, 2_000_000
+RUN, SLICE, SHARD, RANGE = 4 << 20, 1 << 18, 1 << 20, 1_000_000
 #: Most documents whose names are broadcast, 16 bytes each, to pick them; more are picked by a shuffle.
 MAX_BROADCAST = 1_000_000
 NOBODY = (1 << 63) - 1
@@ -62,8 +64,8 @@ def window_anchors(data: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(low[: len(low) - (wide - size)], low[wide - size :])
 
 
-def anchor_runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of the text, first window, number of windows, anchor) of stretches of at most WINDOWS windows that share an anchor."""
+def anchor_runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretches of at most WINDOWS windows that share an anchor: index of the text, first window, number of windows, anchor, and where it starts in the bytes that come last."""
 
     def parts() -> Iterator[list[tuple[int, int, bytes]]]:
         held, n = [], 0
@@ -92,7 +94,15 @@ def anchor_runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, n
         start, n = np.repeat(start, times) + inner * WINDOWS, np.minimum(np.repeat(n, times) - inner * WINDOWS, WINDOWS)
         owner = np.array([i for i, _, _ in held], np.int64)[part[start]]
         shift = np.array([at for _, at, _ in held], np.int64) - first
-        yield owner, v[start] + shift[part[start]], n, low[start]
+        yield owner, v[start] + shift[part[start]], n, low[start], v[start], data
+
+
+def bunches(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about `size` bytes of `data` at a time, so that few texts become Python objects together."""
+    bunch = np.cumsum(pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(bunch)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
 
 
 def merge_sorted(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -125,43 +135,44 @@ def sorted_runs(rows: DataFrame, length: int, parts: int) -> DataFrame:
     Rows of kind 1 hold anchors that several of these documents have, for all of them; they pass through the merge.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def made(keys: list[int], texts: list[bytes], turn: int) -> pd.DataFrame:
-            found = [np.empty((2, 0), np.uint64)]
-            for owner, _, _, h in anchor_runs(texts, length):
-                found.append(np.array([h, owner.astype(np.uint64)]))
-            h, owner = np.concatenate(found, 1)
-            order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
-            h, owner = h[new], owner[new].astype(np.int64)
-            first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
-            many = ~np.concatenate((first[1:], [True]))[: len(h)]  # another document follows
-            names, out = np.array(keys, np.int64), []
-            again = many | ~first
-            if again.any():
-                out.append(packed(turn % parts, names, h[again], owner[again], many[again], 1))
-            h, owner, many = h[first], owner[first], many[first]
-            cut = np.searchsorted(h, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
-            for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(h)])):
-                if a < b:
-                    out.append(packed(i, names, h[a:b], owner[a:b], many[a:b], 0))
-            return pd.DataFrame(out, columns=[c.split()[0] for c in RUNS.split(", ")])
-
+    def made(keys: list[int], texts: list[bytes], turn: int) -> pa.RecordBatch:
+        found = [np.empty((2, 0), np.uint64)]
+        for owner, _, _, h, _, _ in anchor_runs(texts, length):
+            found.append(np.array([h, owner.astype(np.uint64)]))
+        h, owner = np.concatenate(found, 1)
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
+        h, owner = h[new], owner[new].astype(np.int64)
+        first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+        many = ~np.concatenate((first[1:], [True]))[: len(h)]  # another document follows
+        names, out = np.array(keys, np.int64), []
+        again = many | ~first
+        if again.any():
+            out.append(packed(turn % parts, names, h[again], owner[again], many[again], 1))
+        h, owner, many = h[first], owner[first], many[first]
+        cut = np.searchsorted(h, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
+        for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(h)])):
+            if a < b:
+                out.append(packed(i, names, h[a:b], owner[a:b], many[a:b], 0))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(6)], names=[c.split()[0] for c in RUNS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         keys, texts, n, turn = [], [], 0, context.partitionId() if context else 0
-        for pdf in batches:
-            for k, t in zip(pdf["key"].tolist(), pdf["data"]):
-                keys.append(k)
-                texts.append(t)
-                n += len(t)
+        for batch in batches:
+            for part in bunches(batch, RUN // 4):
+                keys += part.column("key").to_pylist()
+                texts += part.column("data").to_pylist()
+                n += sum(map(len, texts[len(texts) - part.num_rows :]))
                 if n >= RUN:
                     yield made(keys, texts, turn)
                     keys, texts, n, turn = [], [], 0, turn + 1
         if n:
             yield made(keys, texts, turn)
 
-    return rows.mapInPandas(run, RUNS)
+    return rows.select("key", "data").mapInArrow(run, RUNS)
 
 
 def merge_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,34 +196,49 @@ def merge_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": key[edge], "h": [x.tobytes() for x in np.split(h, edge[1:])] if len(edge) else []})
 
 
-PIECE = "h long, piece binary, key long, rank long, at long, n int"
+_BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+_BACK = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 
 
-def cut_pieces(rows: DataFrame, length: int) -> DataFrame:
-    """The pieces at shared anchors of rows (key, rank, data, hs: lists of anchors)."""
+def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each stretch of bytes."""
+    power, back = powers(len(data))[: len(data)], np.full(len(data) + 1, _BACK, np.uint64)
+    back[0] = 1
+    back, out = np.multiply.accumulate(back)[start], []
+    for table in _BYTES:
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(table[data] * power, dtype=np.uint64)))
+        out.append(mix((sums[end] - sums[start]) * back + (end - start).astype(np.uint64)).view(np.int64))
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data, known = pdf["data"].tolist(), [np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hs])) for hs in pdf["hs"]]
-            size = np.cumsum([0] + [len(t) for t in data]) // SLICE
-            cuts = [*np.flatnonzero(np.diff(size, prepend=-1)).tolist(), len(data)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == len(data):
-                    continue
-                for owner, at, n, h in anchor_runs(data[a:b], length):
-                    edge = np.searchsorted(owner, np.arange(b - a + 1))
-                    kept = [np.empty(0, np.int64)]
-                    for d in np.unique(owner):
-                        own, hs = h[edge[d] : edge[d + 1]], known[a + d]
-                        place = np.minimum(np.searchsorted(hs, own), len(hs) - 1)
-                        kept.append(edge[d] + np.flatnonzero(hs[place] == own))
+
+PIECE = "d1 long, d2 long, h long, key long, rank long, at long, n int, piece binary"
+
+
+def cut_pieces(rows: DataFrame, length: int) -> DataFrame:
+    """The pieces at shared anchors of rows (key, rank, data, hs: lists of anchors), each named by a 128-bit hash; where a task meets a piece again soon, its bytes are left out."""
+
+    names = [c.split()[0] for c in PIECE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bunches(batch, RUN):
+                known = [np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hs])) for hs in part.column("hs").to_pylist()]
+                keys, ranks = part.column("key").to_numpy(), part.column("rank").to_numpy()
+                for owner, at, n, h, start, buffer in anchor_runs(part.column("data").to_pylist(), length):
+                    kept = []
+                    for d in np.unique(owner).tolist():
+                        a, b = np.searchsorted(owner, (d, d + 1))
+                        hs = known[d]
+                        kept.append(a + np.flatnonzero(hs[np.minimum(np.searchsorted(hs, h[a:b]), len(hs) - 1)] == h[a:b]))
                     keep = np.concatenate(kept)
                     if len(keep):
-                        o, s, m = owner[keep] + a, at[keep], n[keep]
-                        pieces = [data[i][x:y] for i, x, y in zip(o.tolist(), s.tolist(), (s + m + length - 1).tolist())]
-                        yield pd.DataFrame({"h": h[keep].view(np.int64), "piece": pieces, "key": pdf["key"].to_numpy()[o], "rank": pdf["rank"].to_numpy()[o], "at": s, "n": m})
+                        o, s, m = owner[keep], start[keep], n[keep]
+                        d1, d2 = span_names(buffer, s, s + m + length - 1)
+                        pieces, new = np.full(len(keep), None, object), np.unique(d1, return_index=True)[1]
+                        pieces[new] = [buffer[x:y].tobytes() for x, y in zip(s[new].tolist(), (s + m + length - 1)[new].tolist())]
+                        yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (d1, d2, h[keep].view(np.int64), keys[o], ranks[o], at[keep], m.astype(np.int32))], pa.array(pieces, pa.binary())], names=names)
 
-    return rows.mapInPandas(run, PIECE)
+    return rows.select("key", "rank", "data", "hs").mapInArrow(run, PIECE)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -277,21 +303,22 @@ def as_bits(piece: np.ndarray, at: np.ndarray, pieces: int) -> np.ndarray:
     return np.packbits(grid, axis=1, bitorder="little").view("<i8").ravel()
 
 
-SHARDED = "d binary, first long, bits long, h long, shard string, windows binary, low binary, pieces binary, firsts binary, owner binary, at binary, of binary"
+SHARDED = "d1 long, d2 long, first long, bits long, h long, shard string, windows binary, low binary, pieces binary, firsts binary, owner binary, at binary, of binary"
 _NONE = (None,) * 9
 
 
 def shard_windows(held: list[tuple], length: int, name: str) -> pd.DataFrame:
-    """Of one shard's pieces (h, d, piece, first), in order of h: (d, first, bits) of pieces whose anchor is inside, a row of windows for the first and the last anchor.
+    """Of one shard's pieces (h, piece, first, d1, d2), in order of h: (d1, d2, first, bits) of pieces whose anchor is inside, a row of windows for the first and the last anchor.
 
     bits: the windows that a piece with a smaller first id has too. A row of windows: them, sorted, with the smallest first id of each; the pieces with
     their first ids; and for each window of a piece its owner, its place and its number in the row.
     """
     h = np.array([x[0] for x in held], np.int64)
-    first = np.array([x[3] for x in held], np.int64)
-    sizes = np.array([len(x[2]) for x in held], np.int64)
+    first = np.array([x[2] for x in held], np.int64)
+    names = np.array([x[3:] for x in held], np.int64)
+    sizes = np.array([len(x[1]) for x in held], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    data = np.frombuffer(b"\xff".join(x[2] for x in held) + b"\xff", np.uint8)
+    data = np.frombuffer(b"\xff".join(x[1] for x in held) + b"\xff", np.uint8)
     order = suffix_array(data)
     shared = common_prefixes(data, order, starts, sizes, length)
     piece = np.repeat(np.arange(len(held)), sizes + 1)
@@ -306,28 +333,27 @@ def shard_windows(held: list[tuple], length: int, name: str) -> pd.DataFrame:
     hit = low[group] < first[owner]
     bits = as_bits(owner[hit], place[hit], len(held))
     edge = np.isin(h, [h[0], h[-1]])
-    out = [(held[i][1], int(first[i]), int(bits[i]), *_NONE) for i in np.flatnonzero(~edge & (bits != 0)).tolist()]
+    out = [(*held[i][3:], int(first[i]), int(bits[i]), *_NONE) for i in np.flatnonzero(~edge & (bits != 0)).tolist()]
     for anchor in dict.fromkeys((int(h[0]), int(h[-1]))):
         mine = np.flatnonzero(h == anchor)
         own = np.flatnonzero((owner >= mine[0]) & (owner <= mine[-1]))
-        names, of = np.unique(group[own], return_inverse=True)
-        head = order[valid[np.flatnonzero(new)[names]]]
+        groups, of = np.unique(group[own], return_inverse=True)
+        head = order[valid[np.flatnonzero(new)[groups]]]
         windows = b"".join(data[p : p + length].tobytes() for p in head.tolist())
-        lows = low[names]
-        out.append((None, None, None, anchor, name, windows, lows.tobytes(), b"".join(held[i][1] for i in mine), first[mine].tobytes(), (owner[own] - mine[0]).astype(np.int32).tobytes(), place[own].astype(np.int32).tobytes(), of.astype(np.int32).tobytes()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SHARDED.split(", ")], dtype=object).astype({"first": "Int64", "bits": "Int64", "h": "Int64"})
+        out.append((None, None, None, None, anchor, name, windows, low[groups].tobytes(), names[mine].tobytes(), first[mine].tobytes(), (owner[own] - mine[0]).astype(np.int32).tobytes(), place[own].astype(np.int32).tobytes(), of.astype(np.int32).tobytes()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SHARDED.split(", ")], dtype=object).astype({c: "Int64" for c in ("d1", "d2", "first", "bits", "h")})
 
 
 def sharded(pieces: DataFrame, length: int, shard: int) -> DataFrame:
-    """shard_windows of pieces (h, d, piece, first), which partitions hold in order of h; a shard ends after `shard` bytes, in the middle of an anchor if need be."""
+    """shard_windows of pieces (h, piece, first, d1, d2), which partitions hold in order of h; a shard ends after `shard` bytes, in the middle of an anchor if need be."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         held, n, turn = [], 0, 0
         for pdf in batches:
-            for x in zip(pdf["h"].tolist(), pdf["d"], pdf["piece"], pdf["first"].tolist()):
+            for x in zip(pdf["h"].tolist(), pdf["piece"], pdf["first"].tolist(), pdf["d1"].tolist(), pdf["d2"].tolist()):
                 held.append(x)
-                n += len(x[2])
+                n += len(x[1])
                 if n >= shard:
                     yield shard_windows(held, length, f"{context.partitionId()}-{turn}")
                     held, n, turn = [], 0, turn + 1
@@ -338,7 +364,7 @@ def sharded(pieces: DataFrame, length: int, shard: int) -> DataFrame:
 
 
 def merged_edges(edges: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """d, first, bits of the pieces in rows of windows (sharded's), after the rows of an anchor are merged, in as many parts as there are."""
+    """d1, d2, bits of the pieces in rows of windows (sharded's), after the rows of an anchor are merged, in as many parts as there are."""
     sizes = edges.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("parts"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -367,14 +393,16 @@ def merged_edges(edges: DataFrame, length: int, scratch: Scratch) -> DataFrame:
             owner, at, of = (np.frombuffer(x, np.int32) for x in (owner, at, of))
             hit = low[of] < first[owner]
             bits = as_bits(owner[hit], at[hit], len(first))
-            out += [(pieces[16 * i : 16 * i + 16], int(first[i]), int(bits[i])) for i in np.flatnonzero(bits).tolist()]
-        return pd.DataFrame(out, columns=["d", "first", "bits"])
+            some = np.flatnonzero(bits)
+            d1, d2 = np.frombuffer(pieces, np.int64).reshape(-1, 2)[some].T
+            out.append(pd.DataFrame({"d1": d1, "d2": d2, "bits": bits[some]}))
+        return pd.concat(out)
 
     slim = edges.select("h", "shard", "windows", "low").join(sizes, "h")
     parts = slim.mapInPandas(cut, "h long, part int, shard string, windows binary, low binary, at binary")
     least = parts.groupBy("h", "part").applyInPandas(merge, "h long, shard string, low binary, at binary")
     rows = edges.select("h", "shard", "low", "pieces", "firsts", "owner", "at", "of")
-    return rows.groupBy("h", "shard").cogroup(least.groupBy("h", "shard")).applyInPandas(finish, "d binary, first long, bits long")
+    return rows.groupBy("h", "shard").cogroup(least.groupBy("h", "shard")).applyInPandas(finish, "d1 long, d2 long, bits long")
 
 
 def removed(data: bytes, at: np.ndarray, bits: np.ndarray, length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -387,28 +415,31 @@ def removed(data: bytes, at: np.ndarray, bits: np.ndarray, length: int) -> tuple
     return list(zip(first, last)), b"".join(data[a:b] for a, b in zip([0, *last], [*first, len(data)]))
 
 
-def repeated_windows(rows: DataFrame, *, length: int = LENGTH, shard: int = SHARD, scratch: Scratch) -> DataFrame:
-    """key, rank, hits (list of (at, bits)) of rows (key, rank, data) with windows that a smaller rank has."""
-    total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+def few(names: DataFrame) -> DataFrame:
+    return F.broadcast(names) if names.count() <= MAX_BROADCAST else names
+
+
+def repeated_windows(rows: DataFrame, total: int, *, length: int = LENGTH, shard: int = SHARD, scratch: Scratch) -> DataFrame:
+    """key, rank, hits (list of (at, bits)) of rows (key, rank, data; `total` bytes) with windows that a smaller rank has."""
     parts = max(partitions(rows.sparkSession), total // (14 * RANGE) + 1)
     runs = sorted_runs(rows.select("key", "data").where(F.octet_length("data") >= length), length, parts)
     shared = scratch.settle(runs.groupBy("part").applyInPandas(merge_ranges, "key long, h binary"), "shared")
-    keys = shared.select("key").distinct()
-    few = F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
-    texts = rows.join(few, "key", "left_semi").join(shared.groupBy("key").agg(F.collect_list("h").alias("hs")), "key")
-    found = cut_pieces(texts.select("key", "rank", "data", "hs"), length)
-    occurring = scratch.settle(found.withColumn("d", F.unhex(F.md5("piece"))), "pieces")
-    single = scratch.settle(occurring.groupBy("d").agg(F.first("h").alias("h"), F.first("piece").alias("piece"), F.min("rank").alias("first")), "distinct")
-    several = single.groupBy("h").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("piece")).alias("bytes")).where("pieces > 1")
-    several = scratch.settle(several, "several")
-    size = several.agg(F.sum("bytes")).first()[0] or 0
-    work = single.join(several.select("h"), "h", "left_semi").repartitionByRange(max(partitions(rows.sparkSession), size // shard + 1), "h", "d").sortWithinPartitions("h", "d")
-    shards = scratch.settle(sharded(work.select("h", "d", "piece", "first"), length, shard), "shards")
-    edges = shards.where("d is null").select("h", "shard", "windows", "low", "pieces", "firsts", "owner", "at", "of")
-    bits = shards.where("d is not null").select("d", "bits").unionByName(merged_edges(edges, length, scratch).select("d", "bits"))
-    facts = scratch.settle(single.select("d", "first").join(bits, "d", "left"), "facts")
-    all_of = F.when(F.col("n") >= WINDOWS, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1)
-    met = occurring.select("d", "key", "rank", "at", "n").join(facts, "d").withColumn("bits", F.when(F.col("rank") > F.col("first"), all_of).otherwise(F.coalesce("bits", F.lit(0).cast("long"))))
+    texts = rows.join(few(shared.select("key").distinct()), "key", "left_semi").join(shared.groupBy("key").agg(F.collect_list("h").alias("hs")), "key")
+    pieces = scratch.settle(cut_pieces(texts.select("key", "rank", "data", "hs"), length), "pieces")
+    name = ["d1", "d2"]
+    firsts = scratch.settle(pieces.groupBy(*name).agg(F.first("h").alias("h"), F.min("rank").alias("first")), "firsts")
+    # An anchor with one piece has nothing to compare: its windows came first where the piece did.
+    several = scratch.settle(firsts.join(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h").select("h", "first", *name), "several")
+    held = pieces.where("piece is not null").select(*name, "piece").join(several, name, "left_semi").dropDuplicates(name)
+    work = scratch.settle(held.join(several, name).select("h", "piece", "first", *name), "work")
+    size = work.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    order = work.repartitionByRange(max(partitions(rows.sparkSession), size // shard + 1), "h", *name).sortWithinPartitions("h", *name)
+    shards = scratch.settle(sharded(order, length, shard), "shards")
+    edges = shards.where("d1 is null").select("h", "shard", "windows", "low", "pieces", "firsts", "owner", "at", "of")
+    bits = shards.where("d1 is not null").select(*name, "bits").unionByName(merged_edges(edges, length, scratch))
+    facts = scratch.settle(firsts.select(*name, "first").join(bits, name, "left"), "facts")
+    every = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), WINDOWS - F.col("n"))
+    met = pieces.select(*name, "key", "rank", "at", "n").join(facts, name).withColumn("bits", F.when(F.col("rank") > F.col("first"), every).otherwise(F.coalesce("bits", F.lit(0).cast("long"))))
     return met.where("bits <> 0").groupBy("key", "rank").agg(F.collect_list(F.struct("at", "bits")).alias("hits"))
 
 
@@ -423,20 +454,27 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, shard: int = SHARD,
     scratch = Scratch(docs.sparkSession)
     data, number = F.coalesce(docs[text].cast("binary"), F.lit(b"")), docs[doc].cast("long")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(number, data).alias("key"), F.coalesce(number, F.lit(NOBODY)).alias("rank"), data.alias("data"))
-    hits = scratch.settle(repeated_windows(rows.drop("row"), length=length, shard=shard, scratch=scratch), "hits")
-    scratch.clear(but=1)
-    names = hits.select("key", "rank")
-    few = F.broadcast(names) if names.count() <= MAX_BROADCAST else names
+    # Later copies of a whole text go whole and tell nothing new, however many they are.
+    slim = scratch.settle(rows.select("key", "rank", F.octet_length("data").alias("n"), F.unhex(F.md5("data")).alias("t")).where(F.col("n") >= length), "slim")
+    copies = slim.groupBy("t").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    later = scratch.settle(slim.join(copies, "t").where(F.col("rank") > F.col("first")).select("key", "rank").distinct(), "copies")
+    total = slim.agg(F.sum("n")).first()[0] or 0
+    hits = scratch.settle(repeated_windows(rows.drop("row").join(few(later), ["key", "rank"], "left_anti"), total, length=length, shard=shard, scratch=scratch), "hits")
+    known = scratch.settle(hits.select("key", "rank", F.lit(False).alias("whole")).unionByName(later.withColumn("whole", F.lit(True))), "known")
+    scratch.clear(but=2)
 
     @F.pandas_udf("spans array<struct<start: long, end: long>>, kept binary")
     def taken(data: pd.Series, at: pd.Series, bits: pd.Series) -> pd.DataFrame:
         found = [removed(t, np.asarray(a, np.int64), np.asarray(b, np.int64), length) for t, a, b in zip(data, at, bits)]
         return pd.DataFrame({"spans": [[{"start": a, "end": b} for a, b in s] for s, _ in found], "kept": [k for _, k in found]})
 
-    whole = rows.join(few, ["key", "rank"], "left_anti")
-    whole = whole.select("row", "data", F.array().cast("array<struct<start: long, end: long>>").alias("spans"), F.col("data").alias("kept"))
-    hit = rows.join(few, ["key", "rank"], "left_semi").join(hits, ["key", "rank"]).select("row", "data", taken("data", F.col("hits.at"), F.col("hits.bits")).alias("w"))
-    return whole.unionByName(hit.select("row", "data", "w.spans", "w.kept"))
+    spans = "array<struct<start: long, end: long>>"
+    same = rows.join(few(known), ["key", "rank"], "left").where("whole is null or whole")
+    size = F.octet_length("data").cast("long")
+    gone = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))).cast(spans)
+    same = same.select("row", "data", F.when(F.col("whole"), gone).otherwise(F.array().cast(spans)).alias("spans"), F.when(F.col("whole"), F.lit(b"")).otherwise(F.col("data")).alias("kept"))
+    hit = rows.join(few(known.where("not whole")), ["key", "rank"], "left_semi").join(hits, ["key", "rank"]).select("row", "data", taken("data", F.col("hits.at"), F.col("hits.bits")).alias("w"))
+    return same.unionByName(hit.select("row", "data", "w.spans", "w.kept"))
 
 
 def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
