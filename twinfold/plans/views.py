@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import media_type
@@ -15,23 +18,33 @@ from ..session import settle
 
 EXTENSIONS = (".jpg", ".PNG", ".mp4", ".txt")
 LARGE = 4000
+#: Words whose bits are added up together.
+WORDS = 1 << 18
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, phash: 64-bit word SimHash as hex. Two of the 64 counters share a sum, 31 bits each."""
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").select("doc_id", F.md5(F.col("w").cast("binary")).alias("m"))
-    halves = words.select("doc_id", *[F.conv(F.substring("m", 1 + 8 * i, 8), 16, 10).cast("long").alias(f"h{i}") for i in (0, 1)])
-    bit = lambda h, i: F.shiftright(F.col(h), i).bitwiseAND(F.lit(1).cast("long"))
-    sums = halves.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit("h0", i) + F.shiftleft(bit("h1", i), 31)).alias(f"s{i}") for i in range(32)])
-
-    def half(k: int) -> Column:
-        counts = [F.shiftright(F.col(f"s{i}"), 31) if k else F.col(f"s{i}").bitwiseAND(F.lit((1 << 31) - 1).cast("long")) for i in range(32)]
-        whole = F.lit(0).cast("long")
-        for i, c in enumerate(counts):
-            whole = whole + F.when(2 * c > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        return F.lower(F.lpad(F.hex(whole), 8, "0"))
-
-    return sums.select("doc_id", F.concat(half(0), half(1)).alias("phash"))
+    """doc_id, phash: 64-bit word SimHash as hex, of documents with a word. Each distinct word of a batch is hashed once, and no row per word is shuffled."""
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        split = [t.split() for t in texts]
+        sizes = np.array([len(w) for w in split], np.int64)
+        codes, words = pd.factorize(np.array([w for ws in split for w in ws] + [b""], object)[:-1])
+        bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in words), np.uint8).reshape(-1, 8), axis=1)
+        ends, out, i = np.cumsum(sizes), [None] * len(split), 0
+        while i < len(split):  # some documents at a time, since each word takes 64 bytes
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WORDS)))
+            some = i + np.flatnonzero(sizes[i:j])
+            if len(some):
+                first = ends[some] - sizes[some]
+                sums = np.add.reduceat(bits[codes[first[0] : ends[some[-1]]]], first - first[0], dtype=np.int64)
+                for d, x in zip(some, np.packbits(2 * sums > sizes[some][:, None], axis=1)):
+                    out[d] = x.tobytes().hex()
+            i = j
+        return pd.Series(out, dtype=object)
+
+    lowered = F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
+    return docs.select("doc_id", hashed(lowered).alias("phash")).where("phash is not null")
 
 
 class Views:
