@@ -53,6 +53,20 @@ def test_prediction_by_loops():
         assert got[0] == model.languages[best] and abs(got[1] - p[best]) < 1e-4 and (abs(p[best] - model.threshold) < 1e-4 or got[2] == (p[best] < model.threshold))
 
 
+def test_long_texts_by_slices(spark, monkeypatch):
+    """A text looked up in slices scores as at once; texts beyond LONGEST are learned from by a piece."""
+    model = langid.fit(*sample(60, 1))
+    long = " ".join(sample(40, 6)[0]) + "é" * 50 + " 1 " * 40
+    whole = model.logits(long)
+    for size in (5, 64, 999, len(langid.cleaned(long)) - 1):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert np.abs(model.logits(long) - whole).max() < 1e-5
+    monkeypatch.setattr(langid, "LONGEST", 400)
+    docs = spark.createDataFrame([(i, (TEXTS[k] + " ") * 40, k) for i, k in enumerate(sorted(TEXTS) * 20)], "doc_id long, text string, lang string")
+    learned = langid.train(docs)
+    assert all(learned.predict(t)[0] == k for k, t in TEXTS.items())
+
+
 def test_fit_by_loops():
     """The same draws, every product written out: embeddings, output weights and bias after stochastic gradient descent."""
     texts, labels = sample(14, 3)

@@ -17,11 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import give_back
+
 ORDERS, BITS, DIM = (2, 3, 4), 16, 16
 #: Rows that the model is fitted on, in all and for one language.
 SAMPLE, PER_LANGUAGE = 6000, 500
-#: Bytes of a text up to which it may be drawn, so that the sample's size is bounded too.
+#: Bytes that are learned from a text at most, so that the sample's size is bounded too: of a longer one a piece, from a place drawn by its id.
 LONGEST = 1 << 16
+#: Bytes of a text whose subwords are looked up together.
+SLICE = 1 << 20
 #: Share of held-back labelled texts that rejection may cost, and a score that is never rejected.
 REJECT_SHARE, SURE = 0.002, 0.5
 NONE = "und"
@@ -34,10 +38,19 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
+def cleaned(text: str) -> np.ndarray:
+    """The bytes whose n-grams are subwords: letters and signs beyond ASCII, one space between them and at either end."""
+    data = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").translate(_CLEAN) + b" ", np.uint8)
+    gap = data == 32
+    return data[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]
+
+
 def buckets(text: str) -> np.ndarray:
     """A bucket for every subword of the text."""
-    data = b" ".join(text.encode("utf-8", "surrogatepass").translate(_CLEAN).split())
-    a = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
+    return hashed(cleaned(text).astype(np.uint32))
+
+
+def hashed(a: np.ndarray) -> np.ndarray:
     out, gram = [], a
     for n in range(2, max(ORDERS) + 1):
         if len(gram) < 2:
@@ -45,7 +58,7 @@ def buckets(text: str) -> np.ndarray:
         gram = gram[:-1] << np.uint32(8) | a[n - 1 :]
         if n in ORDERS:
             out.append((gram + np.uint32(n)) * _GOLD >> np.uint32(32 - BITS))
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
 @dataclass
@@ -57,7 +70,16 @@ class Model:
     threshold: float
 
     def logits(self, text: str) -> np.ndarray:
-        return self.table[buckets(text)].mean(0) + self.bias
+        a = cleaned(text)
+        if len(a) <= SLICE:
+            return self.table[hashed(a.astype(np.uint32))].mean(0) + self.bias
+        # Of a long text subwords are counted a slice at a time; those that begin in the next slice are left to it.
+        counts, over = np.zeros(len(self.table)), max(ORDERS) - 1
+        for i in range(0, len(a), SLICE):
+            counts += np.bincount(hashed(a[i : i + SLICE + over].astype(np.uint32)), minlength=len(counts))
+            if len(tail := a[i + SLICE : i + SLICE + over]) > 1:
+                counts -= np.bincount(hashed(tail.astype(np.uint32)), minlength=len(counts))
+        return counts @ self.table / counts.sum() + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, probability after calibration, rejected."""
@@ -125,7 +147,10 @@ def labelled_sample(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, *, doc="doc_id", text="text", lang="lang") -> Model:
     """Learn from labelled rows whose id doesn't fall in the held-out fold."""
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= LONGEST))
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    most = LONGEST // 4  # code points
+    place = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.lit(1), F.length("text") - most)).cast("int") + 1
+    rows = rows.withColumn("text", F.when(F.octet_length("text") > LONGEST, F.substr("text", place, F.lit(most))).otherwise(F.col("text")))
     sample = labelled_sample(rows).select("text", "lang", "doc_id").where(F.col("text").isNotNull()).orderBy("doc_id", "text").toPandas()
     return fit(list(sample["text"]), list(sample["lang"]))
 
@@ -156,6 +181,7 @@ def drop_unidentified(docs: DataFrame, *, doc="doc_id", text="text", lang="lang"
     def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([not model.predict(t)[2] for t in texts], dtype=bool)
+        give_back()
 
     return docs.where(accepted(F.col(text)))
 
