@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch, settle
-from .text import mix, space_words
+from .text import give_back, mix, space_words
 
 WIDTH, PERCENT = 5, 80
 COORDS, ROWS, MATCH = 24, 3, 2
@@ -75,29 +76,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def sign(docs: DataFrame, width: int, *, doc="doc_id", text="text") -> DataFrame:
     """doc_id, n (set size), set_a, set_b (a 128-bit name of the set), signature (null for empty sets)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 64):
-                part = pdf.iloc[i : i + 64]
-                sets = shingle_sets(list(part["text"]), width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):  # few texts become Python objects together
+                part = batch.slice(i, 64)
+                sets = shingle_sets(part.column("text").to_pylist(), width)
                 full = [s for s in sets if len(s)]
                 found = iter(signatures(full).view(np.int64) if full else ())
                 name = [(mix(s ^ _A).sum(dtype=np.uint64), mix(s ^ _B).sum(dtype=np.uint64)) for s in sets]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"],
-                        "named": part["named"],
-                        "n": [len(s) for s in sets],
-                        "set_a": np.array([a for a, _ in name], np.uint64).view(np.int64),
-                        "set_b": np.array([b for _, b in name], np.uint64).view(np.int64),
-                        "signature": [next(found) if len(s) else None for s in sets],
-                    }
-                )
-
-    # A column with nulls would come as floating numbers.
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col(doc).isNotNull().alias("named"), F.col(text).alias("text"))
-    signed = rows.mapInPandas(run, "doc_id long, named boolean, n long, set_a long, set_b long, signature array<long>")
-    return signed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
+                set_a, set_b = (np.array([x[k] for x in name], np.uint64).view(np.int64) for k in (0, 1))
+                signed = pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a), pa.array(set_b), signed], names=["doc_id", "n", "set_a", "set_b", "signature"])
+        give_back()
+
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, signature array<long>")
 
 
 def alike(n: str, m: str, percent: int):
@@ -149,6 +141,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scrat
                     if any(n and 100 * n >= percent * (size + len(s) - n) for n, size in common):
                         out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
+        give_back()
 
     return dealt.mapInPandas(run, "a long, b long")
 

@@ -34,7 +34,7 @@ LEAVES = 2 * CONTEXTS
 BURN, KEEP, STEADY = 2, 3, 64
 STRENGTH = 1.0
 END = np.uint64(0x5EED0FE7D0C5)
-#: Training tokens for which there is one bucket at least, and text bytes and tokens handled at once.
+#: Training or scored tokens for which there is one bucket at least, and text bytes and tokens handled at once.
 PER_BUCKET, BYTES, TOKENS = 20_000_000, 4 << 20, 6_000_000
 LEVELS = LEAVES + CONTEXTS + 1  # restaurants: leaves, then parents, then the root
 
@@ -306,7 +306,9 @@ def score_documents(docs: DataFrame, train: DataFrame, *, doc="doc_id", text="te
     favourites = np.sort(by_count[by_count != END][: CONTEXTS - 1])
     order = np.argsort(by_count)
     words, word_n = by_count[order], n[order]
-    buckets = max(partitions(spark), total // PER_BUCKET)
+    # Scored tokens meet their bucket too; a token has six bytes, about, with the space behind it.
+    scored = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 6
+    buckets = max(partitions(spark), total // PER_BUCKET, scored // PER_BUCKET)
     packed = settle(seat_counts(train, favourites, buckets), "seats")
 
     first = gather(packed, vocabulary, [], None)

@@ -15,20 +15,26 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from types import ModuleType
 from unicodedata import category
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, partitions, remove
+from .text import give_back
 
 #: Tokens after which a block ends; a longer document has a block to itself.
 BLOCK = 1 << 19
 #: Code points that are encoded at once, about; a longer text goes alone.
-SIGNS = 1 << 21
+SIGNS = 1 << 19
+#: Bytes of texts that a task turns into Python objects together.
+SLICE = 4 << 20
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 SIZES = (_CODES + 1).astype(np.uint8)  # bytes of the four ranks of each control byte
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -65,22 +71,30 @@ class Encoder:
     its signs. Texts with ODD signs or a special token go to the library whole, as do all texts if the tokenizer is of another kind.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        about = json.loads(self.tokenizer.to_str())
+        self.path, self.keep, self.known = path, keep, {}
+        tokenizer = Tokenizer.from_file(path)
+        about = json.loads(tokenizer.to_str())
         self.special = [t["content"] for t in about["added_tokens"]]
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(self.code)
         before, model = about["pre_tokenizer"] or {}, about["model"]
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.by_pieces = about["normalizer"] is None and all(about[k] is None for k in ("truncation", "padding")) and {k: before.get(k) for k in usual} == usual and model["type"] == "BPE" and not model["dropout"]
         if self.by_pieces:
             self.kinds = kinds()
+            del tokenizer  # two at a time would take twice the memory; the other is read again if a text asks for it
             self.bare = Tokenizer.from_str(json.dumps(about | {"pre_tokenizer": before | {"use_regex": False}, "post_processor": None}))
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -248,19 +262,27 @@ def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None
     width = 2 if vocabulary <= 1 << 16 else 4
     stored = new_path(spark, "ids")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, times, seq = (worker_encoder if lasting else Encoder)(tokenizer), np.zeros(vocabulary, np.int64), 0
         tail = b"" if end is None else np.array([end], f"<u{width}").tobytes()
-        for pdf in batches:
-            ids = [x + tail for x in encoder([t if isinstance(t, str) else "" for t in pdf["text"]])]
-            times += np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=vocabulary)
-            place = np.where(pdf["seq"] < 0, np.arange(seq, seq + len(pdf)), pdf["seq"])
-            yield pd.DataFrame({"shard": pdf["shard"], "seq": place, "doc_id": pdf["doc_id"], "named": pdf["named"], "ids": ids, "seen": None, "times": None})
-            seq += len(pdf)
+        kinds = pa.schema([("shard", pa.string()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("named", pa.bool_()), ("ids", pa.binary()), ("seen", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+        for batch in batches:
+            # Texts become Python objects about SLICE bytes at a time.
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for part in (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:])):
+                ids = [x + tail for x in encoder([t or "" for t in part.column("text").to_pylist()])]
+                times += np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=vocabulary)
+                n, place = part.num_rows, part.column("seq").to_numpy()
+                place = np.where(place < 0, np.arange(seq, seq + n), place)
+                yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array(place, pa.int64()), part.column("doc_id"), part.column("named"), pa.array(ids, pa.binary()), pa.nulls(n, kinds.field("seen").type), pa.nulls(n, kinds.field("times").type)], schema=kinds)
+                seq += n
+        del encoder
+        give_back()
         seen = np.flatnonzero(times)
-        yield pd.DataFrame({"shard": [None], "seq": [-1], "doc_id": [0], "named": [False], "ids": [None], "seen": [seen], "times": [times[seen]]})
+        yield pa.RecordBatch.from_pydict({"shard": [None], "seq": [-1], "doc_id": [0], "named": [False], "ids": [None], "seen": [seen.tolist()], "times": [times[seen].tolist()]}, schema=kinds)
 
-    rows.mapInPandas(encode, STORED).write.option("compression", "zstd").parquet(stored)
+    rows.select("shard", "seq", "doc_id", "named", "text").mapInArrow(encode, STORED).write.option("compression", "zstd").parquet(stored)
     ids = spark.read.schema(STORED).parquet(stored)
     # One row for each id of the vocabulary at most.
     each = ids.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("x")).groupBy("x.seen").agg(F.sum("x.times").alias("n"))
