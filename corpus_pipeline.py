@@ -14,12 +14,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five words, 0.8) the document with the smallest id stays."""
+    """Of each class of near copies (five words, 0.8) the document with the smallest id stays. Texts without words and rows without an id are in no class and stay; of equal rows one stays."""
     return dedup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any passage of the benchmark go."""
+    """Documents with any passage of the benchmark go. Null and empty texts have none and stay, as does every document if the benchmark is empty."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -29,7 +29,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows in the order of the mixture, which is that of docs' files, described as read back."""
+    """Token files of all rows in the order of the mixture, which is that of docs' files, described as read back. Null texts are the end mark alone; null ids stay null."""
     return tokens.token_files(tokens.file_order(docs))
 
 
@@ -46,6 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Rows without an id, null and very long texts and repeated rows go through; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
