@@ -148,7 +148,26 @@ def test_lm_base_and_gain(spark, sf_dir):
         assert r["n_tokens"] == len(w) and r["train_tokens"] == n and r["n_known"] == sum(x in counts for x in w)
         assert abs(r["base_score"] - base) < 1e-6 * abs(base)
     held = [r for r in out if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    pairs, follow, before = {}, {}, {}
+    for i, w in rows.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for a, b in zip([0, *w], w):
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    for (a, b), c in pairs.items():
+        x = follow.setdefault(a, [0, 0])
+        x[0], x[1], before[b] = x[0] + c, x[1] + 1, before.get(b, 0) + 1
+    # A plain interpolated bigram with one discount at each level.
+    once, twice = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    d, bigram = once / (once + 2 * twice), 0.0
+    for r in held:
+        for a, b in zip([0, *rows[r["doc_id"]]], rows[r["doc_id"]]):
+            up = max(before.get(b, 0) - d, 0) / len(pairs) + d * len(before) / len(pairs) / (v + 1)
+            c, k = follow.get(a, (0, 0))
+            bigram += math.log10((max(pairs.get((a, b), 0) - d, 0) + d * k * up) / c if c else up)
+    n_held = sum(r["n_tokens"] for r in held)
+    found, plain, base = (10 ** (-x / n_held) for x in (sum(r["score"] for r in held), bigram, sum(r["base_score"] for r in held)))
+    print(f"held-out perplexity: model {found:.0f}, bigram {plain:.0f}, base {base:.0f}")
+    assert found < 1.02 * plain and found < base
 
 
 def test_reseating_follows_the_restaurant_rule():
@@ -175,26 +194,28 @@ class Row:
         self.bucket, self.w, self.leaf, self.n = row["bucket"], bytes(row["w"]), bytes(row["leaf"]), bytes(row["n"])
 
 
-@pytest.mark.parametrize("head", [lm.HEAD, 3])
-def test_lm_scores_against_a_slow_version(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "part"), [(lm.HEAD, lm.PER_BUCKET), (3, 25)])
+def test_lm_scores_against_a_slow_version(spark, monkeypatch, head, part):
     """Scores from the sampled seats by dictionaries, one token at a time; and every restaurant's probabilities sum to one."""
     monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "PER_BUCKET", part)
     monkeypatch.setattr(lm, "CONTEXTS", 4)
     monkeypatch.setattr(lm, "LEAVES", 8)
+    monkeypatch.setattr(lm, "OWN", 4)
     monkeypatch.setattr(lm, "LEVELS", 13)
     seen = {}
     plain = lm.head_table
-    monkeypatch.setattr(lm, "head_table", lambda packed, words, vocabulary, history, discounts: seen.update(packed=packed.collect(), v=vocabulary, h=history, d=discounts) or plain(packed, words, vocabulary, history, discounts))
+    monkeypatch.setattr(lm, "head_table", lambda packed, words, *rest: seen.update(packed=packed.collect(), rest=rest) or plain(packed, words, *rest))
     names = "aa bb cc dd ee ff gg".split()
     train = [(i, " ".join(random.Random(i).choices(names, [9, 5, 3, 2, 1, 1, 1], k=30))) for i in range(20)]
     docs = train + [(50, "aa unheard bb"), (51, None), (52, "zz"), (None, "aa aa"), (None, "aa aa"), (53, "gg " * 40)]
     schema = "doc_id long, text string"
     got = lm.score_documents(spark.createDataFrame(docs, schema), spark.createDataFrame(train, schema)).collect()
-    v, history, d = seen["v"], seen["h"], seen["d"]
+    parents, v, history = seen["rest"]
     assert len(history) == lm.BURN + lm.KEEP + 1
     samples = [{"leaf": {}, "parent": {}, "root": {}} for _ in range(lm.KEEP)]
     for row in map(Row, seen["packed"]):
-        for k, (s, _) in enumerate(lm.kept_samples(row, v, history, d)):
+        for k, (s, _) in enumerate(lm.kept_samples(row, parents, v, history)):
             c = s.customers()
             for i, (leaf, up) in enumerate(zip(s.leaf, s.parent)):
                 samples[k]["leaf"][int(leaf), int(s.words[s.root[up]])] = (int(c[0][i]), int(s.tables[0][i]))
@@ -205,11 +226,12 @@ def test_lm_scores_against_a_slow_version(spark, monkeypatch, head):
     level = {"leaf": (0, 0), "parent": (1, lm.LEAVES), "root": (2, lm.LEVELS - 1)}
 
     def p(k, kind, at, w):
-        up = 1 / (v + 1) if kind == "root" else p(k, "root", 0, w) if kind == "parent" else p(k, "parent", at >> 1, w)
+        up = 1 / (v + 1) if kind == "root" else p(k, "root", 0, w) if kind == "parent" else p(k, "parent", int(parents[at]), w)
         own = [x for (a, _), x in samples[k][kind].items() if a == at]
         customers, tables = sum(c for c, _ in own), sum(t for _, t in own)
         place = level[kind][1] + at
-        assert (history[lm.BURN + 1 + k][0][place], history[lm.BURN + 1 + k][1][place]) == (customers, tables)
+        totals, d = history[lm.BURN + 1 + k]
+        assert (totals[0][place], totals[1][place]) == (customers, tables)
         c, t = samples[k][kind].get((at, w), (0, 0))
         return (c - d[level[kind][0]] * t + (lm.STRENGTH + d[level[kind][0]] * tables) * up) / (lm.STRENGTH + customers)
 
@@ -223,17 +245,21 @@ def test_lm_scores_against_a_slow_version(spark, monkeypatch, head):
         for w in words(t):
             counts[w] = counts.get(w, 0) + 1
     code = {w: int(text.space_words([w.encode()])[0][0]) for w in {*names, "unheard", "zz"}}
-    top = sorted(counts, key=lambda w: (-counts[w], code[w] if code[w] < 1 << 63 else code[w] - (1 << 64)))[: lm.CONTEXTS - 1]
-    number = {code[w]: i + 1 for i, w in enumerate(sorted(top, key=code.get))}
+    top = sorted(counts, key=lambda w: (-counts[w], code[w] if code[w] < 1 << 63 else code[w] - (1 << 64)))
+    number = {code[w]: i + 1 for i, w in enumerate(sorted(top[: lm.OWN - 1], key=code.get))}
+    favourites = sorted(code[w] for w in top[: lm.CONTEXTS - 1])
+    slot = lambda w: number.get(w) or lm.OWN + (w >> 20) % (lm.LEAVES - lm.OWN)
+    met = [[0] * lm.CONTEXTS for _ in range(lm.LEAVES)]
+    for _, t in train:
+        for a, b in itertools.pairwise(code[w] for w in words(t)):
+            met[slot(b)][1 + favourites.index(a) if a in favourites else 0] += 1
+    assert [int(x) for x in parents] == [max(range(1, lm.CONTEXTS), key=lambda c: m[c]) if any(m[1:]) else 0 for m in met]
     want = []
     for i, t in docs:
-        total, last = 0.0, None
-        tokens = [code[w] for w in words(t)] + [int(lm.END)]
-        for j, w in enumerate(tokens):
-            near = j == 0 or (last is not None and last[0] == j - 1)
-            at = 2 * (last[1] if last else 0) + near
+        total, at = 0.0, 0
+        for w in [*(code[w] for w in words(t)), int(lm.END)]:
             total += math.log10(sum(p(k, "leaf", at, w) for k in range(lm.KEEP)) / lm.KEEP)
-            last = (j, number[w]) if w in number else last
+            at = slot(w)
         want.append((-1 if i is None else i, total))
     found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
     assert len(found) == len(want) and all(i == j and abs(a - b) < 1e-4 for (i, a), (j, b) in zip(found, sorted(want)))

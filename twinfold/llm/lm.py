@@ -1,19 +1,21 @@
 """Language-model scores: a hierarchical Pitman-Yor model whose seating is sampled by Gibbs.
 
-Tokens are words and an end mark. The restaurant of a token is named by the last of the CONTEXTS - 1 most frequent
-words before it in the document (or none yet) and by whether that word (or the document's start) comes directly before.
-Both restaurants of a word share that word's parent, all parents share the root, and the root's base is uniform
-over the training words and one unknown word.
+Tokens are words and an end mark. A token's restaurant is that of the word before it (or of the document's start): each of
+the OWN - 1 most frequent words has its own, and all other words share the rest of the LEAVES by hash. Restaurants share
+parents: that of a restaurant is named by the one of the CONTEXTS - 1 most frequent words that comes most often before its own
+words, or none. All parents share the root, and the root's base is uniform over the training words and one unknown word.
 
 Everything a word has at all levels lies in one bucket, so its customers are reseated without other buckets: given the
 restaurants' totals, words are independent. A sweep takes a dish's customers out of a restaurant and seats them again one
 after another (beyond STEADY in growing batches) by the Chinese-restaurant rule, from the leaves to the root. Totals are
 exchanged after every sweep: BURN sweeps, then KEEP more that start from the seats reached, whose predictive probabilities
 are averaged. Sampling is seeded, so later stages run the same sweeps with the same totals again rather than store the
-seats. The strength is fixed and the discounts of the three levels are read off the counts of one and two once; neither is sampled.
+seats. The strength is fixed; the discounts of the three levels are read off the dishes of one and two customers after every sweep.
+A history is a list of (totals, discounts), one before any sweep and one after each.
 
 The HEAD most frequent words get a table of probabilities that every task holds; the other tokens are sent to their
-word's bucket. Both ways give the same figures; HEAD only sets how much is sent.
+word's bucket, where heavy buckets are held several times so that a task gets a bounded part of them. Both ways give the same
+figures; HEAD only sets how much is sent.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ from pyspark.sql import functions as F
 from ..session import partitions, settle
 from .text import space_words
 
-HEAD, CONTEXTS = 1 << 16, 64
-LEAVES = 2 * CONTEXTS
+HEAD, CONTEXTS = 1 << 6, 64
+LEAVES, OWN = 1 << 17, 1 << 16
 BURN, KEEP, STEADY = 2, 3, 64
-STRENGTH = 1.0
+STRENGTH = 0.1
 END = np.uint64(0x5EED0FE7D0C5)
 #: Training or scored tokens for which there is one bucket at least, and text bytes and tokens handled at once.
-PER_BUCKET, BYTES, TOKENS = 20_000_000, 4 << 20, 6_000_000
+PER_BUCKET, BYTES, TOKENS = 4_000_000, 4 << 20, 6_000_000
 LEVELS = LEAVES + CONTEXTS + 1  # restaurants: leaves, then parents, then the root
 
 
@@ -59,18 +61,21 @@ def tokenise(texts) -> tuple[np.ndarray, np.ndarray]:
     return tokens, n
 
 
-def leaves(tokens: np.ndarray, n: np.ndarray, favourites: np.ndarray) -> np.ndarray:
-    """The leaf restaurant of each token; favourites are sorted."""
-    if not len(tokens):
-        return np.empty(0, np.uint8)
-    at = np.minimum(np.searchsorted(favourites, tokens), len(favourites) - 1) if len(favourites) else np.zeros(len(tokens), int)
-    name = np.where(favourites[at] == tokens, at + 1, 0) if len(favourites) else at
-    place = np.arange(len(tokens))
-    first = np.repeat(np.cumsum(n) - n, n)
-    last = np.concatenate(([-1], np.maximum.accumulate(np.where(name > 0, place, -1))[:-1]))
-    seen = last >= first
-    near = (last == place - 1) & seen | (place == first)
-    return (2 * np.where(seen, name[last], 0) + near).astype(np.uint8)
+def slots(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The restaurant of the tokens after each word; own are the sorted words with one of their own."""
+    shared = OWN + (words >> np.uint64(20)) % np.uint64(LEAVES - OWN)
+    if not len(own):
+        return shared.astype(np.uint32)
+    at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+    return np.where(own[at] == words, at.astype(np.uint64) + np.uint64(1), shared).astype(np.uint32)
+
+
+def leaves(tokens: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The leaf restaurant of each token; 0 at the start of a document."""
+    out = np.zeros(len(tokens), np.uint32)
+    out[1:] = slots(tokens[:-1], own)
+    out[np.cumsum(n) - n] = 0
+    return out
 
 
 def tally(tokens: np.ndarray, leaf: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,10 +123,10 @@ PACKED = "bucket int, w binary, leaf binary, n binary"
 
 
 def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row.w, np.uint64), np.frombuffer(row.leaf, np.uint8), np.frombuffer(row.n, np.int64)
+    return np.frombuffer(row.w, np.uint64), np.frombuffer(row.leaf, np.uint32), np.frombuffer(row.n, np.int64)
 
 
-def seat_counts(train: DataFrame, favourites: np.ndarray, buckets: int) -> DataFrame:
+def seat_counts(train: DataFrame, own: np.ndarray, buckets: int) -> DataFrame:
     """One row per bucket: its words' counts in leaf restaurants, ordered by word and leaf."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +137,7 @@ def seat_counts(train: DataFrame, favourites: np.ndarray, buckets: int) -> DataF
 
         for pdf in pieces(batches):
             tokens, n = tokenise(pdf["text"])
-            held.append((tokens, leaves(tokens, n, favourites)))
+            held.append((tokens, leaves(tokens, n, own)))
             size += len(tokens)
             if size >= TOKENS:
                 yield close()
@@ -144,19 +149,42 @@ def seat_counts(train: DataFrame, favourites: np.ndarray, buckets: int) -> DataF
         w, leaf, n = tally(*(np.concatenate(x) for x in zip(*map(unpacked, pdf.itertuples(index=False)))))
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "w": [w.tobytes()], "leaf": [leaf.tobytes()], "n": [n.tobytes()]})
 
-    return train.select("text").mapInPandas(run, PACKED).groupBy("bucket").applyInPandas(combine, PACKED)
+    # A number that is given keeps buckets from being put together in one task.
+    return train.select("text").mapInPandas(run, PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(combine, PACKED)
+
+
+def shared_parents(packed: DataFrame, own: np.ndarray, favourites: np.ndarray) -> np.ndarray:
+    """The parent of each leaf restaurant: 1 + the place of the favourite most often before its words (ties: the first), 0 where none is."""
+    code = np.zeros(LEAVES, np.int64)
+    code[slots(favourites, own)] = np.arange(1, len(favourites) + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                w, leaf, n = unpacked(row)
+                after = (code[leaf] > 0) & (w != END)
+                key, at = np.unique(slots(w[after], own).astype(np.int64) * CONTEXTS + code[leaf[after]], return_inverse=True)
+                yield pd.DataFrame({"leaf": key // CONTEXTS, "parent": key % CONTEXTS, "n": np.bincount(at, n[after], len(key)).astype(np.int64)})
+
+    met = packed.mapInPandas(run, "leaf int, parent int, n long").groupBy("leaf", "parent").agg(F.sum("n").alias("n"))
+    best = met.groupBy("leaf").agg(F.max(F.struct("n", (-F.col("parent")).alias("less"))).alias("best")).select("leaf", (-F.col("best.less")).alias("parent")).toPandas()  # LEAVES rows at most
+    out = np.zeros(LEAVES, np.int64)
+    out[best["leaf"].to_numpy(np.int64)] = best["parent"].to_numpy(np.int64)
+    return out
 
 
 class Seating:
     """The restaurants of one bucket's words."""
 
-    def __init__(self, w: np.ndarray, leaf: np.ndarray, n: np.ndarray, vocabulary: int):
-        self.n, self.leaf, self.base = n, leaf.astype(np.int64), 1 / (vocabulary + 1)
+    def __init__(self, w: np.ndarray, leaf: np.ndarray, n: np.ndarray, parents: np.ndarray, vocabulary: int):
+        order = np.lexsort((leaf, parents[leaf], w))
+        w, self.n, self.leaf, self.base = w[order], n[order], leaf[order].astype(np.int64), 1 / (vocabulary + 1)
+        context = parents[self.leaf]
         new_word = np.concatenate(([True], w[1:] != w[:-1])) if len(w) else np.empty(0, bool)
-        new_parent = new_word | np.concatenate(([True], self.leaf[1:] >> 1 != self.leaf[:-1] >> 1)) if len(w) else new_word
+        new_parent = new_word | np.concatenate(([True], context[1:] != context[:-1])) if len(w) else new_word
         self.words = w[new_word]
         self.parent = np.cumsum(new_parent) - 1  # of each leaf entry
-        self.context = self.leaf[new_parent] >> 1
+        self.context = context[new_parent]
         self.root = (np.cumsum(new_word) - 1)[new_parent]  # of each parent entry
         self.tables = [np.ones(len(n), np.int64), np.ones(len(self.context), np.int64), np.ones(len(self.words), np.int64)]
 
@@ -169,6 +197,10 @@ class Seating:
         at = (self.leaf, LEAVES + self.context, np.full(len(self.words), LEVELS - 1))
         return np.array([sum(np.bincount(a, x, LEVELS) for a, x in zip(at, level)) for level in (self.customers(), self.tables)]).astype(np.int64)
 
+    def figures(self) -> np.ndarray:
+        """The totals in a row, then the dishes of one and of two customers on each level."""
+        return np.concatenate((self.totals().ravel(), [(c == k).sum() for k in (1, 2) for c in self.customers()]))
+
     def probabilities(self, totals: np.ndarray, discounts: np.ndarray) -> dict:
         """What the predictive probability of any word in any leaf is made of."""
         c, t = self.customers(), self.tables
@@ -191,8 +223,9 @@ class Seating:
 
 def reseat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables after customers come in one by one; fresh: the weight of a new table that serves their dish."""
-    order = np.argsort(-customers, kind="stable")
-    c, a, t = customers[order], fresh[order], np.ones(len(customers))
+    several = np.flatnonzero(customers > 1)
+    order = several[np.argsort(-customers[several], kind="stable")]
+    c, a, t = customers[order], fresh[order], np.ones(len(order))
     k, top = 1, int(c[0]) if len(c) else 0
     while k < top:
         step = 1 if k < STEADY else k // 8
@@ -200,72 +233,70 @@ def reseat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.ra
         new = a[:m] / (a[:m] + k - discount * t[:m])
         t[:m] += rng.random(m) < new if step == 1 else rng.binomial(np.minimum(step, c[:m] - k), new)
         k += step
-    out = np.empty(len(customers), np.int64)
+    out = np.ones(len(customers), np.int64)
     out[order] = t
     return out
 
 
-def samples(row, vocabulary: int, history: list[np.ndarray], discounts: np.ndarray) -> Iterator[Seating]:
-    """The seating after each sweep, sweep i by the totals history[i]; the same for the same arguments."""
-    seats = Seating(*unpacked(row), vocabulary)
+def samples(row, parents: np.ndarray, vocabulary: int, history: list[tuple]) -> Iterator[Seating]:
+    """The seating after each sweep, sweep i by history[i]; the same for the same arguments."""
+    seats = Seating(*unpacked(row), parents, vocabulary)
     rng = np.random.default_rng((row.bucket, 12345))
-    for totals in history:
+    for totals, discounts in history:
         seats.sweep(totals, discounts, rng)
         yield seats
 
 
-def kept_samples(row, vocabulary: int, history: list[np.ndarray], discounts: np.ndarray) -> Iterator[tuple[Seating, np.ndarray]]:
-    """The seatings after burn-in, each with the totals that belong to it; history ends with those of the last sweep."""
-    for i, seats in enumerate(samples(row, vocabulary, history[:-1], discounts)):
+def kept_samples(row, parents: np.ndarray, vocabulary: int, history: list[tuple]) -> Iterator[tuple[Seating, dict]]:
+    """The seatings after burn-in, each with its probabilities by the totals that belong to it."""
+    for i, seats in enumerate(samples(row, parents, vocabulary, history[:-1])):
         if i >= BURN:
-            yield seats, history[i + 1]
+            yield seats, seats.probabilities(*history[i + 1])
 
 
-def gather(packed: DataFrame, vocabulary: int, history: list[np.ndarray], discounts: np.ndarray | None) -> np.ndarray:
-    """Totals (2 x LEVELS) over all buckets after the sweeps of history; without any, those of one table a dish, and counts of one and two."""
+def gather(packed: DataFrame, parents: np.ndarray, vocabulary: int, history: list[tuple]) -> np.ndarray:
+    """Figures of all buckets: those of one table a dish without a history, and what its sweeps have changed with one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = 0
+        change = np.zeros(2 * LEVELS + 6, np.int64)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                if not history:
-                    seats = Seating(*unpacked(row), vocabulary)
-                    raw = (seats.n, np.bincount(seats.parent, seats.n).astype(np.int64), np.bincount(seats.root, np.bincount(seats.parent, seats.n)).astype(np.int64))
-                    kinds = np.zeros((2, LEVELS), np.int64)
-                    kinds[:, :3] = [[int((c == k).sum()) for c in raw] for k in (1, 2)]
-                    found = np.array([seats.totals(), kinds])
-                else:
-                    for seats in samples(row, vocabulary, history, discounts):
-                        pass
-                    found = seats.totals()
-                whole = whole + found
-        if not isinstance(whole, int):
-            yield pd.DataFrame({"k": np.arange(whole.size), "x": whole.ravel()})
-
-    # A few hundred numbers.
-    rows = packed.mapInPandas(run, "k int, x long").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros((1 if history else 2) * 2 * LEVELS, np.int64)
-    for r in rows:
-        out[r["k"]] = r["x"]
-    return out.reshape(2, LEVELS) if history else out.reshape(2, 2, LEVELS)
-
-
-def head_table(packed: DataFrame, words: np.ndarray, vocabulary: int, history: list[np.ndarray], discounts: np.ndarray) -> np.ndarray:
+                seats = Seating(*unpacked(row), parents, vocabulary)
+                before = seats.figures() if history else 0
+                for seats in samples(row, parents, vocabulary, history):
+                    pass
+                change += seats.figures() - before
+        there = np.flatnonzero(change)
+        yield pd.DataFrame({"k": there, "x": change[there]})
+
+    # Two numbers a restaurant at most.
+    rows = packed.mapInPandas(run, "k int, x long").groupBy("k").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(2 * LEVELS + 6, np.int64)
+    out[rows["k"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64)
+    return out
+
+
+def settled(figures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals (2 x LEVELS) and the discounts of the three levels."""
+    ones, twos = figures[-6:].reshape(2, 3)
+    return figures[:-6].reshape(2, LEVELS), np.clip(ones / np.maximum(1, ones + 2 * twos), 0.1, 0.95)
+
+
+def head_table(packed: DataFrame, words: np.ndarray, parents: np.ndarray, vocabulary: int, history: list[tuple]) -> np.ndarray:
     """log10 of averaged probabilities (words x LEAVES); words are sorted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 total = 0.0
-                for seats, own in kept_samples(row, vocabulary, history, discounts):
-                    p = seats.probabilities(own, discounts)
+                for seats, p in kept_samples(row, parents, vocabulary, history):
                     among = np.flatnonzero(np.isin(seats.words, words, assume_unique=True))
                     place = np.full(len(seats.words), -1)
                     place[among] = np.arange(len(among))
                     parent = p["to_root"] * p["root"][among][:, None]
                     here = place[seats.root]
                     parent[here[here >= 0], seats.context[here >= 0]] += p["parent"][here >= 0]
-                    leaf = p["to_parent"] * np.repeat(parent, 2, axis=1)
+                    leaf = p["to_parent"] * parent[:, parents]
                     here = place[seats.root[seats.parent]]
                     leaf[here[here >= 0], seats.leaf[here >= 0]] += p["leaf"][here >= 0]
                     total = total + leaf
@@ -278,15 +309,41 @@ def head_table(packed: DataFrame, words: np.ndarray, vocabulary: int, history: l
     return out
 
 
-def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Values of wanted keys, 0 for others; keys are sorted."""
+def locate(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted keys in sorted keys, and len(keys) for others."""
     if not len(keys):
-        return np.zeros(len(wanted))
+        return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
-
-
-SENT = "bucket int, chunk long, doc_id binary, known binary, base binary, score binary, w binary, leaf binary, doc binary"
+    return np.where(keys[at] == wanted, at, len(keys))
+
+
+class Judge:
+    """Averaged probabilities and counts of any tokens of one bucket; row is None where the bucket has no training word."""
+
+    def __init__(self, row, parents: np.ndarray, vocabulary: int, history: list[tuple]):
+        if row is None:
+            self.seats = Seating(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), parents, vocabulary)
+            states = [self.seats.probabilities(*own) for own in history[BURN + 1 :]]
+        else:
+            states = []
+            for self.seats, state in kept_samples(row, parents, vocabulary, history):
+                states.append(state)
+        s, self.parents = self.seats, parents
+        # One more value at the end of each array is what a word, or a word in a restaurant, has that isn't there.
+        self.states = [{**q, "root": np.append(q["root"], q["unknown"]), "parent": np.append(q["parent"], 0.0), "leaf": np.append(q["leaf"], 0.0)} for q in states]
+        self.parent_keys = s.root * CONTEXTS + s.context
+        self.leaf_keys = self.parent_keys[s.parent] * LEAVES + s.leaf
+        self.count = np.append(np.bincount(s.root[s.parent], s.n, len(s.words)), 0.0)
+
+    def __call__(self, w: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word, context = locate(self.seats.words, w), self.parents[leaf]
+        key = word * CONTEXTS + context
+        up, own = locate(self.parent_keys, key), locate(self.leaf_keys, key * LEAVES + leaf)
+        p = sum(q["to_parent"][leaf] * (q["to_root"][context] * q["root"][word] + q["parent"][up]) + q["leaf"][own] for q in self.states)
+        return self.count[word], p / KEEP
+
+
+SENT = "bucket int, copy int, chunk long, doc_id binary, known binary, base binary, score binary, w binary, leaf binary, doc binary"
 PARTS = "chunk long, names binary, place binary, known binary, base binary, score binary"
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -301,73 +358,62 @@ def score_documents(docs: DataFrame, train: DataFrame, *, doc="doc_id", text="te
     train = train.select(F.col(text).alias("text"))
     counts = settle(word_counts(train), "words")
     total, vocabulary = (x or 0 for x in counts.agg(F.sum("n"), F.count("w")).first())
-    top = counts.orderBy(F.desc("n"), "w").limit(HEAD).toPandas()
+    top = counts.orderBy(F.desc("n"), "w").limit(max(HEAD, OWN)).toPandas()
     by_count, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    favourites = np.sort(by_count[by_count != END][: CONTEXTS - 1])
-    order = np.argsort(by_count)
+    frequent = by_count[by_count != END]
+    own, favourites = np.sort(frequent[: OWN - 1]), np.sort(frequent[: CONTEXTS - 1])
+    order = np.argsort(by_count[:HEAD])
     words, word_n = by_count[order], n[order]
     # Scored tokens meet their bucket too; a token has six bytes, about, with the space behind it.
     scored = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 6
     buckets = max(partitions(spark), total // PER_BUCKET, scored // PER_BUCKET)
-    packed = settle(seat_counts(train, favourites, buckets), "seats")
-
-    first = gather(packed, vocabulary, [], None)
-    ones, twos = first[1][:, :3]
-    discounts = np.clip(ones / np.maximum(1, ones + 2 * twos), 0.1, 0.9)
-    history = [first[0]]
+    packed = settle(seat_counts(train, own, buckets), "seats")
+    parents = shared_parents(packed, own, favourites)
+    # Buckets are held once for every PER_BUCKET tokens that are expected there.
+    bucket = F.pmod(F.pmod("w", F.lit(buckets)) + F.when(F.col("w") < 0, F.lit((1 << 64) % buckets)).otherwise(F.lit(0)), F.lit(buckets))
+    rest = counts.where(~F.col("w").isin(words.view(np.int64).tolist())).groupBy(bucket.cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+    heavy = rest.where(F.col("n") * F.lit(scored / max(1, total)) > PER_BUCKET).toPandas()
+    copies = np.ones(buckets, np.int64)
+    copies[heavy["bucket"].to_numpy(np.int64)] = np.ceil(heavy["n"].to_numpy(float) * scored / max(1, total) / PER_BUCKET).astype(np.int64)
+
+    start = gather(packed, parents, vocabulary, [])
+    history = [settled(start)]
     for _ in range(BURN + KEEP):
-        history.append(gather(packed, vocabulary, history, discounts))
+        history.append(settled(start + gather(packed, parents, vocabulary, history)))
     floor = total + 0.5 * (vocabulary + 1)
-    shared = spark.sparkContext.broadcast((words, head_table(packed, words, vocabulary, history, discounts), np.log10((word_n + 0.5) / floor)))
+    shared = spark.sparkContext.broadcast((words, head_table(packed, words, parents, vocabulary, history), np.log10((word_n + 0.5) / floor)))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heads, table, base = shared.value
-        chunk = TaskContext.get().partitionId() << 32
+        turn = TaskContext.get().partitionId()
+        chunk = turn << 32
         for pdf in pieces(batches):
             tokens, n = tokenise(pdf["text"])
-            leaf = leaves(tokens, n, favourites)
+            leaf = leaves(tokens, n, own)
             owner = np.repeat(np.arange(len(n)), n)
             at = np.minimum(np.searchsorted(heads, tokens), max(0, len(heads) - 1))
             is_head = heads[at] == tokens if len(heads) else np.zeros(len(tokens), bool)
-            own, at, hl = owner[is_head], at[is_head], leaf[is_head]
-            sums = [np.bincount(own, x, len(n)) for x in (None, base[at], table[at, hl])]
+            whose, at, hl = owner[is_head], at[is_head], leaf[is_head]
+            sums = [np.bincount(whose, x, len(n)) for x in (None, base[at], table[at, hl])]
             names = np.stack([1 - pdf["named"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64), n])
-            out = [(int(chunk % buckets), chunk, names.tobytes(), sums[0].astype(np.int64).tobytes(), sums[1].tobytes(), sums[2].tobytes(), b"", b"", b"")]
-            rest = ~is_head
-            out += [(b, chunk, b"", b"", b"", b"", *x) for b, *x in split(buckets, tokens[rest], leaf[rest], owner[rest].astype(np.int32))]
+            out = [(int(turn % buckets), 0, chunk, names.tobytes(), sums[0].astype(np.int64).tobytes(), sums[1].tobytes(), sums[2].tobytes(), b"", b"", b"")]
+            rest = np.flatnonzero(~is_head)
+            rest = rest[np.lexsort((leaf[rest], tokens[rest]))]  # in order they pack better
+            out += [(b, int(turn % copies[b]), chunk, b"", b"", b"", b"", *x) for b, *x in split(buckets, tokens[rest], leaf[rest], owner[rest].astype(np.int32))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
-            chunk += 1
+            chunk, turn = chunk + 1, turn + 1
 
     def score(sent: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
-        out, tails = [], []
+        out, judge = [], None
         for r in sent.itertuples(index=False):
             if r.doc_id:
                 out.append((r.chunk, r.doc_id, b"", r.known, r.base, r.score))
-            else:
-                tails.append((np.full(len(r.leaf), r.chunk), np.frombuffer(r.doc, np.int32), np.frombuffer(r.w, np.uint64), np.frombuffer(r.leaf, np.uint8).astype(np.int64)))
-        if tails:
-            chunk, place, w, leaf = (np.concatenate(x) for x in zip(*tails))
-            c, p = np.zeros(len(w)), np.full(len(w), 1.0 if not vocabulary else 0.0)
-            if len(seats):
-                row = next(seats.itertuples(index=False))
-                for state, own in kept_samples(row, vocabulary, history, discounts):
-                    q = state.probabilities(own, discounts)
-                    at = np.minimum(np.searchsorted(state.words, w), len(state.words) - 1)
-                    known = state.words[at] == w
-                    up = np.where(known, q["root"][at], q["unknown"])
-                    word = np.where(known, at, len(state.words))
-                    up = q["to_root"][leaf >> 1] * up + lookup(state.root * CONTEXTS + state.context, q["parent"], word * CONTEXTS + (leaf >> 1))
-                    p += q["to_parent"][leaf] * up + lookup(state.root[state.parent] * LEAVES + state.leaf, q["leaf"], word * LEAVES + leaf)
-                p /= KEEP
-                c = np.where(known, np.bincount(state.root, np.bincount(state.parent, state.n))[at], 0)
-            elif vocabulary:
-                for own in history[BURN + 1 :]:
-                    back = (STRENGTH + np.repeat(discounts, (LEAVES, CONTEXTS, 1)) * own[1]) / (STRENGTH + own[0])
-                    p += back[leaf] * back[LEAVES + (leaf >> 1)] * back[-1] / (vocabulary + 1) / KEEP
-            new = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (place[1:] != place[:-1]))))
-            sums = [np.add.reduceat(x, new) for x in ((c > 0).astype(np.int64), np.log10((c + 0.5) / floor), np.log10(p))]
-            for part in np.split(np.arange(len(new)), np.flatnonzero(np.diff(chunk[new])) + 1):
-                out.append((int(chunk[new[part[0]]]), b"", place[new[part]].tobytes(), *(x[part].tobytes() for x in sums)))
+                continue
+            judge = judge or Judge(next(seats.itertuples(index=False), None), parents, vocabulary, history)
+            c, p = judge(np.frombuffer(r.w, np.uint64), np.frombuffer(r.leaf, np.uint32).astype(np.int64))
+            place, at = np.unique(np.frombuffer(r.doc, np.int32), return_inverse=True)
+            sums = [np.bincount(at, x, len(place)) for x in (c > 0, np.log10((c + 0.5) / floor), np.log10(p))]
+            out.append((r.chunk, b"", place.tobytes(), sums[0].astype(np.int64).tobytes(), sums[1].tobytes(), sums[2].tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in PARTS.split(", ")])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -385,7 +431,12 @@ def score_documents(docs: DataFrame, train: DataFrame, *, doc="doc_id", text="te
     # A column with nulls would come as floating numbers.
     named = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col(doc).isNotNull().alias("named"), F.col(text).alias("text"))
     sent = named.mapInPandas(send, SENT)
-    parts = sent.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInPandas(score, PARTS)
+    if len(heavy):
+        lots = packed.join(F.broadcast(spark.createDataFrame([(int(b), int(copies[b])) for b in heavy["bucket"]], "bucket int, copies int")), "bucket", "left")
+        lots = lots.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    else:
+        lots = packed.withColumn("copy", F.lit(0))
+    parts = sent.groupBy("bucket", "copy").cogroup(lots.groupBy("bucket", "copy")).applyInPandas(score, PARTS)
     whole = parts.groupBy("chunk").applyInPandas(merge, SCORED)
     return whole.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
