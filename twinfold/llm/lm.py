@@ -20,6 +20,8 @@ figures; HEAD only sets how much is sent.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,8 +170,8 @@ def shared_parents(packed: DataFrame, own: np.ndarray, favourites: np.ndarray) -
 
     met = packed.mapInPandas(run, "leaf int, parent int, n long").groupBy("leaf", "parent").agg(F.sum("n").alias("n"))
     best = met.groupBy("leaf").agg(F.max(F.struct("n", (-F.col("parent")).alias("less"))).alias("best")).select("leaf", (-F.col("best.less")).alias("parent")).toPandas()  # LEAVES rows at most
-    out = np.zeros(LEAVES, np.int64)
-    out[best["leaf"].to_numpy(np.int64)] = best["parent"].to_numpy(np.int64)
+    out = np.zeros(LEAVES, np.uint8)
+    out[best["leaf"].to_numpy(np.int64)] = best["parent"].to_numpy(np.uint8)
     return out
 
 
@@ -179,7 +181,7 @@ class Seating:
     def __init__(self, w: np.ndarray, leaf: np.ndarray, n: np.ndarray, parents: np.ndarray, vocabulary: int):
         order = np.lexsort((leaf, parents[leaf], w))
         w, self.n, self.leaf, self.base = w[order], n[order], leaf[order].astype(np.int64), 1 / (vocabulary + 1)
-        context = parents[self.leaf]
+        context = parents[self.leaf].astype(np.int64)
         new_word = np.concatenate(([True], w[1:] != w[:-1])) if len(w) else np.empty(0, bool)
         new_parent = new_word | np.concatenate(([True], context[1:] != context[:-1])) if len(w) else new_word
         self.words = w[new_word]
@@ -254,11 +256,22 @@ def kept_samples(row, parents: np.ndarray, vocabulary: int, history: list[tuple]
             yield seats, seats.probabilities(*history[i + 1])
 
 
+def sealed(history: list[tuple]) -> bytes:
+    """A history as tasks take it along: most totals are small or the same in all its entries."""
+    return zlib.compress(pickle.dumps([(np.diff(totals, axis=0, prepend=0), discounts) for totals, discounts in history]), 1)
+
+
+def opened(history: bytes) -> list[tuple]:
+    return [(np.cumsum(totals, axis=0), discounts) for totals, discounts in pickle.loads(zlib.decompress(history))]
+
+
 def gather(packed: DataFrame, parents: np.ndarray, vocabulary: int, history: list[tuple]) -> np.ndarray:
     """Figures of all buckets: those of one table a dish without a history, and what its sweeps have changed with one."""
 
+    so_far = sealed(history)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        change = np.zeros(2 * LEVELS + 6, np.int64)
+        history, change = opened(so_far), np.zeros(2 * LEVELS + 6, np.int64)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 seats = Seating(*unpacked(row), parents, vocabulary)
@@ -284,8 +297,10 @@ def settled(figures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def head_table(packed: DataFrame, words: np.ndarray, parents: np.ndarray, vocabulary: int, history: list[tuple]) -> np.ndarray:
     """log10 of averaged probabilities (words x LEAVES); words are sorted."""
+    so_far = sealed(history)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        history = opened(so_far)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 total = 0.0
@@ -380,7 +395,7 @@ def score_documents(docs: DataFrame, train: DataFrame, *, doc="doc_id", text="te
     history = [settled(start)]
     for _ in range(BURN + KEEP):
         history.append(settled(start + gather(packed, parents, vocabulary, history)))
-    floor = total + 0.5 * (vocabulary + 1)
+    floor, so_far = total + 0.5 * (vocabulary + 1), sealed(history)
     shared = spark.sparkContext.broadcast((words, head_table(packed, words, parents, vocabulary, history), np.log10((word_n + 0.5) / floor)))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,7 +424,7 @@ def score_documents(docs: DataFrame, train: DataFrame, *, doc="doc_id", text="te
             if r.doc_id:
                 out.append((r.chunk, r.doc_id, b"", r.known, r.base, r.score))
                 continue
-            judge = judge or Judge(next(seats.itertuples(index=False), None), parents, vocabulary, history)
+            judge = judge or Judge(next(seats.itertuples(index=False), None), parents, vocabulary, opened(so_far))
             c, p = judge(np.frombuffer(r.w, np.uint64), np.frombuffer(r.leaf, np.uint32).astype(np.int64))
             place, at = np.unique(np.frombuffer(r.doc, np.int32), return_inverse=True)
             sums = [np.bincount(at, x, len(place)) for x in (c > 0, np.log10((c + 0.5) / floor), np.log10(p))]
