@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ BURN, KEEP, STEADY = 2, 3, 64
 STRENGTH = 0.1
 END = np.uint64(0x5EED0FE7D0C5)
 #: Training or scored tokens for which there is one bucket at least, and text bytes and tokens handled at once.
-PER_BUCKET, BYTES, TOKENS = 4_000_000, 4 << 20, 6_000_000
+PER_BUCKET, BYTES, TOKENS = 4_000_000, 4 << 20, 2_500_000
 LEVELS = LEAVES + CONTEXTS + 1  # restaurants: leaves, then parents, then the root
 
 
@@ -72,21 +73,47 @@ def slots(words: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.where(own[at] == words, at.astype(np.uint64) + np.uint64(1), shared).astype(np.uint32)
 
 
-def leaves(tokens: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The leaf restaurant of each token; 0 at the start of a document."""
-    out = np.zeros(len(tokens), np.uint32)
-    out[1:] = slots(tokens[:-1], own)
+def catalogue(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words by bucket and word, the bucket of each, and each token's place among them."""
+    words, place = np.unique(tokens, return_inverse=True)
+    bucket = (words % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return words[order], bucket[order], rank[place]
+
+
+def leaves(names: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The leaf restaurant of each token, from the one that each token gives the next; 0 at the start of a document."""
+    out = np.zeros(len(names), np.int64)
+    out[1:] = names[:-1]
     out[np.cumsum(n) - n] = 0
     return out
 
 
-def tally(tokens: np.ndarray, leaf: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, leaf) in order, with their counts."""
-    order = np.lexsort((leaf, tokens))
-    tokens, leaf = tokens[order], leaf[order]
-    new = np.flatnonzero(np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (leaf[1:] != leaf[:-1])))) if len(tokens) else np.empty(0, int)
-    count = np.diff(new, append=len(tokens)) if n is None else np.add.reduceat(n[order], new) if len(new) else np.empty(0, np.int64)
-    return tokens[new], leaf[new], count.astype(np.int64)
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers in few bytes: first bytes of all, then second bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def unsqueeze(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def squeeze_runs(x: np.ndarray) -> bytes:
+    """The same for numbers in runs: the distinct ones and the lengths of their runs."""
+    at = starts(x)
+    return squeeze(np.concatenate((x[at], np.diff(at, append=len(x)).astype(np.uint64))))
+
+
+def unsqueeze_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.split(unsqueeze(data, np.uint64), 2)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -111,21 +138,12 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def split(buckets: int, w: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(bucket, w, columns) as bytes, for each bucket with entries; order within a bucket is kept."""
-    b = (w % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    ends = np.searchsorted(b[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(ends)):
-        own = order[ends[k] : ends[k + 1]]
-        yield (int(k), *(c[own].tobytes() for c in (w, *columns)))
-
-
 PACKED = "bucket int, w binary, leaf binary, n binary"
 
 
 def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row.w, np.uint64), np.frombuffer(row.leaf, np.uint32), np.frombuffer(row.n, np.int64)
+    words, runs = unsqueeze_runs(row.w)
+    return np.repeat(words, runs.astype(np.int64)), unsqueeze(row.leaf, np.uint32), unsqueeze(row.n, np.int64)
 
 
 def seat_counts(train: DataFrame, own: np.ndarray, buckets: int) -> DataFrame:
@@ -135,12 +153,17 @@ def seat_counts(train: DataFrame, own: np.ndarray, buckets: int) -> DataFrame:
         held, size = [], 0
 
         def close() -> pd.DataFrame:
-            return pd.DataFrame(split(buckets, *tally(*(np.concatenate(x) for x in zip(*held)))), columns=["bucket", "w", "leaf", "n"])
+            words, bucket, rank = catalogue(np.concatenate([t for t, _ in held]), buckets)
+            key = np.sort(rank * LEAVES + leaves(slots(words, own)[rank], np.concatenate([n for _, n in held])))
+            at = starts(key)
+            n, (rank, leaf) = np.diff(at, append=len(key)), np.divmod(key[at], LEAVES)
+            w, first = words[rank], starts(bucket[rank])
+            rows = [(int(bucket[rank[i]]), squeeze_runs(w[i:j]), squeeze(leaf[i:j].astype(np.uint32)), squeeze(n[i:j])) for i, j in zip(first, [*first[1:], len(n)])]
+            return pd.DataFrame(rows, columns=["bucket", "w", "leaf", "n"])
 
         for pdf in pieces(batches):
-            tokens, n = tokenise(pdf["text"])
-            held.append((tokens, leaves(tokens, n, own)))
-            size += len(tokens)
+            held.append(tokenise(pdf["text"]))
+            size += len(held[-1][0])
             if size >= TOKENS:
                 yield close()
                 held, size = [], 0
@@ -148,8 +171,14 @@ def seat_counts(train: DataFrame, own: np.ndarray, buckets: int) -> DataFrame:
             yield close()
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, leaf, n = tally(*(np.concatenate(x) for x in zip(*map(unpacked, pdf.itertuples(index=False)))))
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "w": [w.tobytes()], "leaf": [leaf.tobytes()], "n": [n.tobytes()]})
+        w, leaf, n = (np.concatenate(x) for x in zip(*map(unpacked, pdf.itertuples(index=False))))
+        words, place = np.unique(w, return_inverse=True)
+        key = place * LEAVES + leaf
+        order = np.argsort(key)
+        key = key[order]
+        at = starts(key)
+        n, (place, leaf) = np.add.reduceat(n[order], at) if len(at) else n, np.divmod(key[at], LEAVES)
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "w": [squeeze_runs(words[place])], "leaf": [squeeze(leaf.astype(np.uint32))], "n": [squeeze(n)]})
 
     # A number that is given keeps buckets from being put together in one task.
     return train.select("text").mapInPandas(run, PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(combine, PACKED)
@@ -179,20 +208,25 @@ class Seating:
     """The restaurants of one bucket's words."""
 
     def __init__(self, w: np.ndarray, leaf: np.ndarray, n: np.ndarray, parents: np.ndarray, vocabulary: int):
-        order = np.lexsort((leaf, parents[leaf], w))
-        w, self.n, self.leaf, self.base = w[order], n[order], leaf[order].astype(np.int64), 1 / (vocabulary + 1)
-        context = parents[self.leaf].astype(np.int64)
         new_word = np.concatenate(([True], w[1:] != w[:-1])) if len(w) else np.empty(0, bool)
-        new_parent = new_word | np.concatenate(([True], context[1:] != context[:-1])) if len(w) else new_word
+        word, context = np.cumsum(new_word) - 1, parents[leaf].astype(np.int64)
+        key = word * CONTEXTS + context
+        order = np.argsort(key * LEAVES + leaf)
+        self.n, self.leaf, self.base = n[order], leaf[order].astype(np.int64), 1 / (vocabulary + 1)
+        new_parent = starts(key[order])
         self.words = w[new_word]
-        self.parent = np.cumsum(new_parent) - 1  # of each leaf entry
-        self.context = context[new_parent]
-        self.root = (np.cumsum(new_word) - 1)[new_parent]  # of each parent entry
-        self.tables = [np.ones(len(n), np.int64), np.ones(len(self.context), np.int64), np.ones(len(self.words), np.int64)]
+        self.parent_keys = key[order][new_parent]
+        self.parent = np.repeat(np.arange(len(new_parent)), np.diff(new_parent, append=len(n)))  # of each leaf entry
+        self.root, self.context = np.divmod(self.parent_keys, CONTEXTS)  # of each parent entry
+        # Customers of one table a dish, and the leaf entries that can have more.
+        self.single = [np.bincount(self.parent, minlength=len(self.root)), np.bincount(self.root, minlength=len(self.words))]
+        self.several = np.flatnonzero(self.n > 1)
+        self.tables = [np.ones(len(self.n), np.int64), np.ones(len(self.root), np.int64), np.ones(len(self.words), np.int64)]
 
     def customers(self) -> list[np.ndarray]:
-        t = self.tables
-        return [self.n, np.bincount(self.parent, t[0], len(t[1])).astype(np.int64), np.bincount(self.root, t[1], len(t[2])).astype(np.int64)]
+        t, many = self.tables, self.several
+        above = self.single[0] + np.bincount(self.parent[many], t[0][many] - 1, len(t[1])).astype(np.int64)
+        return [self.n, above, np.bincount(self.root, t[1], len(t[2])).astype(np.int64)]
 
     def totals(self) -> np.ndarray:
         """Customers and tables of each restaurant (2 x LEVELS)."""
@@ -214,13 +248,17 @@ class Seating:
         return {"root": root, "parent": parent, "leaf": leaf, "to_root": back[LEAVES:-1], "to_parent": back[:LEAVES], "unknown": back[-1] * self.base}
 
     def sweep(self, totals: np.ndarray, discounts: np.ndarray, rng: np.random.Generator) -> None:
-        """Reseat all customers, leaves first; totals are those of the stage before."""
-        p = self.probabilities(totals, discounts)
-        parent = p["to_root"][self.context] * p["root"][self.root] + p["parent"]
+        """Reseat all customers, leaves first; totals are those of the stage before. A dish with one customer has one table."""
+        _, c, top = self.customers()
+        t, many, above = self.tables, self.several, self.parent[self.several]
         weight = STRENGTH + np.repeat(discounts, (LEAVES, CONTEXTS, 1)) * totals[1]
-        self.tables[0] = reseat(self.n, weight[self.leaf] * parent[self.parent], discounts[0], rng)
-        self.tables[1] = reseat(self.customers()[1], weight[LEAVES + self.context] * p["root"][self.root], discounts[1], rng)
-        self.tables[2] = reseat(self.customers()[2], np.full(len(self.words), weight[-1] * self.base), discounts[2], rng)
+        full = STRENGTH + totals[0]
+        root = (top - discounts[2] * t[2] + weight[-1] * self.base) / full[-1]
+        at = LEAVES + self.context[above]
+        parent = (c[above] - discounts[1] * t[1][above] + weight[at] * root[self.root[above]]) / full[at]
+        t[0][many] = reseat(self.n[many], weight[self.leaf[many]] * parent, discounts[0], rng)
+        t[1] = reseat(self.customers()[1], weight[LEAVES + self.context] * root[self.root], discounts[1], rng)
+        t[2] = reseat(self.customers()[2], np.full(len(self.words), weight[-1] * self.base), discounts[2], rng)
 
 
 def reseat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -346,14 +384,14 @@ class Judge:
         s, self.parents = self.seats, parents
         # One more value at the end of each array is what a word, or a word in a restaurant, has that isn't there.
         self.states = [{**q, "root": np.append(q["root"], q["unknown"]), "parent": np.append(q["parent"], 0.0), "leaf": np.append(q["leaf"], 0.0)} for q in states]
-        self.parent_keys = s.root * CONTEXTS + s.context
-        self.leaf_keys = self.parent_keys[s.parent] * LEAVES + s.leaf
+        self.leaf_keys = s.parent_keys[s.parent] * LEAVES + s.leaf
         self.count = np.append(np.bincount(s.root[s.parent], s.n, len(s.words)), 0.0)
 
-    def __call__(self, w: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        word, context = locate(self.seats.words, w), self.parents[leaf]
+    def __call__(self, w: np.ndarray, runs: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """w: words, each for so many tokens as runs says."""
+        word, context = np.repeat(locate(self.seats.words, w), runs), self.parents[leaf]
         key = word * CONTEXTS + context
-        up, own = locate(self.parent_keys, key), locate(self.leaf_keys, key * LEAVES + leaf)
+        up, own = locate(self.seats.parent_keys, key), locate(self.leaf_keys, key * LEAVES + leaf)
         p = sum(q["to_parent"][leaf] * (q["to_root"][context] * q["root"][word] + q["parent"][up]) + q["leaf"][own] for q in self.states)
         return self.count[word], p / KEEP
 
@@ -404,17 +442,20 @@ def score_documents(docs: DataFrame, train: DataFrame, *, doc="doc_id", text="te
         chunk = turn << 32
         for pdf in pieces(batches):
             tokens, n = tokenise(pdf["text"])
-            leaf = leaves(tokens, n, own)
-            owner = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(heads, tokens), max(0, len(heads) - 1))
-            is_head = heads[at] == tokens if len(heads) else np.zeros(len(tokens), bool)
+            distinct, bucket, rank = catalogue(tokens, buckets)
+            leaf, owner = leaves(slots(distinct, own)[rank], n), np.repeat(np.arange(len(n)), n)
+            at = locate(heads, distinct)[rank]
+            is_head = at < len(heads)
             whose, at, hl = owner[is_head], at[is_head], leaf[is_head]
             sums = [np.bincount(whose, x, len(n)) for x in (None, base[at], table[at, hl])]
             names = np.stack([1 - pdf["named"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64), n])
             out = [(int(turn % buckets), 0, chunk, names.tobytes(), sums[0].astype(np.int64).tobytes(), sums[1].tobytes(), sums[2].tobytes(), b"", b"", b"")]
             rest = np.flatnonzero(~is_head)
-            rest = rest[np.lexsort((leaf[rest], tokens[rest]))]  # in order they pack better
-            out += [(b, int(turn % copies[b]), chunk, b"", b"", b"", b"", *x) for b, *x in split(buckets, tokens[rest], leaf[rest], owner[rest].astype(np.int32))]
+            rest = rest[np.argsort(rank[rest] * LEAVES + leaf[rest])]  # by bucket, and in order they pack better
+            w, leaf, owner, bucket = distinct[rank[rest]], leaf[rest].astype(np.uint32), owner[rest].astype(np.int32), bucket[rank[rest]]
+            first = starts(bucket)
+            for b, i, j in zip(bucket[first], first, [*first[1:], len(rest)]):
+                out.append((int(b), int(turn % copies[b]), chunk, b"", b"", b"", b"", squeeze_runs(w[i:j]), squeeze(leaf[i:j]), squeeze(owner[i:j])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
             chunk, turn = chunk + 1, turn + 1
 
@@ -425,8 +466,9 @@ def score_documents(docs: DataFrame, train: DataFrame, *, doc="doc_id", text="te
                 out.append((r.chunk, r.doc_id, b"", r.known, r.base, r.score))
                 continue
             judge = judge or Judge(next(seats.itertuples(index=False), None), parents, vocabulary, opened(so_far))
-            c, p = judge(np.frombuffer(r.w, np.uint64), np.frombuffer(r.leaf, np.uint32).astype(np.int64))
-            place, at = np.unique(np.frombuffer(r.doc, np.int32), return_inverse=True)
+            w, runs = unsqueeze_runs(r.w)
+            c, p = judge(w, runs.astype(np.int64), unsqueeze(r.leaf, np.uint32).astype(np.int64))
+            place, at = np.unique(unsqueeze(r.doc, np.int32), return_inverse=True)
             sums = [np.bincount(at, x, len(place)) for x in (c > 0, np.log10((c + 0.5) / floor), np.log10(p))]
             out.append((r.chunk, b"", place.tobytes(), sums[0].astype(np.int64).tobytes(), sums[1].tobytes(), sums[2].tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in PARTS.split(", ")])
