@@ -32,3 +32,37 @@ def test_dense_hashes_are_not_multiplied(spark, monkeypatch):
     got = [tuple(r) for r in hamming.hamming_join(a, b, 5, on=("ha", "hb"), heavy=400).select("low", "high", "distance").collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, j, apart(g, h)) for i, g in ranked for j, h in ranked if apart(g, h) <= 5}
     assert written == ["sizes"]
+
+
+def test_leaders_form_few_pairs(spark, monkeypatch):
+    """Batches of any size give the greedy clusters, and pairs of hashes that an earlier batch claimed are never formed."""
+    ranked, formed = dense(400), []
+    monkeypatch.setattr(cluster, "BATCH", 40)
+    monkeypatch.setattr(cluster, "EDGES", 150)
+    pairs = cluster.self_pairs
+
+    def counted(*a, **k):
+        found = pairs(*a, **k)
+        formed.append(found.count())
+        return found
+
+    monkeypatch.setattr(cluster, "self_pairs", counted)
+    rows = spark.createDataFrame([(i, f"{h & (1 << 64) - 1:016x}", i % 3 * 100) for i, h in ranked], "file_id long, phash string, size_bytes long")
+    leaders = {}
+    for i, h in ranked:
+        leaders.setdefault(next((j for j, g in ranked[: i + 1] if leaders.get(j) == j and apart(g, h) <= 5), i), i)
+        leaders[i] = next(j for j, g in ranked[: i + 1] if (j == i or leaders.get(j) == j) and apart(g, h) <= 5)
+    sizes = {j: list(leaders.values()).count(j) for j in leaders.values()}
+    assert {tuple(r) for r in cluster.leader_clusters(rows).collect()} == {(i, j) for i, j in leaders.items() if sizes[j] > 1}
+    every = sum(apart(g, h) <= 5 for i, g in ranked for j, h in ranked if i < j)
+    assert len(formed) > 1 and 4 * sum(formed) < every
+
+    # The same in buckets, where the order is that of unsigned hashes.
+    want = {}
+    for bucket in range(3):
+        lead = []
+        for i, h in sorted(((i, h & (1 << 64) - 1) for i, h in ranked if i % 3 == bucket), key=lambda r: r[1]):
+            near = next((j for j, g in lead if apart(g, h) <= 5), i)
+            lead += [(i, h)] if near == i else []
+            want.setdefault(near, set()).add(i)
+    assert {tuple(r) for r in cluster.leader_clusters_bucketed(rows, bucket_bytes=100).collect()} == {(i, j) for j, own in want.items() if len(own) > 1 for i in own}

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import name_prefix, pixels
 from ..session import Scratch, settle
-from .hamming import distance, distinct_hashes, parse_phash, self_pairs
+from .hamming import distance, distinct_hashes, hash_pairs, parse_phash, self_pairs
 from .mutations import assign_ids
 
 #: Rounds of leader clusters before components are decided alone, and edges of a component that one task decides.
 ROUNDS, SMALL = 8, 1_000_000
+#: Hashes of the first batch of leader clusters, and pairs of a batch that are decided in one task.
+BATCH, EDGES = 1 << 15, 1_000_000
 
 
 def exact_groups(files: DataFrame) -> DataFrame:
@@ -83,10 +86,60 @@ def leaders(edges: DataFrame) -> DataFrame:
     return out
 
 
+def decided(pdf: pd.DataFrame) -> pd.DataFrame:
+    """leader, member of the claimed ones of one batch's edges (low, high), in rank order."""
+    edges = pdf.sort_values(["low", "high"])
+    nodes, ends = np.unique(edges["low"].to_numpy(), return_index=True)
+    highs = edges["high"].to_numpy()
+    owner: dict[int, int] = {}
+    for low, i, j in zip(nodes.tolist(), ends.tolist(), [*ends[1:].tolist(), len(highs)]):
+        if low not in owner:
+            for high in highs[i:j].tolist():
+                owner.setdefault(high, low)
+    return pd.DataFrame({"leader": np.array(list(owner.values()), np.int64), "member": np.array(list(owner), np.int64)})
+
+
+def claims(hashes: DataFrame, k: int, *, also: tuple[str, ...] = ()) -> DataFrame:
+    """leader, member (ranks) of greedy clusters of hashes (h, rank, also), for every member that a leader claims; all others lead.
+
+    Hashes are decided in batches in rank order: pairs are formed within a batch only, and its leaders then claim what follows. So pairs of claimed
+    hashes, which are the most by far where many are alike, are never formed. A batch with more than EDGES pairs is made smaller, one with few larger.
+    """
+    scratch, result = Scratch(hashes.sparkSession), Scratch(hashes.sparkSession)
+    left = scratch.settle(hashes.select(*also, "h", "rank"), "open")
+    n, size, out = left.count(), BATCH, None
+    while n:
+        share = min(1.0, size / n)
+        if share < 1:
+            ends = left.groupBy(*also).agg(F.percentile_approx("rank", share).alias("_end"))
+            split = left.join(ends, list(also)) if also else left.crossJoin(ends)
+            split = scratch.settle(split.select(*also, "h", "rank", (F.col("rank") <= F.col("_end")).alias("_now")), "split")
+        else:
+            split = left.withColumn("_now", F.lit(True))
+        batch, later = split.where("_now").drop("_now"), split.where("not _now").drop("_now")
+        edges = scratch.settle(self_pairs(batch, k, also=also, wide=False), "edges")
+        found = edges.count()
+        if found > EDGES and size > 1:
+            size = max(1, size // 4)
+            continue
+        new = result.settle(edges.groupBy(*also).applyInPandas(decided, "leader long, member long"), "claims")
+        out = new if out is None else out.unionByName(new)
+        if share == 1:
+            break
+        leading = batch.join(new.select(F.col("member").alias("rank")), "rank", "left_anti")
+        near = hash_pairs(later.withColumnRenamed("rank", "x"), leading.select(*also, "h", F.col("rank").alias("y"), F.lit(0).cast("long").alias("z")), k, also=also, pick="first", wide=False)
+        taken = result.settle(near.groupBy(F.col("x").alias("member")).agg(F.min("y").alias("leader")).select("leader", "member"), "claims")
+        out = out.unionByName(taken)
+        left = scratch.settle(later.join(taken.select(F.col("member").alias("rank")), "rank", "left_anti").select(*also, "h", "rank"), "open")
+        n, size = left.count(), size * (4 if 16 * found < EDGES else 2 if 4 * found < EDGES else 1)
+    scratch.clear()
+    return hashes.sparkSession.createDataFrame([], "leader long, member long") if out is None else out
+
+
 def leader_clusters(files: DataFrame, k: int = 5) -> DataFrame:
     """file_id, cluster (the leader hash's first file) of files in clusters of two or more, in order of first appearance."""
     hashes = settle(distinct_hashes(files), "hashes")
-    claimed = leaders(self_pairs(hashes, k))
+    claimed = claims(hashes, k)
     named = hashes.join(claimed.withColumnRenamed("member", "rank"), "rank", "left").select("h", F.coalesce("leader", "rank").alias("cluster"))
     each = files.select("file_id", parse_phash(F.col("phash")).alias("h")).join(named, "h")
     return large_only(each.select("file_id", "cluster"))
@@ -105,7 +158,7 @@ def leader_clusters_bucketed(files: DataFrame, k: int = 5, bucket_bytes: int = 1
     order = F.struct("bucket", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
     hashes = settle(hashes.withColumn("key", order), "hashes")
     ranked = settle(assign_ids(hashes, ["key"], "rank"), "ranked")
-    claimed = leaders(self_pairs(ranked.select("bucket", "h", "rank"), k, also=("bucket",)))
+    claimed = claims(ranked.select("bucket", "h", "rank"), k, also=("bucket",))
     lead = ranked.select(F.col("rank").alias("leader"), F.col("first").alias("cluster"))
     named = ranked.join(claimed.withColumnRenamed("member", "rank"), "rank", "left").withColumn("leader", F.coalesce("leader", "rank")).join(lead, "leader").select("bucket", "h", "cluster")
     each = sized.select("file_id", "bucket", parse_phash(F.col("phash")).alias("h")).join(named, ["bucket", "h"])
