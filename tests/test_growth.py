@@ -66,3 +66,22 @@ def test_leaders_form_few_pairs(spark, monkeypatch):
             lead += [(i, h)] if near == i else []
             want.setdefault(near, set()).add(i)
     assert {tuple(r) for r in cluster.leader_clusters_bucketed(rows, bucket_bytes=100).collect()} == {(i, j) for j, own in want.items() if len(own) > 1 for i in own}
+
+
+def test_simhash_takes_texts_a_few_at_a_time():
+    """Words of a batch of texts aren't held together, nor the bits of a long text's words."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from twinfold.plans import views
+
+    rng = random.Random(1)
+    texts = pa.array([" ".join(f"w{rng.randrange(5000)}" for _ in range(3000)).encode() for _ in range(300)] + [b"", None, b"one"], pa.binary())
+    whole = [h for t in texts.to_pylist() for h in views.word_simhashes([t])]
+    tracemalloc.start()
+    got = [h for some in views.slices(texts) for h in views.word_simhashes(some)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == whole and got[-3:-1] == [None, None]
+    assert peak < 40 << 20

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,30 +20,43 @@ from ..session import settle
 
 EXTENSIONS = (".jpg", ".PNG", ".mp4", ".txt")
 LARGE = 4000
-#: Words whose bits are added up together.
-WORDS = 1 << 18
+#: Bytes of text that are taken from Arrow and split into words together, and words whose bits are added up together.
+TAKEN, WORDS = 1 << 20, 1 << 14
+
+
+def slices(texts: pa.Array, most: int = TAKEN) -> Iterator[list[bytes | None]]:
+    """The values of a binary array in order, as many at a time as have `most` bytes (one at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield texts.slice(i, j - i).to_pylist()
+        i = j
+
+
+def word_simhashes(texts: list[bytes | None]) -> list[str | None]:
+    """64-bit word SimHashes as hex. Each distinct word is hashed once."""
+    split = [(t or b"").split() for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    index: dict[bytes, int] = {}
+    codes = np.fromiter((index.setdefault(w, len(index)) for ws in split for w in ws), np.int32, int(sizes.sum()))
+    del split
+    bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in index), np.uint8).reshape(-1, 8), axis=1)
+    ends, out = np.cumsum(sizes), [None] * len(texts)
+    for d in np.flatnonzero(sizes):
+        first, sums = ends[d] - sizes[d], np.zeros(64, np.int64)
+        for i in range(first, ends[d], WORDS):  # a word takes 64 bytes
+            sums += bits[codes[i : min(ends[d], i + WORDS)]].sum(0, dtype=np.int64)
+        out[d] = np.packbits(2 * sums > sizes[d]).tobytes().hex()
+    return out
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, phash: 64-bit word SimHash as hex, of documents with a word. Each distinct word of a batch is hashed once, and no row per word is shuffled."""
-
-    @F.pandas_udf("string")
-    def hashed(texts: pd.Series) -> pd.Series:
-        split = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in split], np.int64)
-        codes, words = pd.factorize(np.array([w for ws in split for w in ws] + [b""], object)[:-1])
-        bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in words), np.uint8).reshape(-1, 8), axis=1)
-        ends, out, i = np.cumsum(sizes), [None] * len(split), 0
-        while i < len(split):  # some documents at a time, since each word takes 64 bytes
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WORDS)))
-            some = i + np.flatnonzero(sizes[i:j])
-            if len(some):
-                first = ends[some] - sizes[some]
-                sums = np.add.reduceat(bits[codes[first[0] : ends[some[-1]]]], first - first[0], dtype=np.int64)
-                for d, x in zip(some, np.packbits(2 * sums > sizes[some][:, None], axis=1)):
-                    out[d] = x.tobytes().hex()
-            i = j
-        return pd.Series(out, dtype=object)
+    """doc_id, phash: 64-bit word SimHash as hex, of documents with a word. No row per word is shuffled, and a task holds the words of TAKEN bytes (or of one text) at a time."""
+
+    @F.arrow_udf("string")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array([h for some in slices(texts) for h in word_simhashes(some)], pa.string())
 
     lowered = F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
     return docs.select("doc_id", hashed(lowered).alias("phash")).where("phash is not null")
