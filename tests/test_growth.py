@@ -68,6 +68,28 @@ def test_leaders_form_few_pairs(spark, monkeypatch):
     assert {tuple(r) for r in cluster.leader_clusters_bucketed(rows, bucket_bytes=100).collect()} == {(i, j) for j, own in want.items() if len(own) > 1 for i in own}
 
 
+def test_stream_match_hands_on_one_row_a_query(spark, tmp_path, monkeypatch):
+    """Queries near very many known hashes, and copies of them: tasks reduce what they find before it is shuffled."""
+    from twinfold.streaming import ingest
+
+    ranked, handed = dense(200), []
+    nearest = ingest.nearest_of
+    monkeypatch.setattr(ingest, "nearest_of", lambda df: handed.append(df) or nearest(df))
+    kind = "file_id long, group_id long, hash_sha256 string, phash string, type string, width int, height int, size_bytes long"
+    row = lambda i, h, group: (i, group, f"s{i}", f"{h & (1 << 64) - 1:016x}", "image", 9, 9, 9)
+    known = [row(i, h, i) for i, h in ranked[:150]] + [row(1000 + i, h, i) for i, h in ranked[:50]]
+    new = spark.createDataFrame([row(2000 + i, h ^ 1, None) for i, h in ranked[140:]], kind)
+    index = ingest.MatchIndex(spark, str(tmp_path), 5, buckets=4)
+    index.build(spark.createDataFrame(known, kind), spark.createDataFrame([(i, i) for i in range(150)], "group_id long, original_file_id long"))
+    got = {r["file_id"]: r["group_id"] for r in index.match(new).collect()}
+    want = {}
+    for i, h in ranked[140:]:
+        near = min(((apart(g, h ^ 1), j) for j, g in ranked[:150] if apart(g, h ^ 1) <= 5), default=None)
+        want |= {2000 + i: near[1]} if near else {}
+    assert got == want
+    assert sum(df.count() for df in handed) <= 60 * len(index.cuts)
+
+
 def test_simhash_takes_texts_a_few_at_a_time():
     """Words of a batch of texts aren't held together, nor the bits of a long text's words."""
     import tracemalloc

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cluster import join_existing_groups
-from ..operators.hamming import WIDE, banded, bands, distance, parse_phash, probed, wide_bands
+from ..operators.hamming import WIDE, banded, bands, in_cells, met_in_cells, nearest_of, parse_phash, wide_bands
 from ..operators.mutations import KEY, apply_review_events, free_rows, group_targets
 from .buckets import BucketedTable
 
@@ -102,10 +102,10 @@ class MatchIndex:
         sha = self.shas.read_for(new.where("hash_sha256 is not null")).groupBy("hash_sha256").agg(F.min_by("group_id", "file_id").alias("sha_group"))
         exact = new.join(sha, "hash_sha256", "left").select("file_id", "phash", "type", "sha_group")
         asked = exact.where("sha_group is null and type = 'image'").select(F.col("file_id").alias("q"), parse_phash(F.col("phash")).alias("hq")).where("hq is not null")
-        probes = (probed if self.wide else banded)(asked, "hq", self.cuts).withColumn("_band", F.col("_band").cast("int"))
-        known = self.bands.read_for(probes)
-        met = probes.join(known, ["_band", "_value"]).withColumn("distance", distance(F.col("hq"), F.col("h")).cast("int")).where(F.col("distance") <= self.k)
-        near = met.groupBy("q").agg(F.min(F.struct("distance", "file_id", "group_id")).alias("best")).select(F.col("q").alias("file_id"), F.col("best.group_id").alias("near_group"))
+        probes = in_cells(asked.select(F.col("hq").alias("h"), F.col("hq").alias("x")).distinct(), self.cuts, probe=self.wide)
+        known = self.bands.read_for(probes).groupBy("_band", "_value", "h").agg(F.min("file_id").alias("y"), F.min_by("group_id", "file_id").alias("z"))
+        met = nearest_of(met_in_cells(probes, known, self.k, self.cuts, most=int(self.wide), pick="nearest"))
+        near = asked.join(met, asked["hq"] == met["x"]).select(F.col("q").alias("file_id"), F.col("group_id").alias("near_group"))
         found = exact.join(near, "file_id", "left").withColumn("group_id", F.coalesce("sha_group", "near_group"))
         return found.where("group_id is not null").select("file_id", "group_id", F.when(F.col("sha_group").isNotNull(), "exact").otherwise("near").alias("how"))
 
