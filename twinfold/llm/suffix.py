@@ -121,12 +121,23 @@ def merge_sorted(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return runs[0]
 
 
-def packed(part: int, keys: np.ndarray, h: np.ndarray, owner: np.ndarray, many: np.ndarray, kind: int) -> tuple:
+def range_cuts(parts: int, length: int) -> np.ndarray:
+    """Hashes that cut anchors into `parts` ranges of about as many each.
+
+    Anchors are minima and lie near 0: a gram with a share x of all hashes below its own is one, for windows of m + 1 grams, with the chance (1 - x)^m (1 + m x).
+    """
+    m, x = length - GRAM, np.linspace(0, 1, (1 << 16) + 1)
+    below = 1 - (1 - x) ** (m + 1) - m * (1 - (1 - x) ** (m + 2)) / (m + 2)  # anchors up to x, by integration
+    at = np.interp(np.arange(1, parts) / parts * below[-1], below, x)
+    return np.minimum(at * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+
+
+def packed(part: int, run: int, keys: np.ndarray, h: np.ndarray, owner: np.ndarray, many: np.ndarray, kind: int) -> tuple:
     used, at = np.unique(owner, return_inverse=True)
-    return part, kind, h.tobytes(), at.astype(np.uint32).tobytes(), keys[used].tobytes(), np.packbits(many).tobytes()
+    return part, run, kind, h.tobytes(), at.astype(np.uint32).tobytes(), keys[used].tobytes(), np.packbits(many).tobytes()
 
 
-RUNS = "part int, kind int, h binary, owner binary, keys binary, many binary"
+RUNS = "part int, run long, kind int, h binary, owner binary, keys binary, many binary"
 
 
 def sorted_runs(rows: DataFrame, length: int, parts: int) -> DataFrame:
@@ -134,8 +145,9 @@ def sorted_runs(rows: DataFrame, length: int, parts: int) -> DataFrame:
 
     Rows of kind 1 hold anchors that several of these documents have, for all of them; they pass through the merge.
     """
+    cuts = range_cuts(parts, length)
 
-    def made(keys: list[int], texts: list[bytes], turn: int) -> pa.RecordBatch:
+    def made(keys: list[int], texts: list[bytes], turn: int, name: int) -> pa.RecordBatch:
         found = [np.empty((2, 0), np.uint64)]
         for owner, _, _, h, _, _ in anchor_runs(texts, length):
             found.append(np.array([h, owner.astype(np.uint64)]))
@@ -149,51 +161,68 @@ def sorted_runs(rows: DataFrame, length: int, parts: int) -> DataFrame:
         names, out = np.array(keys, np.int64), []
         again = many | ~first
         if again.any():
-            out.append(packed(turn % parts, names, h[again], owner[again], many[again], 1))
+            out.append(packed(turn % parts, name, names, h[again], owner[again], many[again], 1))
         h, owner, many = h[first], owner[first], many[first]
-        cut = np.searchsorted(h, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
+        cut = np.searchsorted(h, cuts)
         for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(h)])):
             if a < b:
-                out.append(packed(i, names, h[a:b], owner[a:b], many[a:b], 0))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(6)], names=[c.split()[0] for c in RUNS.split(", ")])
+                out.append(packed(i, name, names, h[a:b], owner[a:b], many[a:b], 0))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(7)], names=[c.split()[0] for c in RUNS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        keys, texts, n, turn = [], [], 0, context.partitionId() if context else 0
+        task = context.partitionId() if context else 0
+        keys, texts, n, turn = [], [], 0, task
         for batch in batches:
             for part in bunches(batch, RUN // 4):
                 keys += part.column("key").to_pylist()
                 texts += part.column("data").to_pylist()
                 n += sum(map(len, texts[len(texts) - part.num_rows :]))
                 if n >= RUN:
-                    yield made(keys, texts, turn)
+                    yield made(keys, texts, turn, task << 32 | turn - task)
                     keys, texts, n, turn = [], [], 0, turn + 1
         if n:
-            yield made(keys, texts, turn)
+            yield made(keys, texts, turn, task << 32 | turn - task)
 
     return rows.select("key", "data").mapInArrow(run, RUNS)
 
 
+SHARED = "run long, keys binary, sizes binary, h binary"
+
+
+def by_key(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, how many hashes each has, and the hashes, sorted by key."""
+    order = np.lexsort((h, key))
+    names, sizes = np.unique(key, return_counts=True)
+    return names, sizes.astype(np.uint32), h[order]
+
+
 def merge_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """key, h (binary): the anchors that other documents have too, of the documents of one range's runs."""
+    """SHARED: the anchors that other documents have too, of one range's runs; a row for each run, since a row for each document would be one for each of its ranges."""
     out, runs = [], []
-    for kind, h, owner, keys, many in zip(pdf["kind"], pdf["h"], pdf["owner"], pdf["keys"], pdf["many"]):
+    for kind, run, h, owner, keys, many in zip(pdf["kind"], pdf["run"].tolist(), pdf["h"], pdf["owner"], pdf["keys"], pdf["many"]):
         h, key = np.frombuffer(h, np.uint64), np.frombuffer(keys, np.int64)[np.frombuffer(owner, np.uint32)]
         if kind:
-            out.append((h, key))
+            out.append((run, *by_key(key, h)))
         else:
-            runs.append((h, key, np.unpackbits(np.frombuffer(many, np.uint8), count=len(h)).astype(bool)))
+            runs.append((h, key, np.full(len(h), run), np.unpackbits(np.frombuffer(many, np.uint8), count=len(h)).astype(bool)))
     if runs:
-        h, key, many = merge_sorted(runs)
+        h, key, of, many = merge_sorted(runs)
         same = h[1:] == h[:-1]
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        out.append((h[shared & ~many], key[shared & ~many]))  # who has many was told above
-    h, key = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((h, key))
-    h, key = h[order], key[order]
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
-    return pd.DataFrame({"key": key[edge], "h": [x.tobytes() for x in np.split(h, edge[1:])] if len(edge) else []})
+        told = np.flatnonzero(shared & ~many)  # who has many was told above
+        told = told[np.argsort(of[told], kind="stable")]
+        cuts = np.flatnonzero(np.diff(of[told])) + 1
+        out += [(int(of[at[0]]), *by_key(key[at], h[at])) for at in np.split(told, cuts) if len(at)]
+    return pd.DataFrame([(run, *[x.tobytes() for x in some]) for run, *some in out], columns=[c.split()[0] for c in SHARED.split(", ")]).astype({"run": "int64"})
+
+
+def join_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """key, h (binary): the shared anchors of each document of one run, from all ranges."""
+    key = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.uint32)) for k, n in zip(pdf["keys"], pdf["sizes"])])
+    names, sizes, h = by_key(key, np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]]))
+    return pd.DataFrame({"key": names, "h": [x.tobytes() for x in np.split(h, np.cumsum(sizes)[:-1])]})
 
 
 _BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
@@ -423,7 +452,7 @@ def repeated_windows(rows: DataFrame, total: int, *, length: int = LENGTH, shard
     """key, rank, hits (list of (at, bits)) of rows (key, rank, data; `total` bytes) with windows that a smaller rank has."""
     parts = max(partitions(rows.sparkSession), total // (14 * RANGE) + 1)
     runs = sorted_runs(rows.select("key", "data").where(F.octet_length("data") >= length), length, parts)
-    shared = scratch.settle(runs.groupBy("part").applyInPandas(merge_ranges, "key long, h binary"), "shared")
+    shared = scratch.settle(runs.groupBy("part").applyInPandas(merge_ranges, SHARED).groupBy("run").applyInPandas(join_ranges, "key long, h binary"), "shared")
     texts = rows.join(few(shared.select("key").distinct()), "key", "left_semi").join(shared.groupBy("key").agg(F.collect_list("h").alias("hs")), "key")
     pieces = scratch.settle(cut_pieces(texts.select("key", "rank", "data", "hs"), length), "pieces")
     name = ["d1", "d2"]
