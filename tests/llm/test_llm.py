@@ -115,6 +115,28 @@ def test_encoder_equals_the_library():
         assert e(texts) == e.whole(texts)
 
 
+def test_encoder_keeps_pieces_that_recur():
+    """However many rare pieces go by, one that comes in every batch is encoded once, and what is kept is bounded."""
+    from tokenizers import Tokenizer
+
+    from twinfold.llm.tokens import Encoder
+
+    encoder, library = Encoder(TOKENIZER(), keep=100), Tokenizer.from_file(TOKENIZER())
+    bare, asked = encoder.bare, []
+
+    class Counted:
+        def encode(self, pieces, **how):
+            asked.extend(pieces)
+            return bare.encode(pieces, **how)
+
+    encoder.bare = Counted()
+    for k in range(40):
+        text = "".join(f" often{'abc'[i % 3] * (1 + i // 3)} rare{'xyz'[k % 3] * (1 + k // 3)}{'pqrs'[i % 4] * (1 + i // 4)}" for i in range(20))
+        assert np.frombuffer(encoder([text])[0], encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) + len(encoder.older) <= 2 * (50 + 40)
+    assert len(asked) == len(set(asked))
+
+
 def test_other_tokenizers_encode_whole():
     import public_tokenizers
 

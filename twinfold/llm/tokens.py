@@ -33,6 +33,8 @@ from .text import give_back
 BLOCK = 1 << 19
 #: Code points that are encoded at once, about; a longer text goes alone.
 SIGNS = 1 << 19
+#: Pieces known to an encoder that its worker keeps (some 200 bytes each), and the code points that it encodes at once.
+LASTING, LASTING_SIGNS = 1_000_000, 1 << 21
 #: Bytes of texts that a task turns into Python objects together.
 SLICE = 4 << 20
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
@@ -71,11 +73,11 @@ class Encoder:
     its signs. Texts with ODD signs or a special token go to the library whole, as do all texts if the tokenizer is of another kind.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 250_000, signs: int = SIGNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.keep, self.known = path, keep, {}
+        self.path, self.keep, self.signs, self.known, self.older = path, keep, signs, {}, {}
         tokenizer = Tokenizer.from_file(path)
         about = json.loads(tokenizer.to_str())
         self.special = [t["content"] for t in about["added_tokens"]]
@@ -101,7 +103,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         distinct = [t for t in dict.fromkeys(texts) if t]
-        part = np.cumsum([len(t) for t in distinct]) // SIGNS
+        part = np.cumsum([len(t) for t in distinct]) // self.signs
         found: dict[str, bytes] = {}
         for k in np.unique(part):
             some = distinct[np.searchsorted(part, k) : np.searchsorted(part, k, "right")]
@@ -133,23 +135,28 @@ class Encoder:
         return [out[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > self.keep:
-            self.known = {}
-        ids = list(map(self.known.get, pieces))
-        new = [p for p, x in zip(pieces, ids) if x is None]
+        """Ids of each piece. Of about `keep` known pieces the older half is dropped at a time, but for those met again meanwhile."""
+        if len(self.known) > self.keep // 2:
+            self.known, self.older = {}, self.known
+        ids, new = list(map(self.known.get, pieces)), []
+        for p in [p for p, x in zip(pieces, ids) if x is None]:
+            if (x := self.older.get(p)) is None:
+                new.append(p)
+            else:
+                self.known[p] = x
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             e = self.bare.encode(part, is_pretokenized=True, add_special_tokens=False)
             every, ends = array(self.code, e.ids).tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right") * self.kind.itemsize
             self.known.update(zip(part, (every[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
-        return [self.known[p] if x is None else x for p, x in zip(pieces, ids)] if new else ids
+        return [self.known[p] if x is None else x for p, x in zip(pieces, ids)]
 
 
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python worker, which it keeps from task to task with the pieces that it knows."""
     held = sys.modules.setdefault("twinfold_worker", ModuleType("twinfold_worker")).__dict__.setdefault("encoders", {})
     if path not in held:
-        held[path] = Encoder(path)
+        held[path] = Encoder(path, LASTING, LASTING_SIGNS)
     return held[path]
 
 
@@ -253,7 +260,7 @@ def by_id(docs: DataFrame, *, doc="doc_id", text="text") -> DataFrame:
 def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None = 0, block: int = BLOCK, lasting: bool = False) -> None:
     """Encode whole texts (null: empty) of by_id's or file_order's rows, in their order, and write blocks at path/blocks and ranks at path/ranks.
 
-    Each row is one document; `end` closes it. lasting: whether Python workers keep their encoders (some 200 MB each) for later tasks, which is quicker. Rows are encoded where they stand and packed when the ranks are known; the unpacked ids are deleted then.
+    Each row is one document; `end` closes it. lasting: whether Python workers keep their encoders (some 400 MB each) for later tasks, which is quicker. Rows are encoded where they stand and packed when the ranks are known; the unpacked ids are deleted then.
     """
     spark = rows.sparkSession
     from tokenizers import Tokenizer
