@@ -107,3 +107,26 @@ def test_simhash_takes_texts_a_few_at_a_time():
     tracemalloc.stop()
     assert got == whole and got[-3:-1] == [None, None]
     assert peak < 40 << 20
+
+
+def test_tall_pictures_are_hashed_in_strips():
+    """What a picture takes beside its bytes follows its height, not the square of it, and doesn't change its means."""
+    import tracemalloc
+
+    import numpy as np
+
+    from twinfold.operators import features
+
+    h, w = 4100, 32
+    x = np.random.default_rng(3).integers(0, 256, (h, w)).astype(np.uint8)
+    data = x.tobytes()
+    for tall, wide in ((h, w), (3000, 31), (h - 1, 7)):
+        tracemalloc.start()
+        got = features.small_picture(data, h, w, 1, (tall, wide))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want = x.astype(float)
+        for n in ((tall, wide), (32, 32)):
+            want = features.across(features.across(want, n[1]).T, n[0]).T
+        assert np.abs(got - want).max() < 1e-6
+        assert peak < 16 << 20

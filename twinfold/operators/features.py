@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +69,8 @@ def discovery_stats(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(found).alias("files_found"), of("image").alias("images"), of("video").alias("videos"), F.count_if((kind != "unknown") & (F.col("size_bytes") < SMALLEST)).alias("too_small"), F.round(size / 1024**3, 4).alias("total_gb"), F.coalesce(F.round(size / F.nullif(F.count_if(found), F.lit(0)) / 1024**2, 4), F.lit(0.0)).alias("average_mb"))
 
 
-#: Bytes of grey values that are held at a time.
-STRIP = 16 << 20
+#: Bytes of grey values, or of weights of rows, that are held at a time, and rows of a shrunken picture that are formed together.
+STRIP, BAND = 16 << 20, 256
 
 
 def grey(data: bytes, height: int, width: int, channels: int, first: int, last: int) -> np.ndarray:
@@ -100,12 +100,18 @@ def across(x: np.ndarray, side: int) -> np.ndarray:
 def strips(data: bytes, height: int, width: int, channels: int, size: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, grey rows) of the picture shrunk to size (height, width) by area means, a few rows at a time; as it is if that is its size."""
     tall, wide = size
-    step = max(1, STRIP // 8 // max(1, -(-height // tall) * width))
+    if (tall, wide) == (height, width):
+        part = max(1, STRIP // 8 // max(width, BAND))
+        for y in range(0, height, part):
+            yield y, grey(data, height, width, channels, y, min(height, y + part))
+        return
+    # A row of weights is as long as the strip, so strips are of few rows, and weights follow the picture's height, not its square.
+    step = max(1, min(BAND, STRIP // 8 // max(1, -(-height // tall) * width)))
     for t in range(0, tall, step):
         end = min(tall, t + step)
         low, high = t * height // tall, min(height, -(-end * height // tall))
         # Target rows that are tall themselves are added up over parts of the strip.
-        part, rows = max(1, STRIP // 8 // width), np.zeros((end - t, wide))
+        part, rows = max(1, STRIP // 8 // max(width, end - t)), np.zeros((end - t, wide))
         for y in range(low, high, part):
             z = min(high, y + part)
             rows += row_weights(height, tall, t, end, y, z) @ across(grey(data, height, width, channels, y, z), wide)
@@ -132,16 +138,20 @@ def phash_of(small: np.ndarray) -> str:
 def phash64(images: DataFrame, *, most: int = MAX_PIXELS, shrink: bool = False) -> DataFrame:
     """path, phash of read_images' rows. Pictures of more pixels have none; with shrink they are shrunk to `most` (cap_to_pixels) before they are hashed. Unreadable ones have none.
 
-    A task holds a picture's bytes and STRIP bytes of grey values, whatever its size.
+    A task holds a batch of pictures' bytes (spark.sql.execution.arrow.maxBytesPerBatch, or one picture) and STRIP bytes of grey values, whatever the pictures' size.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = zip(pdf["data"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["th"], pdf["tw"])
-            yield pd.DataFrame({"path": pdf["path"], "phash": [phash_of(small_picture(d, h, w, c, (th, tw))) if w > 0 and h > 0 else None for d, h, w, c, th, tw in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(*(batch[c].to_pylist() for c in ("height", "width", "nChannels", "th", "tw")))
+            # Pixels are read where they lie in the batch; paths are copied, so that what is handed on doesn't keep it.
+            hashes = [phash_of(small_picture(d.as_buffer(), h, w, c, (th, tw))) if (w or 0) > 0 and (h or 0) > 0 else None for d, (h, w, c, th, tw) in zip(batch["data"], sizes)]
+            paths = batch["path"].to_pylist()
+            del batch
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(hashes, pa.string())], ["path", "phash"])
 
     size = cap_to_pixels(F.col("image.width"), F.col("image.height"), most)
     rows = images.select("path", "image.data", "image.height", "image.width", "image.nChannels", "pixels", size["height"].alias("th"), size["width"].alias("tw"))
     take = rows if shrink else rows.where(F.col("pixels") <= most)
-    hashed = take.drop("pixels").mapInPandas(run, "path string, phash string")
+    hashed = take.drop("pixels").mapInArrow(run, "path string, phash string")
     return hashed if shrink else hashed.unionByName(rows.where(F.col("pixels") > most).select("path", F.lit(None).cast("string").alias("phash")))
