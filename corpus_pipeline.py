@@ -7,14 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from twinfold.llm import decontaminate, dedup, langid, mixing, tokens
 from twinfold.session import settle
 
+#: Most bytes of a batch that goes to a Python worker, but for its last row. Spark's own 64 MB are held by the JVM beside its heap and by the worker, for each task of an executor.
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Stages run after they return, so this stays in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters and texts whose language the classifier rejects go."""
+    small_batches(spark)
     return langid.drop_unidentified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (five words, 0.8) the document with the smallest id stays. Texts without words and rows without an id are in no class and stay; of equal rows one stays."""
+    small_batches(spark)
     return dedup.drop_near_duplicates(docs)
 
 
@@ -30,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all rows in the order of the mixture, which is that of docs' files, described as read back. Null texts are the end mark alone; null ids stay null."""
+    small_batches(spark)
     return tokens.token_files(tokens.file_order(docs))
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -742,6 +743,28 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         at += n
 
 
+def test_pipeline_bounds_what_python_tasks_hold(spark, tmp_path):
+    """Each stage with Python workers sends them batches of few megabytes, and a token task's encoder keeps few pieces of many."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, f"some words of text {i}", "en", "a", 20) for i in range(3)], DOCS).write.parquet(str(tmp_path / "d"))
+    docs, wide = spark.read.parquet(str(tmp_path / "d")), spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language_id", "near_duplicates", "token_ids"):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert stages[name](spark, docs, None).count() > 0
+        assert wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 6_000_000
+    encoder = tokens.Encoder(TOKENIZER())
+    for k in range(6):
+        encoder(["".join(f" w{i:x}" for i in range(k * 50_000, (k + 1) * 50_000))])
+        assert len(encoder.known) + len(encoder.older) <= 2 * (30_000 + 50_001)
+
+
 def test_pipeline_odd(spark, odd, tmp_path):
     """Nulls, empty and long texts and repeated rows go through all stages; of empty tables nothing comes out."""
     import corpus_pipeline

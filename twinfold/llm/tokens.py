@@ -31,12 +31,12 @@ from .text import give_back
 
 #: Tokens after which a block ends; a longer document has a block to itself.
 BLOCK = 1 << 19
-#: Code points that are encoded at once, about; a longer text goes alone.
+#: Code points whose pieces are hashed at once, about.
 SIGNS = 1 << 19
-#: Pieces known to an encoder that its worker keeps (some 200 bytes each), and the code points that it encodes at once.
-LASTING, LASTING_SIGNS = 1_000_000, 1 << 21
-#: Bytes of texts that a task turns into Python objects together.
-SLICE = 4 << 20
+#: Of an encoder that goes with its task and of one that its worker keeps: known pieces (some 200 bytes each), the code points that are encoded at once (a longer
+#: text goes alone), and the bytes of texts that become Python objects together.
+BRIEF, BRIEF_SIGNS, BRIEF_SLICE = 60_000, 1 << 17, 1 << 19
+LASTING, LASTING_SIGNS, LASTING_SLICE = 1_000_000, 1 << 21, 4 << 20
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 SIZES = (_CODES + 1).astype(np.uint8)  # bytes of the four ranks of each control byte
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -73,7 +73,7 @@ class Encoder:
     its signs. Texts with ODD signs or a special token go to the library whole, as do all texts if the tokenizer is of another kind.
     """
 
-    def __init__(self, path: str, keep: int = 250_000, signs: int = SIGNS):
+    def __init__(self, path: str, keep: int = BRIEF, signs: int = BRIEF_SIGNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,6 +90,8 @@ class Encoder:
             self.kinds = kinds()
             del tokenizer  # two at a time would take twice the memory; the other is read again if a text asks for it
             self.bare = Tokenizer.from_str(json.dumps(about | {"pre_tokenizer": before | {"use_regex": False}, "post_processor": None}))
+        del about, before, model
+        give_back()  # what was read takes more than what is kept
 
     @cached_property
     def tokenizer(self):
@@ -271,11 +273,12 @@ def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, times, seq = (worker_encoder if lasting else Encoder)(tokenizer), np.zeros(vocabulary, np.int64), 0
+        together = LASTING_SLICE if lasting else BRIEF_SLICE
         tail = b"" if end is None else np.array([end], f"<u{width}").tobytes()
         kinds = pa.schema([("shard", pa.string()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("named", pa.bool_()), ("ids", pa.binary()), ("seen", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
         for batch in batches:
-            # Texts become Python objects about SLICE bytes at a time.
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // SLICE
+            # Texts become Python objects about so many bytes at a time.
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // together
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
             for part in (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:])):
                 ids = [x + tail for x in encoder([t or "" for t in part.column("text").to_pylist()])]
@@ -284,6 +287,8 @@ def write_tokens(rows: DataFrame, path: str, tokenizer: str, *, end: int | None
                 place = np.where(place < 0, np.arange(seq, seq + n), place)
                 yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array(place, pa.int64()), part.column("doc_id"), part.column("named"), pa.array(ids, pa.binary()), pa.nulls(n, kinds.field("seen").type), pa.nulls(n, kinds.field("times").type)], schema=kinds)
                 seq += n
+                if not lasting:
+                    give_back()
         del encoder
         give_back()
         seen = np.flatnonzero(times)
